@@ -168,3 +168,47 @@ SENTIMENT_TONE = {"positive": "friendly", "negative": "frustrated", "neutral": "
 
 # --- fixed values: fusion -------------------------------------------------------------------------------------
 FUSION_WEIGHTS = {"text": 0.30, "context": 0.22, "memory": 0.14, "behavior": 0.12, "temporal": 0.10, "hidden": 0.12}
+
+# --- fixed values: evidence texts -----------------------------------------------------------------------------
+EVIDENCE = {
+    "sarcasm_context": "positive wording in negative context",
+    "sarcasm_markers": "marker words: %s",
+    "sarcasm_repeat": "repeated wording: %s",
+    "sarcasm_cooperative": "cooperative intent markers present (argues against sarcasm)",
+    "sarcasm_belief": "belief-update wording (argues against an echoic reading)",
+    "sarcasm_emoji": "sarcasm-typical emoji: %s",
+    "sarcasm_exclaim": "exclamation emphasis",
+    "sarcasm_spike": "tension spike (+%.0f after this message)",
+    "irony_context": "literal meaning opposes situational context",
+    "irony_interjection": "evaluative interjection ('wow'/'oh')",
+    "irony_quote": "quoted wording may echo context",
+    "pa_phrase": 'concessive phrase: "%s"',
+    "pa_cold": "short cold response pattern",
+    "pa_rising": "rising tension trajectory",
+    "negative": "negative wording: %s",
+    "positive": "positive wording: %s",
+    "exclaim": "intensified punctuation (%d× '!')",
+    "ellipsis": "trailing ellipsis (unfinished thought)",
+    "exaggeration": "absolute/exaggerated words: %s",
+    "emoji": "emoji polarity %+.1f",
+    "markers": "irony-prone markers: %s",
+    "phrase": 'concessive phrase: "%s"',
+    "swear": "strong language (%d)",
+    "caps": "elevated CAPS ratio (shouting-style emphasis)",
+    "short": "minimal-length response",
+    "rose": "tension rose %+.0f vs previous turn",
+    "eased": "tension eased %+.0f vs previous turn",
+    "emotion_shift": "emotional shift %s → %s",
+    "sentiment_shift": "sentiment shift %s → %s",
+    "speaker_state": "speaker's previous state was %s",
+    "sarcasm": "sarcasm evidence: %s",
+    "pa": "passive-aggression evidence: %s",
+    "window": "interpreted against the preceding conversation window",
+    "change_negative": "negative wording",
+    "change_intensity": "increased linguistic intensity",
+    "change_cold": "concessive/cold phrasing",
+    "change_sarcasm": "sarcasm at the boundary",
+    "change_carry": "carry-over of speaker's prior emotional state",
+    "change_short": "abrupt short-response pattern",
+    "change_none": "no dominant single signal; cumulative context shift",
+}

@@ -17,10 +17,14 @@ OLDER_SEPARATOR = " :: "
 def response_gap(df: DataFrame, name: str = "gap_hours") -> DataFrame:
     """Hours since the previous message of the conversation, between 0 and 24; 0 when either time is unknown."""
     spread = seq.blocked(seq.with_positions(df), before=1)
-    spread = spread.withColumn("_prev_ts", F.lag("ts").over(seq.block_window()))
-    seconds = F.expr("timestampdiff(MICROSECOND, _prev_ts, ts)") / F.lit(1e6)
+    spread = spread.withColumn("prev_ts", F.lag("ts").over(seq.block_window()))
+    return seq.owned(spread.withColumn(name, gap_hours())).drop("prev_ts")
+
+
+def gap_hours() -> Column:
+    seconds = F.expr("timestampdiff(MICROSECOND, prev_ts, ts)") / F.lit(1e6)
     hours = F.least(F.greatest(seconds, F.lit(0.0)), F.lit(86400.0)) / 3600
-    return seq.owned(spread.withColumn(name, F.when(seconds.isNull(), F.lit(0.0)).otherwise(hours))).drop("_prev_ts")
+    return F.when(seconds.isNull(), F.lit(0.0)).otherwise(hours)
 
 
 def _insert(df: DataFrame, item: str, earlier: Window, k: int) -> DataFrame:
@@ -61,8 +65,11 @@ def running_top(df: DataFrame, item: str, k: int, name: str) -> DataFrame:
     return local.join(carry, [CONV, seq.BLK]).withColumn(name, merged).drop("_top", "_carry")
 
 
-def context_window(df: DataFrame, k: int = 4, picks: int = 3) -> DataFrame:
-    """Add ``recent`` (the ``k`` previous texts), ``older`` (most tense earlier texts) and the joined ``context_text``."""
+def context_window(df: DataFrame, k: int = 4, picks: int = 3, previous: tuple = ()) -> DataFrame:
+    """Add ``recent`` (the ``k`` previous texts), ``older`` (most tense earlier texts) and the joined ``context_text``.
+
+    Columns named in ``previous`` also get a ``prev_<c>`` with their value on the previous message, in the same pass.
+    """
     spread = seq.blocked(seq.with_positions(df), before=k + 1)
     w = seq.block_window()
     item = F.struct(F.abs(F.coalesce("tension", F.lit(0.0))).alias("heat"), (-F.col("pos")).alias("np"), F.col("text").alias("said"))
@@ -70,6 +77,7 @@ def context_window(df: DataFrame, k: int = 4, picks: int = 3) -> DataFrame:
         {
             "_recent": F.collect_list("text").over(w.rowsBetween(-k, -1)),
             "_left": F.lag(item, k + 1).over(w),
+            **{f"prev_{c}": F.lag(c).over(w) for c in previous},
         }
     )
     rows = running_top(seq.owned(spread, keep_block=True), "_left", picks, "_older")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["ordered", "context"]
+GROUPS = ["ordered", "context", "evidence"]
 
 
 def load() -> None:
