@@ -92,6 +92,11 @@ def speaker_name(value: Column) -> Column:
     return F.regexp_replace(strip_space(value), r"^[\x{200E}\x{200F}]+|[\x{200E}\x{200F}]+$", "")
 
 
+def is_short(text: Column) -> Column:
+    """1 when at most two words are left without emoji."""
+    return (F.size(words(without_emoji(text))) <= 2).cast("int")
+
+
 def _count_in(tokens: Column, vocabulary: list) -> Column:
     return F.size(F.filter(tokens, lambda w: w.isin(vocabulary)))
 

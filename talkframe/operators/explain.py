@@ -123,8 +123,8 @@ def digest(df: DataFrame) -> DataFrame:
     head = F.when(turned, F.col("tp.message_id")).when(rising, F.col("peak_message"))
     overview = F.concat(
         F.format_string(
-            "%d messages, %d participant(s): trajectory is %s, peak tension %.1f/100, %d turning point(s) detected.",
-            "n", "n_speakers", "trajectory", "peak_tension", "n_tp",
+            "%d messages, %d participant(s): trajectory is %s, peak tension %s/100, %d turning point(s) detected.",
+            "n", "n_speakers", "trajectory", F.round("peak_tension", 1).cast("string"), "n_tp",
         ),
         F.when(recovered, " The conversation de-escalated after its peak.").otherwise(""),
         F.when(F.col("n_flagged") > 0, F.format_string(" Elevated-tension/sarcasm share: %d speaker(s).", "n_flagged")).otherwise(""),

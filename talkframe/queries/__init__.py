@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["ordered", "context", "evidence"]
+GROUPS = ["ordered", "context", "evidence", "aggregates", "evaluation", "auditing"]
 
 
 def load() -> None:

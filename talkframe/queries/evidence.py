@@ -256,8 +256,8 @@ dd as (select t.*, pc.n_speakers, pc.n_flagged, coalesce(n_tp, 0) as n_turning_p
   from traj t join pc using (conversation_id) join rec using (conversation_id)
   left join best b on b.conversation_id = t.conversation_id and b.best_rk = 1
   join signals pk on pk.conversation_id = t.conversation_id and pk.message_id = t.peak_message),
-o as (select *, concat(printf('%d messages, %d participant(s): trajectory is %s, peak tension %.1f/100, %d turning point(s) detected.',
-    n, n_speakers, trajectory, peak_tension, n_turning_points),
+o as (select *, concat(printf('%d messages, %d participant(s): trajectory is %s, peak tension %s/100, %d turning point(s) detected.',
+    n, n_speakers, trajectory, cast(round(peak_tension, 1) as varchar), n_turning_points),
    case when rcv then ' The conversation de-escalated after its peak.' else '' end,
    case when n_flagged > 0 then printf(' Elevated-tension/sarcasm share: %d speaker(s).', n_flagged) else '' end) as overview from dd)
 select conversation_id, n as n_messages, n_speakers, n_flagged,
