@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talkframe.functions.hidden import sig, some
 from talkframe.functions.text import normal_text
+from talkframe.operators import sequence as seq
 
 CONV = "conversation_id"
 CAUSES = {
@@ -35,7 +36,7 @@ def label_errors(read: DataFrame, heads: dict[str, str]) -> DataFrame:
 def binary_errors(read: DataFrame, heads: dict[str, tuple[str, str]], design: DataFrame) -> DataFrame:
     """Wrong binary labels. ``heads`` maps a gold column to its (score, learned probability) columns.
 
-    ``design`` has one row per ``text_key``; both sides of the join are keyed by text, and only wrong rows reach it.
+    ``design`` has one row per ``text_key``; the lookup is salted, so one very common text is no obstacle.
     """
     sides = F.array(*[
         F.struct(F.lit(g).alias("head"), F.col(g).alias("gold"), F.col(s).alias("score"), F.col(p).alias("learned"))
@@ -45,7 +46,7 @@ def binary_errors(read: DataFrame, heads: dict[str, tuple[str, str]], design: Da
     rows = read.select(CONV, "message_id", key, F.inline(sides)).withColumn("pred", (F.col("score") >= 0.5).cast("int"))
     rows = rows.filter(F.col("gold") != F.col("pred"))
     label = F.coalesce(*[F.when(F.col("head") == g, F.col(f"design_{g}")) for g in heads])
-    rows = rows.join(design, "text_key", "left").withColumn("noise", F.coalesce(label != F.col("gold"), F.lit(False)))
+    rows = seq.lookup(rows, design, ["text_key"], [CONV, "message_id"]).withColumn("noise", F.coalesce(label != F.col("gold"), F.lit(False)))
     missed = F.col("gold") == 1
     cause = (
         F.when(F.col("noise"), CAUSES["noise"])

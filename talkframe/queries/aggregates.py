@@ -82,7 +82,7 @@ def gold_pred_join(spark, sf):
     rows = views.signals(spark, sf)
     gold = rows.select(CONV, "message_id", F.col("emotion").alias("gold"))
     pred = rows.select(CONV, "message_id", F.col("pred_emotion").alias("pred"))
-    return gold.join(pred, [CONV, "message_id"]).withColumn("correct", F.col("gold") == F.col("pred"))
+    return records.gold_and_predicted(gold, pred)
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from talkframe import fixed, views
 from talkframe.functions.text import normal_text
-from talkframe.operators import audit, errors, fusion, metrics, splits, vectors
+from talkframe.operators import audit, errors, fusion, metrics, records, splits, vectors
 from talkframe.operators import sequence as seq
 from talkframe.plans import enrich
 from talkframe.queries import sqltext as t
@@ -223,8 +223,8 @@ from nm join design using (k)"""),
 )
 def design_lookup(spark, sf):
     rows = views.messages(spark, sf)
-    keyed = rows.select(CONV, "message_id", F.md5(normal_text(F.col("text"))).alias("text_key"))
-    return keyed.join(design_table(rows), "text_key", "left").drop("text_key")
+    found = records.design_lookup(rows, design_table(rows), F.md5(normal_text(F.col("text"))))
+    return found.select(CONV, "message_id", *[f"design_{b}" for b in BINARY])
 
 
 @query(
