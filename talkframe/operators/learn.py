@@ -91,7 +91,7 @@ def _balanced(train: DataFrame, label: str) -> tuple[DataFrame, list, int]:
     return train.select("features", index.alias("_y"), weight.alias("_wt")), classes, n
 
 
-def fit_labels(train: DataFrame, label: str, c: float = 4.0, max_iter: int = 200) -> Head | None:
+def fit_labels(train: DataFrame, label: str, c: float = 4.0, max_iter: int = 100) -> Head | None:
     """Class-balanced multinomial head; None when only one class occurs (a neutral prior is served instead)."""
     rows, classes, n = _balanced(train, label)
     if len(classes) < 2:
@@ -130,7 +130,7 @@ def fit_binary(train: DataFrame, label: str, ident: Column, c: float = 1.6, fold
             est = LinearSVC(featuresCol="features", labelCol="_y", weightCol="_wt", regParam=1.0 / n, standardization=False, maxIter=100)
             part = part.withColumn("_wt", F.lit(1.0))
         else:
-            est = LogisticRegression(featuresCol="features", labelCol="_y", weightCol="_wt", regParam=1.0 / (c * n), standardization=False, maxIter=200)
+            est = LogisticRegression(featuresCol="features", labelCol="_y", weightCol="_wt", regParam=1.0 / (c * n), standardization=False, maxIter=100)
         model = est.fit(part)
         held = model.transform(rows.filter(F.col("_fold") == k))
         margin = F.get(vector_to_array("rawPrediction"), F.lit(1))
@@ -148,7 +148,7 @@ def fit_tension(train: DataFrame, label: str = "tension", alpha: float = 1.0) ->
     sd = (s["pop"] if closed else s["samp"]) or 1.0
     model = LinearRegression(
         featuresCol="features", labelCol=label, solver="normal" if closed else "l-bfgs", regParam=alpha * sd / s["n"],
-        elasticNetParam=0.0, standardization=False, maxIter=200,
+        elasticNetParam=0.0, standardization=False, maxIter=100,
     ).fit(train)
     return Head("tension", [], [model.coefficients.toArray().tolist()], [float(model.intercept)])
 
@@ -189,15 +189,19 @@ def apply(df: DataFrame, model: Model, features: str = "features") -> DataFrame:
     """Scores of every head on assembled rows (features built from given labels), as ``<head>_hat`` columns."""
     heads = model.heads
 
+    def unpack(v):
+        ids = v.indices if isinstance(v, SparseVector) else np.nonzero(v.array)[0]
+        return [int(i) for i in ids], [float(v[int(i)]) for i in ids] if not isinstance(v, SparseVector) else v.values.tolist()
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mats = {h: (np.array(x.coef), np.array(x.bias)) for h, x in heads.items()}
         for pdf in batches:
-            x = np.vstack(pdf["_x"].to_numpy()) if len(pdf) else np.zeros((0, 1))
-            out = {c: pdf[c] for c in pdf.columns if c != "_x"}
+            out = {c: pdf[c] for c in pdf.columns if c not in ("_i", "_v")}
+            rows = list(zip(pdf["_i"], pdf["_v"]))
             for h, (w, b) in mats.items():
-                z = x @ w.T + b if len(pdf) else np.zeros((0, len(b)))
+                z = np.array([w[:, np.asarray(i, int)] @ np.asarray(v) + b for i, v in rows]).reshape(len(rows), len(b))
                 if heads[h].kind == "labels":
-                    out[f"{h}_hat"] = [heads[h].classes[i] for i in z.argmax(axis=1)] if len(pdf) else []
+                    out[f"{h}_hat"] = [heads[h].classes[j] for j in z.argmax(axis=1)] if len(rows) else []
                 elif heads[h].kind == "tension":
                     out[f"{h}_hat"] = np.clip(z[:, 0], 0, 100)
                 else:
@@ -208,7 +212,8 @@ def apply(df: DataFrame, model: Model, features: str = "features") -> DataFrame:
     keep = [c for c in df.columns if c != features and not c.endswith("_block")]
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
     kinds += [f"`{h}_hat` {'string' if x.kind == 'labels' else 'double'}" for h, x in heads.items()]
-    return df.select(*keep, vector_to_array(features).alias("_x")).mapInPandas(score, ", ".join(kinds))
+    flat = F.udf(unpack, "struct<_i: array<int>, _v: array<double>>")(features)
+    return df.select(*keep, flat.alias("_s")).select(*keep, "_s._i", "_s._v").mapInPandas(score, ", ".join(kinds))
 
 
 def predict_sequential(df: DataFrame, model: Model, k: int = 4, window: int = 5, picks: int = 3) -> DataFrame:
