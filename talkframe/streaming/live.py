@@ -43,15 +43,15 @@ def tension_windows(stream: DataFrame, width: str = "1 hour", delay: str = "10 m
 class SpeakerState(StatefulProcessor):
     """Per (conversation, speaker): last labels, the last five tensions and the run of short messages, in arrival order.
 
-    State is constant per speaker and expires after ``ttl`` without messages.
+    State is constant per speaker; with ``ttl_ms`` it expires after that long without messages.
     """
 
-    def __init__(self, window: int = 5, ttl_ms: int = 3_600_000):
+    def __init__(self, window: int = 5, ttl_ms: int | None = None):
         self.window, self.ttl_ms = window, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = "emotion string, tone string, sentiment string, tensions array<double>, streak bigint"
-        self.state = handle.getValueState("speaker", schema, self.ttl_ms)
+        self.state = handle.getValueState("speaker", schema, self.ttl_ms) if self.ttl_ms else handle.getValueState("speaker", schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = self.state.get() if self.state.exists() else (None, None, None, [], 0)
@@ -79,10 +79,14 @@ MEMORY_SCHEMA = (
 )
 
 
-def speaker_memory(stream: DataFrame, window: int = 5, ttl_ms: int = 3_600_000) -> DataFrame:
-    """Live form of the speaker memory; the session must use the RocksDB state store."""
+def speaker_memory(stream: DataFrame, window: int = 5, ttl_ms: int | None = None) -> DataFrame:
+    """Live form of the speaker memory; the session must use the RocksDB state store.
+
+    ``ttl_ms`` suits a continuously running query: expiry is by processing time, which never lets a drain-once run end.
+    """
     return stream.groupBy(CONV, "speaker_id").transformWithStateInPandas(
-        statefulProcessor=SpeakerState(window, ttl_ms), outputStructType=MEMORY_SCHEMA, outputMode="append", timeMode="processingTime"
+        statefulProcessor=SpeakerState(window, ttl_ms), outputStructType=MEMORY_SCHEMA, outputMode="append",
+        timeMode="processingTime" if ttl_ms else "none",
     )
 
 
