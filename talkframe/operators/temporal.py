@@ -22,7 +22,8 @@ def intensity(emotion: str = "emotion") -> Column:
 
 def with_previous(df: DataFrame, columns: list[str], keep_block: bool = False) -> DataFrame:
     """Add ``prev_<c>`` columns holding the values of the previous message (null on the first)."""
-    spread = seq.blocked(seq.with_positions(df), before=1)
+    rows = seq.with_positions(df).drop(*[f"prev_{c}" for c in columns])
+    spread = seq.blocked(rows, before=1)
     w = seq.block_window()
     out = spread.select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in columns])
     return seq.owned(out, keep_block)

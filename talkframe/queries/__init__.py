@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["ordered", "context", "evidence", "aggregates", "evaluation", "auditing", "sources", "learning", "live"]
+GROUPS = ["ordered", "context", "evidence", "aggregates", "evaluation", "auditing", "sources", "learning", "live", "reports"]
 
 
 def load() -> None:
