@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from talkframe import fixed
 from talkframe.functions.text import BEHAVIOUR
-from talkframe.operators import vectors
+from talkframe.operators import context, vectors
+from talkframe.operators import sequence as seq
 from talkframe.operators.splits import hash_key
+from talkframe.session import settle
 
 CONV = "conversation_id"
 MEMORY = [f"m{i}" for i in range(10)]
@@ -57,12 +59,15 @@ class Terms:
         return Normalizer(inputCol="_w", outputCol=out, p=2.0).transform(raw).drop("_terms", "_tf", "_w")
 
 
-def design(df: DataFrame, terms: Terms) -> DataFrame:
-    """Add the feature blocks ``text_block, context_block, behaviour_block, memory_block`` to read messages."""
-    out = terms.weigh(terms.weigh(df, "text", "text_block"), "context_text", "context_block")
+def design(df: DataFrame, terms: Terms, blocks: list[str] = BLOCKS["D"]) -> DataFrame:
+    """Add the wanted ones of ``text_block, context_block, behaviour_block, memory_block`` to read messages."""
+    for name, column in (("text", "text"), ("context", "context_text")):
+        if name in blocks:
+            df = terms.weigh(df, column, f"{name}_block")
     for name, cols in (("behaviour", BEHAVIOUR), ("memory", MEMORY)):
-        out = VectorAssembler(inputCols=cols, outputCol=f"{name}_block").transform(out)
-    return out
+        if name in blocks:
+            df = VectorAssembler(inputCols=cols, outputCol=f"{name}_block").transform(df)
+    return df
 
 
 def assemble(df: DataFrame, blocks: list[str], out: str = "features") -> DataFrame:
@@ -185,8 +190,8 @@ def fit(train: DataFrame, terms: Terms, variant: str = "D", heads: tuple = (*MUL
     return Model(BLOCKS[variant], terms, fitted)
 
 
-def apply(df: DataFrame, model: Model, features: str = "features") -> DataFrame:
-    """Scores of every head on assembled rows (features built from given labels), as ``<head>_hat`` columns."""
+def apply(df: DataFrame, model: Model, features: str = "features", with_confidence: bool = False) -> DataFrame:
+    """Scores of every head on assembled rows as ``<head>_hat`` columns; label heads can add ``<head>_sure``."""
     heads = model.heads
 
     def unpack(v):
@@ -202,16 +207,21 @@ def apply(df: DataFrame, model: Model, features: str = "features") -> DataFrame:
                 z = np.array([w[:, np.asarray(i, int)] @ np.asarray(v) + b for i, v in rows]).reshape(len(rows), len(b))
                 if heads[h].kind == "labels":
                     out[f"{h}_hat"] = [heads[h].classes[j] for j in z.argmax(axis=1)] if len(rows) else []
+                    if with_confidence:
+                        out[f"{h}_sure"] = 1 / np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1) if len(rows) else []
                 elif heads[h].kind == "tension":
                     out[f"{h}_hat"] = np.clip(z[:, 0], 0, 100)
                 else:
                     a = np.array(heads[h].curve)
                     out[f"{h}_hat"] = (1 / (1 + np.exp(-(z * a[:, 0] + a[:, 1])))).mean(axis=1)
-            yield pd.DataFrame(out)
+            yield pd.DataFrame(out)[names]
 
     keep = [c for c in df.columns if c != features and not c.endswith("_block")]
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
     kinds += [f"`{h}_hat` {'string' if x.kind == 'labels' else 'double'}" for h, x in heads.items()]
+    extra = [h for h, x in heads.items() if with_confidence and x.kind == "labels"]
+    kinds += [f"`{h}_sure` double" for h in extra]
+    names = [*keep, *[f"{h}_hat" for h in heads], *[f"{h}_sure" for h in extra]]
     flat = F.udf(unpack, "struct<_i: array<int>, _v: array<double>>")(features)
     return df.select(*keep, flat.alias("_s")).select(*keep, "_s._i", "_s._v").mapInPandas(score, ", ".join(kinds))
 
@@ -296,3 +306,54 @@ def predict_sequential(df: DataFrame, model: Model, k: int = 4, window: int = 5,
     names = [CONV, "message_id", "speaker_id", *MULTI, *[f"{h}_confidence" for h in MULTI], *[f"{h}_p" for h in BINARY], "tension"]
     kinds = [df.schema[CONV].dataType.simpleString(), "bigint", "string", *["string"] * 3, *["double"] * 7]
     return rows.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in zip(names, kinds)))
+
+
+def predict_by_sweeps(df: DataFrame, model: Model, tolerance: float = 1e-9, k: int = 4, window: int = 5, picks: int = 3) -> DataFrame:
+    """The result of ``predict_sequential`` without running along a conversation.
+
+    Every sweep scores all messages at once with the previous sweep's predictions as history. A message depends only on
+    earlier ones, so when a sweep changes nothing the predictions are the sequential ones; the first i messages are final
+    after i sweeps at the latest, usually far sooner. All work is block-wise, so one long conversation spreads out.
+    """
+    base = settle(df.select(CONV, "pos", "message_id", "speaker_id", "text", *BEHAVIOUR), "sweep-base")
+    state = base.select(
+        CONV, "pos", *[F.lit("neutral").alias(h) for h in MULTI], *[F.lit(0.0).alias(f"{h}_confidence") for h in MULTI],
+        *[F.lit(0.0).alias(f"{h}_p") for h in BINARY], F.lit(0.0).alias("tension"),
+    )
+    while True:
+        rows = base.join(state, [CONV, "pos"])
+        if "context" in model.blocks:
+            rows = context.context_window(rows, k, picks)
+        else:
+            rows = rows.withColumn("context_text", F.lit(""))
+        rows = context.memory_vector(context.speaker_memory(rows, window))
+        scored = apply(assemble(design(rows, model.terms, model.blocks), model.blocks), model, with_confidence=True)
+        known = set(scored.columns)
+        new = scored.select(
+            CONV, "pos",
+            *[(F.col(f"{h}_hat") if f"{h}_hat" in known else F.lit("neutral")).alias(h) for h in MULTI],
+            *[(F.col(f"{h}_sure") if f"{h}_sure" in known else F.lit(0.0)).alias(f"{h}_confidence") for h in MULTI],
+            *[(F.col(f"{h}_hat") if f"{h}_hat" in known else F.lit(0.0)).alias(f"{h}_p") for h in BINARY],
+            (F.col("tension_hat") if "tension_hat" in known else F.lit(0.0)).alias("tension"),
+            *[F.col(c).alias(f"_old_{c}") for c in (*MULTI, "tension")],
+        )
+        new = settle(new, "sweep")
+        moved = F.abs(F.col("tension") - F.col("_old_tension")) > tolerance
+        for h in MULTI:
+            moved = moved | (F.col(h) != F.col(f"_old_{h}"))
+        done = new.filter(moved).isEmpty()
+        state = new.drop(*[f"_old_{c}" for c in (*MULTI, "tension")])
+        if done:
+            break
+    names = [*MULTI, *[f"{h}_confidence" for h in MULTI], *[f"{h}_p" for h in BINARY], "tension"]
+    return base.select(CONV, "pos", "message_id", "speaker_id").join(state, [CONV, "pos"]).select(CONV, "message_id", "speaker_id", *names)
+
+
+def predict(df: DataFrame, model: Model, longest: int = 100_000) -> DataFrame:
+    """Sequential inference; conversations longer than ``longest`` messages go through sweeps instead of one task."""
+    sizes = df.groupBy(CONV).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > longest).select(CONV)
+    if sizes.isEmpty():
+        return predict_sequential(df, model)
+    short = seq.lookup(df, sizes, [CONV], ["message_id"], "left_anti")
+    long = seq.lookup(df, sizes, [CONV], ["message_id"], "left_semi")
+    return predict_sequential(short, model).unionByName(predict_by_sweeps(long, model))

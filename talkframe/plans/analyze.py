@@ -22,7 +22,7 @@ CONV = "conversation_id"
 def score(df: DataFrame, model: learn.Model) -> DataFrame:
     """Unlabelled messages to labelled ones, with the model's own predictions as history."""
     rows = text.behaviour(context.response_gap(seq.with_positions(df)), gap="gap_hours")
-    got = learn.predict_sequential(rows, model).drop("speaker_id")
+    got = learn.predict(rows, model).drop("speaker_id")
     out = seq.with_positions(df).join(got, [CONV, "message_id"])
     return out.withColumns({"p_positive": F.when(F.col("sentiment") == "positive", F.col("sentiment_confidence")).otherwise(F.lit(0.0)),
                             "p_negative": F.when(F.col("sentiment") == "negative", F.col("sentiment_confidence")).otherwise(F.lit(0.0)),

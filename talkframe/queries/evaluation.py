@@ -121,12 +121,13 @@ g as (select bin, count(*) as n, avg(c) as mc, avg(ok) as acc from b group by 1)
 @query(
     "calibration",
     over_signals(_bins_sql(10).strip() + """
-select round(sum(abs(acc - mc) * n) / sum(n), 6) as ece, round(max(abs(acc - mc)), 6) as mce,
- round(sum(mc * n) / sum(n), 6) as mean_confidence, round(sum(acc * n) / sum(n), 6) as accuracy, cast(sum(n) as bigint) as n from g"""),
+select round(sum(abs(acc - mc) * n) / sum(n), 9) as ece, round(max(abs(acc - mc)), 9) as mce,
+ round(sum(mc * n) / sum(n), 9) as mean_confidence, round(sum(acc * n) / sum(n), 9) as accuracy, cast(sum(n) as bigint) as n from g"""),
 )
 def calibration(spark, sf):
     out = metrics.calibration(views.signals(spark, sf), F.col("emotion") == F.col("pred_emotion"), "confidence")
-    return rounded(out, "ece", "mce", "mean_confidence", "accuracy")
+    # The means are whole multiples of 5e-7 here, so six decimals would sit on rounding ties.
+    return out.withColumns({c: F.round(c, 9) for c in ("ece", "mce", "mean_confidence", "accuracy")})
 
 
 @query(

@@ -291,18 +291,19 @@ _DD = ", ".join(f"'{e}'" for e in fixed.DIALOGUE_EMOTIONS)
 @query(
     "adapt_dialogues",
     f"""with {FLAT_SQL},
-x as (select conv_id, turn, said, (conv_id + turn) % 7 as e, count(*) over (partition by conv_id) as n from flat),
-r as (select concat('dd_d', conv_id) as conversation_id, turn + 1 as message_id, case when turn % 2 = 0 then 'A' else 'B' end as speaker_id, said as text,
-  ([{_DD}])[e + 1] as emotion, 0 as sarcasm from x where conv_id % 4 <> 1 or turn < n - 1),
+x as (select conv_id, turn, said, (conv_id + turn) % 7 as e, count(*) over (partition by conv_id, turn // 1000) as n from flat),
+r as (select concat('dd_d', conv_id * 1000 + turn // 1000) as conversation_id, turn % 1000 + 1 as message_id, case when turn % 2 = 0 then 'A' else 'B' end as speaker_id, said as text,
+  ([{_DD}])[e + 1] as emotion, 0 as sarcasm from x where conv_id % 4 <> 1 or turn % 1000 < n - 1),
 s as (select *, case {sql_map('emotion', fixed.EMOTION_SENTIMENT)} when 'positive' then 'friendly' when 'negative' then 'frustrated' else 'casual' end as tone from r)
 {_labelled_sql('s')}""",
 )
 def adapt_dialogues(spark, sf):
-    """Line-aligned files with one dialogue per line; every fourth line is one emotion short."""
-    packed = flat(spark, sf).groupBy("conv_id").agg(
+    """Line-aligned files, one dialogue of at most 1,000 turns per line; every fourth conversation is one emotion short."""
+    line = (F.col("conv_id") * 1000 + F.expr("turn div 1000")).alias("line_no")
+    packed = flat(spark, sf).groupBy("conv_id", line).agg(
         F.sort_array(F.collect_list(F.struct("turn", "said", ((F.col("conv_id") + F.col("turn")) % 7).cast("string").alias("e")))).alias("a")
     )
-    u = packed.select(F.col("conv_id").alias("line_no"), F.array_join(F.transform("a", lambda x: x["said"]), " __eou__ ").alias("line"))
+    u = packed.select("line_no", F.array_join(F.transform("a", lambda x: x["said"]), " __eou__ ").alias("line"))
     short = F.when(F.col("conv_id") % 4 == 1, F.slice("a", 1, F.greatest(F.size("a") - 1, F.lit(0)))).otherwise(F.col("a"))
-    e = packed.select(F.col("conv_id").alias("line_no"), F.array_join(F.transform(short, lambda x: x["e"]), " ").alias("line"))
+    e = packed.select("line_no", F.array_join(F.transform(short, lambda x: x["e"]), " ").alias("line"))
     return _labelled(adapters.dialogues(u, e))
