@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talkframe.functions.text import normal_text
 from talkframe.operators import sequence as seq
+from talkframe.session import settle
 
 BUCKETS = 1000
 MODULUS = 100_000_000
@@ -38,7 +39,8 @@ def hash_split(df: DataFrame, ident: str = "conversation_id", share: tuple[float
 
 
 def with_split(df: DataFrame, ident: str = "conversation_id") -> DataFrame:
-    return seq.attach_table(seq.blocked(seq.with_positions(df)), hash_split(df, ident), [ident]).drop(seq.BLK)
+    split = settle(hash_split(df, ident), "split")
+    return seq.attach_table(seq.blocked(seq.with_positions(df)), split, [ident]).drop(seq.BLK)
 
 
 def band_split(df: DataFrame, band: str, ident: str, share: tuple[float, float] = (0.70, 0.15)) -> DataFrame:

@@ -195,6 +195,7 @@ def trajectory(df: DataFrame) -> DataFrame:
     spread = spread.select("*", *[F.lag("t", k).over(w).alias(f"t{k}") for k in (1, 2, 3)], F.lag("message_id", 3).over(w).alias("from_id"))
     own = seq.owned(spread, keep_block=True)
     own = own.withColumn("rising", (F.col("t") > F.col("t1")) & (F.col("t1") > F.col("t2")) & (F.col("t2") > F.col("t3")))
+    own = settle(own.drop("t1", "t2", "t3"), "tension")  # read four times below
     own = seq.attach(
         own,
         {"n": ("count", F.lit(1)), "top": ("max", F.struct("t", (-F.col("pos")).alias("np"), "message_id"))},
