@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,11 +14,26 @@ DEFAULT_BLOCK_ROWS = 8192
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the one setting results depend on: timestamps are compared in UTC."""
+    """Pin the one setting results depend on (timestamps are compared in UTC) and make the package known to the workers."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per context, so a session may be started from any folder."""
+    context = spark.sparkContext
+    if getattr(context, "_talkframe_shipped", False):
+        return
+    package = Path(__file__).parent
+    path = Path(tempfile.mkdtemp(prefix="spark-")) / "talkframe.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(path))
+    context._talkframe_shipped = True
+
+
 def block_rows(df: DataFrame) -> int:
     """Rows per ordered block. No ordered operator keeps more than this many rows of one key together."""
     return int(df.sparkSession.conf.get(BLOCK_ROWS_KEY, str(DEFAULT_BLOCK_ROWS)))
