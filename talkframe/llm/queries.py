@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkframe.llm import decontaminate, neardup, substrings
+from talkframe.llm import decontaminate, neardup, packing, substrings
 from talkframe.llm.common import table
 
 
@@ -28,5 +28,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_minhash, op4_substrings)}
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
+    out = packing.pack(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op1_decontaminate, op5_minhash, op4_substrings)}
 ORACLES: dict[str, str] = {}
