@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkframe.llm import decontaminate, neardup, packing, substrings
+from talkframe.llm import decontaminate, neardup, packing, pii, substrings
 from talkframe.llm.common import table
 
 
@@ -34,5 +34,15 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op1_decontaminate, op5_minhash, op4_substrings)}
+PII_KEY = "talkframe-demo-key"  # queries only; callers pass their own secret
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text with surrogates, n_entities and the count of each kind."""
+    out = pii.anonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    kinds = [F.expr(f"cast(size(filter(_entities, x -> x.kind = '{k}')) as bigint) as n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", "text", F.size("_entities").cast("long").alias("n_entities"), *kinds)
+
+
+QUERIES = {f.__name__: f for f in (op3_pii, op2_packing, op1_decontaminate, op5_minhash, op4_substrings)}
 ORACLES: dict[str, str] = {}
