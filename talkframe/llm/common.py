@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from talkframe.session import prepare, work_dir
 
-CHUNK_BYTES = 1 << 21  # text handled by one vectorised pass
+CHUNK_BYTES = 1 << 20  # text handled by one vectorised pass
 U64 = np.uint64
 
 

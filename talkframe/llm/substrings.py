@@ -32,7 +32,7 @@ from talkframe.session import work_dir
 WINDOW, PREFIX = 35, 8
 LEFT, RIGHT = WINDOW - PREFIX, WINDOW  # words of context before an anchor, and from it on
 LEAVES = 100_000
-BATCH = 20_000  # leaves one pass over complete subtrees handles
+BATCH = 10_000  # contexts held at once; a subtree with more leaves is held whole
 
 
 def bucketed(docs: DataFrame) -> DataFrame:
@@ -87,8 +87,10 @@ def suffixes(texts: DataFrame) -> DataFrame:
             for low, high in chunks(offsets):
                 w = scan(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low])
                 at, g = anchors(w)
-                with np.errstate(over="ignore"):
-                    ctx = mix((contexts(w, at) * weights).sum(axis=1, dtype=U64))
+                ctx = np.empty(len(at), U64)
+                for a in range(0, len(at), BATCH):  # a text that repeats one word has an anchor at every word
+                    with np.errstate(over="ignore"):
+                        ctx[a:a + BATCH] = mix((contexts(w, at[a:a + BATCH]) * weights).sum(axis=1, dtype=U64))
                 row = w.row[at]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rid[low:high][row]), pa.array((at - w.first[row]).astype(np.int32)), pa.array(g.view(np.int64)),
