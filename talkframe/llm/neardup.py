@@ -6,8 +6,8 @@ sequence is its one shingle; without words the set is empty and linked with noth
 1. One scan takes ``BANDS * ROWS`` minima per document, hashes them by band and keeps ``BITS`` low bits of each,
    packed. Documents with equal sets fall into one class by a 128-bit digest, so exact copies never meet in a bucket.
 2. Each bucket of a band proposes only (member, smallest member). Proposals are confirmed on full shingle sets.
-3. Buckets that still span several components propose the remaining pairs across components whose sizes can reach the
-   threshold and whose corrected bit estimate is not ``SLACK`` below it; these are confirmed the same way.
+3. Buckets that still span several components are searched for links across them, block by block: rare shingles find the
+   pairs, sizes and the corrected bit estimate (dropped when ``SLACK`` below the threshold) thin them, full sets decide.
 
 A link at the threshold shares no band with probability (1 - 0.75^4)^32 < 6e-6; the estimate drops one only if it is
 more than six standard deviations low.
@@ -28,7 +28,7 @@ from talkframe.llm.graph import components
 SHINGLE = 5
 BANDS, ROWS, BITS = 32, 4, 4
 SLACK = 0.26
-BLOCK = 2048  # bucket members one task compares with another block of them
+BLOCK = 300_000  # shingles of a bucket that one group compares with as many others
 MEMBERS = 256  # texts compared with one leader in a task
 
 
@@ -124,6 +124,22 @@ def signatures(docs: DataFrame) -> DataFrame:
     )
 
 
+def likely(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
+    """Pairs whose corrected bit estimate is not ``SLACK`` below the threshold."""
+    side = reps.select(F.col("rid").alias("cid"), "bits")
+    both = pairs.join(side.select(F.col("cid").alias("a"), F.col("bits").alias("bits_a")), "a")
+    both = both.join(side.select(F.col("cid").alias("b"), F.col("bits").alias("bits_b")), "b").select("a", "b", "bits_a", "bits_b")
+    words = BANDS * ROWS * BITS // 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (column_bytes(batch.column(c))[0].view(U64).reshape(-1, words) for c in ("bits_a", "bits_b"))
+            ok = estimate(x, y) >= threshold / 100 - SLACK
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= threshold * union. ``texts``: one (cid, text) row per class.
 
@@ -166,44 +182,86 @@ def confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
 
 
 def remaining(members: DataFrame, threshold: int) -> DataFrame:
-    """Pairs across components inside a bucket that size and bit estimate allow. ``members``: key, n, cid, component, size, bits."""
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("cid"), F.col("_of")).cast("int")
+    """Links across components inside a bucket. ``members``: key, cid, component, size, bits, text.
+
+    A bucket is cut into blocks of about ``BLOCK`` shingles and every pair of blocks is one group, so no task holds a bucket. Inside
+    a group two sets at the threshold must share one of their rarest shingles (as many as a set may lack, and one more): documents
+    that only share a common passage never become a pair. Bit estimates and full sets decide the rest, and pairs that links of the
+    same group already connect are skipped.
+    """
+    whole = members.groupBy("key").agg(F.ceil(F.sum("size") / F.lit(BLOCK)).cast("int").alias("_of"))
     spread = (
-        members.withColumn("_of", blocks).withColumn("_own", own)
+        members.join(whole, "key").withColumn("_own", F.pmod(F.xxhash64("cid"), F.col("_of")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
         .withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
-        .select("key", "_i", "_j", "_own", "cid", "component", "size", "bits")
+        .select("key", "_i", "_j", "cid", "component", "bits", "text")
     )
     words = BANDS * ROWS * BITS // 64
-    least = threshold / 100 - SLACK
 
-    def run(key: tuple, block: pa.Table) -> pa.Table:
-        cid, comp = block.column("cid").to_numpy(), block.column("component").to_numpy()
-        size, own = block.column("size").to_numpy(), block.column("_own").to_numpy()
-        data, _ = column_bytes(block.column("bits"))
-        bits = data.view(U64).reshape(-1, words)
-        order = np.argsort(size, kind="stable")
-        cid, comp, size, own, bits = cid[order], comp[order], size[order], own[order], bits[order]
-        _, i, j = (k.as_py() for k in key)
-        a, b = [], []
-        upto = np.searchsorted(size, np.floor(size * 100 / threshold), side="right")
-        for r in range(len(cid)):
-            to = slice(r + 1, upto[r])
-            ok = comp[to] != comp[r]
-            if i != j:
-                ok &= own[to] != own[r]
-            hit = np.flatnonzero(ok)
-            if len(hit):
-                hit = hit[estimate(bits[to][hit], bits[r]) >= least] + r + 1
-                a.append(np.maximum(cid[hit], cid[r]))
-                b.append(np.minimum(cid[hit], cid[r]))
-        flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"a": flat(a), "b": flat(b)})
+    def run(group: pa.Table) -> pa.Table:
+        cid, comp = group.column("cid").to_numpy(), group.column("component").to_numpy()
+        bits = column_bytes(group.column("bits"))[0].view(U64).reshape(-1, words)
+        data, offsets = column_bytes(group.column("text"))
+        a, b = block_links(*_all_sets(data, offsets), comp, bits, threshold)
+        return pa.table({"a": pa.array(cid[a], pa.int64()), "b": pa.array(cid[b], pa.int64())})
 
     return spread.groupBy("key", "_i", "_j").applyInArrow(run, "a long, b long").distinct()
 
 
+def _all_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    parts, counts = [], []
+    for low, high in chunks(offsets):
+        sets, first = shingle_sets(scan(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], lower=True))
+        parts.append(sets)
+        counts.append(np.diff(first))
+    if not parts:
+        return np.zeros(0, U64), np.zeros(1, np.int64)
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+
+
+def block_links(sets: np.ndarray, first: np.ndarray, comp: np.ndarray, bits: np.ndarray, threshold: int) -> tuple[list[int], list[int]]:
+    """Row pairs at the threshold that join different components, enough of them to connect whatever is linked."""
+    ids, count = np.unique(sets, return_inverse=True, return_counts=True)[1:]
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    ids = rank[ids]  # rare shingles first
+    size = np.diff(first)
+    root = {int(c): int(c) for c in np.unique(comp)}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    rows = [np.sort(ids[first[r]:first[r + 1]]) for r in range(len(size))]
+    posted: dict[int, dict[int, list[int]]] = {}  # shingle -> component -> rows, so a component's own rows are never gone through
+    left, right = [], []
+    least = threshold / 100 - SLACK
+    for r in np.argsort(size, kind="stable").tolist():
+        n = int(size[r])
+        if not n:
+            continue
+        prefix = rows[r][: n - -(-n * threshold // 100) + 1].tolist()
+        own = find(int(comp[r]))
+        met = np.array(sorted({x for s in prefix for c, held in posted.get(s, {}).items() if find(c) != own for x in held}), np.int64)
+        if len(met):
+            met = met[100 * size[met] >= threshold * n]
+            met = met[estimate(bits[met], bits[r]) >= least] if len(met) else met
+        for x in met.tolist():
+            p, q = find(int(comp[x])), find(int(comp[r]))
+            if p == q:
+                continue
+            shared = len(np.intersect1d(rows[x], rows[r], assume_unique=True))
+            if 100 * shared >= threshold * (n + int(size[x]) - shared):
+                root[max(p, q)] = min(p, q)
+                left.append(r)
+                right.append(x)
+        for s in prefix:
+            posted.setdefault(s, {}).setdefault(int(comp[r]), []).append(r)
+    return left, right
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """One row per document: rid, doc_id, text_key, n_shingles, component_id (smallest doc_id reachable), keep (one row per component).
 
@@ -228,16 +286,15 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     found = source.join(wanted, (F.col("_k") == F.col("text_key")) & F.col("_d").eqNullSafe(F.col("_wd"))).select("cid", "text")
     texts = settle(found.dropDuplicates(["cid"]) if _repeats(sig) else found, "candidates")
     star = members.filter("cid <> leader").select(F.col("cid").alias("a"), F.col("leader").alias("b"))
-    edges = settle(confirmed(star, texts, threshold), "links")
+    edges = settle(confirmed(likely(star.distinct(), reps, threshold), texts, threshold), "links")
     labels = components(edges)
     placed = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("key")
-    open_rows = placed.join(mixed, "key", "left_semi").select("key", "n", "cid", "component")
-    open_rows = open_rows.join(reps.select(F.col("rid").alias("cid"), F.col("n_shingles").alias("size"), "bits"), "cid")
-    more = settle(remaining(open_rows, threshold), "pairs")
+    open_rows = placed.join(mixed, "key", "left_semi").select("key", "cid", "component")
+    open_rows = open_rows.join(reps.select(F.col("rid").alias("cid"), F.col("n_shingles").alias("size"), "bits"), "cid").join(texts, "cid")
+    more = settle(remaining(open_rows, threshold), "links")
     if not more.isEmpty():
-        edges = edges.union(settle(confirmed(more, texts, threshold), "links"))
-        labels = components(edges)
+        labels = components(edges.union(more))
     named = cls.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     whole = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.min(F.struct(F.col("first_id").isNull(), "first_id", "cid")).alias("_m"))
     named = settle(named.join(whole, "component").select("set_key", "component_id", F.col("_m.cid").alias("_head")), "named")
