@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkframe.llm import decontaminate, neardup, packing, pii, substrings
+from talkframe.llm import decontaminate, neardup, packing, pii, sharding, substrings, urlfilter
 from talkframe.llm.common import table
 
 
@@ -44,5 +44,15 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.size("_entities").cast("long").alias("n_entities"), *kinds)
 
 
-QUERIES = {f.__name__: f for f in (op3_pii, op2_packing, op1_decontaminate, op5_minhash, op4_substrings)}
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict, and the host's trust and distrust."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op6_sharding, op7_urlfilter, op3_pii, op2_packing, op1_decontaminate, op5_minhash, op4_substrings)}
 ORACLES: dict[str, str] = {}
