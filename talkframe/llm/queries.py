@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkframe.llm import decontaminate, neardup, packing, pii, sharding, substrings, urlfilter
-from talkframe.llm.common import table
+from talkframe.llm import decontaminate, neardup, packing, pii, quality, sharding, substrings, toxicity, urlfilter
+from talkframe.llm.common import settle, table
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,5 +54,21 @@ def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op6_sharding, op7_urlfilter, op3_pii, op2_packing, op1_decontaminate, op5_minhash, op4_substrings)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rule."""
+    measured = settle(quality.measure(table(spark, sf_dir, "documents")), "measured")
+    rules = quality.learn(measured, table(spark, sf_dir, "labels"), excluded=toxicity.held_out(F.col("doc_id")))
+    return quality.judged(measured, rules).select("doc_id", *quality.COUNTS, "base_failed", "kept", "rule")
+
+
+QUERIES = {f.__name__: f for f in (op9_quality, op8_toxicity, op6_sharding, op7_urlfilter, op3_pii, op2_packing, op1_decontaminate, op5_minhash, op4_substrings)}
 ORACLES: dict[str, str] = {}

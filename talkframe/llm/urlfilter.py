@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkframe.llm.common import settle
@@ -64,10 +64,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust) of every host. ``seeds``: host, good, bad (restart shares). Rounds are settled every few steps."""
-    share = edges.select(
-        "src", "dst",
-        (F.col("links") / F.sum("links").over(Window.partitionBy("src"))).alias("ahead"), (F.col("links") / F.sum("links").over(Window.partitionBy("dst"))).alias("back"))
-    share = settle(share, "host_links")
+    edges = settle(edges, "host_links")
+    out = edges.groupBy("src").agg(F.sum("links").alias("out"))
+    into = edges.groupBy("dst").agg(F.sum("links").alias("into"))
+    share = settle(edges.join(out, "src").join(into, "dst").select(
+        "src", "dst", (F.col("links") / F.col("out")).alias("ahead"), (F.col("links") / F.col("into")).alias("back")), "host_shares")
     hosts = share.select(F.col("src").alias("host")).union(share.select(F.col("dst").alias("host"))).distinct()
     start = settle(hosts.join(seeds, "host", "full_outer").na.fill(0.0, ["good", "bad"]), "host_seeds")
     now = start.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
