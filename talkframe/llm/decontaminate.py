@@ -85,8 +85,9 @@ def _automaton(shared: Broadcast) -> Automaton:
     return _BUILT[key]
 
 
-def _scan_part(docs: DataFrame, items: list, hits_only: bool) -> DataFrame:
-    """doc_id, key, n_words, word and character ranges, and item ids, of every document or of those with a hit."""
+def _scan_part(docs: DataFrame, items: list, hits_only: bool, carry: bool = False) -> DataFrame:
+    """doc_id, key, n_words, word and character ranges, and item ids, of every document or of those with a hit; with ``carry`` the
+    whole row as ``_row``."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -116,12 +117,13 @@ def _scan_part(docs: DataFrame, items: list, hits_only: bool) -> DataFrame:
                 as_rows = lambda v: pa.array([[{"s": s, "e": e} for s, e in x] for x in v], pairs)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), rows.column("key"), pa.array(w.counts().astype(np.int64)), as_rows(ranges), as_rows(chars),
-                     pa.array(ids, pa.list_(pa.string()))], names=["doc_id", "key", "n_words", "words", "spans", "items"]).filter(keep)
+                     pa.array(ids, pa.list_(pa.string())), *[rows.column("_row")] * carry],
+                    names=["doc_id", "key", "n_words", "words", "spans", "items", *["_row"] * carry]).filter(keep)
 
     pairs = "array<struct<s:int,e:int>>"
-    return docs.select("doc_id", "text", F.md5("text").alias("key")).mapInArrow(
-        run, f"doc_id {kind}, key string, n_words long, words {pairs}, spans {pairs}, items array<string>"
-    )
+    rows = docs.select("doc_id", "text", F.md5("text").alias("key"), *[F.struct(*docs.columns).alias("_row")] * carry)
+    whole = f", _row {rows.schema['_row'].dataType.simpleString()}" if carry else ""
+    return rows.mapInArrow(run, f"doc_id {kind}, key string, n_words long, words {pairs}, spans {pairs}, items array<string>{whole}")
 
 
 def _long_runs(known: np.ndarray, row: np.ndarray, least: int, rows: int) -> np.ndarray:
@@ -138,9 +140,9 @@ def _long_runs(known: np.ndarray, row: np.ndarray, least: int, rows: int) -> np.
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, limit_bytes: int = LIMIT_BYTES, carry: bool = False) -> DataFrame:
     """One row per document: doc_id, key (md5 of the text), n_words, words and spans (merged ranges of words and of characters
-    of the original), items (ids found, as strings, sorted), n_hit, contaminated.
+    of the original), items (ids found, as strings, sorted), n_hit, contaminated; with ``carry`` also the whole row as ``_row``.
 
     ``contaminated``: n_hit > 0 and 20 * n_hit >= n_words. Null and empty texts have no words and are clean; items without
     words have no window; an item without id counts as a hit but is not listed; items that share an id are one item. With an
@@ -153,7 +155,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, limit_bytes: int = LIMI
     found = []
     for p in range(parts):
         rows = [tuple(r) for r in items.filter(turn == p).orderBy("id", "text").collect()]  # at most about limit_bytes
-        found.append(_scan_part(docs, rows, hits_only=p > 0))
+        found.append(_scan_part(docs, rows, hits_only=p > 0, carry=carry and p == 0))
     out = found[0]
     if parts > 1:
         more = settle(found[1], "hits")
@@ -164,7 +166,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, limit_bytes: int = LIMI
             *[F.flatten(F.collect_list(c)).alias(f"_{c}") for c in ("words", "spans", "items")])
         same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("l.key").eqNullSafe(F.col("r.key"))
         both = out.alias("l").join(more.alias("r"), same, "left")
-        out = both.select("l.doc_id", "l.key", "l.n_words", *[
+        out = both.select("l.doc_id", "l.key", "l.n_words", *["l._row"] * carry, *[
             F.when(F.col(f"_{c}").isNull(), F.col(f"l.{c}")).otherwise(
                 F.array_sort(F.array_distinct(F.concat(f"l.{c}", f"_{c}"))) if c == "items" else _merged(F.concat(f"l.{c}", f"_{c}"))
             ).alias(c) for c in ("words", "spans", "items")])

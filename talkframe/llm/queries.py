@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkframe.llm import decontaminate, neardup, packing, pii, quality, sharding, substrings, toxicity, urlfilter
+from talkframe.llm import decontaminate, neardup, packing, pii, quality, secrets, sharding, substrings, toxicity, urlfilter
 from talkframe.llm.common import settle, table
 
 
@@ -70,5 +70,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(measured, rules).select("doc_id", *quality.COUNTS, "base_failed", "kept", "rule")
 
 
-QUERIES = {f.__name__: f for f in (op9_quality, op8_toxicity, op6_sharding, op7_urlfilter, op3_pii, op2_packing, op1_decontaminate, op5_minhash, op4_substrings)}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    out = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {i})) as bigint) as n_{k}") for i, k in enumerate(secrets.KINDS[:3])]
+    return out.select("doc_id", *counts, F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op10_secrets, op9_quality, op8_toxicity, op6_sharding, op7_urlfilter, op3_pii, op2_packing, op1_decontaminate, op5_minhash, op4_substrings)}
 ORACLES: dict[str, str] = {}
