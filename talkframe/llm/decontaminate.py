@@ -90,6 +90,7 @@ def _scan_part(docs: DataFrame, items: list, hits_only: bool, carry: bool = Fals
     whole row as ``_row``."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    extra = ["_row"] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = _automaton(shared)
@@ -117,11 +118,11 @@ def _scan_part(docs: DataFrame, items: list, hits_only: bool, carry: bool = Fals
                 as_rows = lambda v: pa.array([[{"s": s, "e": e} for s, e in x] for x in v], pairs)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), rows.column("key"), pa.array(w.counts().astype(np.int64)), as_rows(ranges), as_rows(chars),
-                     pa.array(ids, pa.list_(pa.string())), *[rows.column("_row")] * carry],
-                    names=["doc_id", "key", "n_words", "words", "spans", "items", *["_row"] * carry]).filter(keep)
+                     pa.array(ids, pa.list_(pa.string())), *[rows.column(c) for c in extra]],
+                    names=["doc_id", "key", "n_words", "words", "spans", "items", *extra]).filter(keep)
 
     pairs = "array<struct<s:int,e:int>>"
-    rows = docs.select("doc_id", "text", F.md5("text").alias("key"), *[F.struct(*docs.columns).alias("_row")] * carry)
+    rows = docs.select("doc_id", "text", F.md5("text").alias("key"), *[F.struct(*docs.columns).alias(c) for c in extra])
     whole = f", _row {rows.schema['_row'].dataType.simpleString()}" if carry else ""
     return rows.mapInArrow(run, f"doc_id {kind}, key string, n_words long, words {pairs}, spans {pairs}, items array<string>{whole}")
 
@@ -166,7 +167,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, limit_bytes: int = LIMI
             *[F.flatten(F.collect_list(c)).alias(f"_{c}") for c in ("words", "spans", "items")])
         same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("l.key").eqNullSafe(F.col("r.key"))
         both = out.alias("l").join(more.alias("r"), same, "left")
-        out = both.select("l.doc_id", "l.key", "l.n_words", *["l._row"] * carry, *[
+        out = both.select("l.doc_id", "l.key", "l.n_words", *(["l._row"] if carry else []), *[
             F.when(F.col(f"_{c}").isNull(), F.col(f"l.{c}")).otherwise(
                 F.array_sort(F.array_distinct(F.concat(f"l.{c}", f"_{c}"))) if c == "items" else _merged(F.concat(f"l.{c}", f"_{c}"))
             ).alias(c) for c in ("words", "spans", "items")])
