@@ -11,18 +11,16 @@ from talkframe import fixed
 from talkframe.operators import sequence as seq
 
 
-def candidates(n: int = 512, seed: int = 7, weights: dict = fixed.FUSION_WEIGHTS) -> np.ndarray:
-    """The default pair first, then ``n - 1`` random splits of the free mass."""
-    text = weights["text"] + weights["context"] + weights["memory"]
-    free = 1.0 - weights["temporal"] - text
-    pair = np.array([weights["behavior"], weights["hidden"]])
-    rng = np.random.default_rng(seed)
-    return np.vstack([pair, *[rng.dirichlet(pair / pair.sum() * 12) * free for _ in range(n - 1)]])
+def candidates(n: int = 512, weights: dict = fixed.FUSION_WEIGHTS) -> np.ndarray:
+    """The default pair, then an even grid of ``n - 1`` pairs with the same sum: only their ratio is free."""
+    default = (weights["behavior"], weights["hidden"])
+    hidden = np.linspace(0.0, sum(default), n - 1)
+    return np.concatenate([[default], np.stack([sum(default) - hidden, hidden], axis=1)])
 
 
-def search(df: DataFrame, pred: Column, gold: Column, evidence: dict[str, Column], n: int = 512, seed: int = 7,
+def search(df: DataFrame, pred: Column, gold: Column, evidence: dict[str, Column], n: int = 512,
            weights: dict = fixed.FUSION_WEIGHTS) -> DataFrame:
-    """One row of weights. ``evidence`` gives the ``text``, ``behavior`` and ``hidden`` streams of a message.
+    """One row of weights. ``evidence`` gives the ``text``, ``behavior`` and ``hidden`` streams of a message; ``n`` pairs are tried.
 
     Each task folds its rows into one vector of squared-error sums (a number per candidate), so rows are neither
     multiplied by the candidates nor shuffled.
@@ -30,7 +28,7 @@ def search(df: DataFrame, pred: Column, gold: Column, evidence: dict[str, Column
     rows = df.select(F.abs(pred - gold).alias("miss"), *[c.alias(k) for k, c in evidence.items()])
     row = seq.exact_quantiles(rows, "miss", {"tau": 0.5}, 0.05, keys=[]).first()
     tau = max(row["tau"] if row else 1.0, 1.0)
-    pairs = candidates(n, seed, weights)
+    pairs = candidates(n, weights)
     text = weights["text"] + weights["context"] + weights["memory"]
 
     def fold(batches):

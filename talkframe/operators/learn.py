@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from talkframe import fixed
 from talkframe.functions.text import BEHAVIOUR
 from talkframe.operators import context, vectors
-from talkframe.operators import sequence as seq
 from talkframe.operators.splits import hash_key
 from talkframe.session import settle
 
@@ -146,14 +145,11 @@ def fit_binary(train: DataFrame, label: str, ident: Column, c: float = 1.6, fold
 
 
 def fit_tension(train: DataFrame, label: str = "tension", alpha: float = 1.0) -> Head:
-    """Ridge regression with penalty ``alpha``; the closed-form solver where the width allows it."""
-    width = len(train.select("features").first()["features"])
-    s = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("pop"), F.stddev_samp(label).alias("samp")).first()
-    closed = width <= 4096
-    sd = (s["pop"] if closed else s["samp"]) or 1.0
+    """Ridge regression with penalty ``alpha``, by one solver for every width."""
+    s = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(label).alias("sd")).first()
     model = LinearRegression(
-        featuresCol="features", labelCol=label, solver="normal" if closed else "l-bfgs", regParam=alpha * sd / s["n"],
-        elasticNetParam=0.0, standardization=False, maxIter=100,
+        featuresCol="features", labelCol=label, solver="l-bfgs", regParam=alpha * (s["sd"] or 1.0) / s["n"],
+        elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-8,
     ).fit(train)
     return Head("tension", [], [model.coefficients.toArray().tolist()], [float(model.intercept)])
 
@@ -229,9 +225,10 @@ def apply(df: DataFrame, model: Model, features: str = "features", with_confiden
 def predict_sequential(df: DataFrame, model: Model, k: int = 4, window: int = 5, picks: int = 3) -> DataFrame:
     """Score messages in order, feeding each prediction back as history for the later ones.
 
-    Input: messages with the behaviour columns. The recurrence runs inside a conversation, so conversations are the
+    Input: messages with the behaviour columns. The recurrence runs along a conversation, so conversations are the
     unit of distribution; a task streams its sorted rows and holds only the last ``k`` messages, ``picks`` salient
-    ones and the last ``window`` states per speaker, never a whole conversation.
+    ones and the last ``window`` states per speaker, never a whole conversation. A very long conversation takes its task
+    long, but no more memory. ``<head>_probs`` holds the probability of every class of a label head.
     """
     tokens = vectors.terms(F.col("text"), n=1)
     rows = df.select(CONV, "pos", "message_id", "speaker_id", tokens.alias("tokens"), F.array(*[F.col(c).cast("double") for c in BEHAVIOUR]).alias("behave"))
@@ -287,7 +284,9 @@ def predict_sequential(df: DataFrame, model: Model, k: int = 4, window: int = 5,
                     z = w[:, ids] @ vals + c
                     if heads[h].kind == "labels":
                         e = np.exp(z - z.max())
-                        res[h], res[f"{h}_confidence"] = heads[h].classes[int(z.argmax())], float((e / e.sum()).max())
+                        p = e / e.sum()
+                        res[h], res[f"{h}_confidence"] = heads[h].classes[int(z.argmax())], float(p.max())
+                        res[f"{h}_probs"] = dict(zip(heads[h].classes, p.tolist()))
                     elif heads[h].kind == "tension":
                         res[h] = float(min(max(z[0], 0.0), 100.0))
                     else:
@@ -295,7 +294,8 @@ def predict_sequential(df: DataFrame, model: Model, k: int = 4, window: int = 5,
                         res[f"{h}_p"] = float((1 / (1 + np.exp(-(z * cv[:, 0] + cv[:, 1])))).mean())
                 tension = res.get("tension", 0.0)
                 out.append((r.conversation_id, r.message_id, r.speaker_id, *(res.get(h, "neutral") for h in MULTI),
-                            *(res.get(f"{h}_confidence", 0.0) for h in MULTI), *(res.get(f"{h}_p", 0.0) for h in BINARY), tension))
+                            *(res.get(f"{h}_confidence", 0.0) for h in MULTI), *(res.get(f"{h}_probs", {}) for h in MULTI),
+                            *(res.get(f"{h}_p", 0.0) for h in BINARY), tension))
                 state[0], state[1], state[2] = (res.get(h, "neutral") for h in ("emotion", "tone", "sentiment"))
                 state[3] = [*state[3], tension][-window:]
                 recent.append((abs(tension), -r.pos, tok))
@@ -303,24 +303,28 @@ def predict_sequential(df: DataFrame, model: Model, k: int = 4, window: int = 5,
                     older = sorted([*older, recent.pop(0)], key=lambda s: (-s[0], -s[1]))[:picks]
             yield pd.DataFrame(out, columns=names)
 
-    names = [CONV, "message_id", "speaker_id", *MULTI, *[f"{h}_confidence" for h in MULTI], *[f"{h}_p" for h in BINARY], "tension"]
-    kinds = [df.schema[CONV].dataType.simpleString(), "bigint", "string", *["string"] * 3, *["double"] * 7]
+    names = [CONV, "message_id", "speaker_id", *MULTI, *[f"{h}_confidence" for h in MULTI], *[f"{h}_probs" for h in MULTI],
+             *[f"{h}_p" for h in BINARY], "tension"]
+    kinds = [df.schema[CONV].dataType.simpleString(), "bigint", "string", *["string"] * 3, *["double"] * 3, *["map<string,double>"] * 3,
+             *["double"] * 4]
     return rows.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in zip(names, kinds)))
 
 
-def predict_by_sweeps(df: DataFrame, model: Model, tolerance: float = 1e-9, k: int = 4, window: int = 5, picks: int = 3) -> DataFrame:
-    """The result of ``predict_sequential`` without running along a conversation.
+def predict_by_sweeps(df: DataFrame, model: Model, tolerance: float = 1e-9, k: int = 4, window: int = 5, picks: int = 3,
+                      max_sweeps: int = 50) -> DataFrame:
+    """The labels, confidences and scores of ``predict_sequential`` without running along a conversation.
 
     Every sweep scores all messages at once with the previous sweep's predictions as history. A message depends only on
     earlier ones, so when a sweep changes nothing the predictions are the sequential ones; the first i messages are final
     after i sweeps at the latest, usually far sooner. All work is block-wise, so one long conversation spreads out.
+    Raises when ``max_sweeps`` sweeps do not settle.
     """
     base = settle(df.select(CONV, "pos", "message_id", "speaker_id", "text", *BEHAVIOUR), "sweep-base")
     state = base.select(
         CONV, "pos", *[F.lit("neutral").alias(h) for h in MULTI], *[F.lit(0.0).alias(f"{h}_confidence") for h in MULTI],
         *[F.lit(0.0).alias(f"{h}_p") for h in BINARY], F.lit(0.0).alias("tension"),
     )
-    while True:
+    for _ in range(max_sweeps):
         rows = base.join(state, [CONV, "pos"])
         if "context" in model.blocks:
             rows = context.context_window(rows, k, picks)
@@ -345,15 +349,13 @@ def predict_by_sweeps(df: DataFrame, model: Model, tolerance: float = 1e-9, k: i
         state = new.drop(*[f"_old_{c}" for c in (*MULTI, "tension")])
         if done:
             break
+    else:
+        raise RuntimeError(f"predictions did not settle in {max_sweeps} sweeps")
     names = [*MULTI, *[f"{h}_confidence" for h in MULTI], *[f"{h}_p" for h in BINARY], "tension"]
     return base.select(CONV, "pos", "message_id", "speaker_id").join(state, [CONV, "pos"]).select(CONV, "message_id", "speaker_id", *names)
 
 
-def predict(df: DataFrame, model: Model, longest: int = 100_000) -> DataFrame:
-    """Sequential inference; conversations longer than ``longest`` messages go through sweeps instead of one task."""
-    sizes = df.groupBy(CONV).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > longest).select(CONV)
-    if sizes.isEmpty():
-        return predict_sequential(df, model)
-    short = seq.lookup(df, sizes, [CONV], ["message_id"], "left_anti")
-    long = seq.lookup(df, sizes, [CONV], ["message_id"], "left_semi")
-    return predict_sequential(short, model).unionByName(predict_by_sweeps(long, model))
+def top_classes(probs: str, k: int = 3) -> Column:
+    """The ``k`` likeliest classes of a ``<head>_probs`` map as (label, p), likeliest first, ties by label."""
+    pairs = F.transform(F.map_entries(probs), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("label"), e["value"].alias("p")))
+    return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda e: F.struct(e["label"].alias("label"), e["p"].alias("p")))

@@ -194,6 +194,21 @@ def mcnemar(df: DataFrame, a: Column, b: Column) -> DataFrame:
     return t.select(x, y, (x + y).alias("discordant"), _exact_two_sided()(x, y).alias("p_value"))
 
 
+def select_on_validation(df: DataFrame, gold: str, candidates: list[str], split: str = "split") -> DataFrame:
+    """One row per candidate prediction column: accuracy on the validation and test rows, and whether it is the one to use (best on
+    validation, ties to the candidate named first). Test rows have no say in the choice."""
+    def hit(c: str, part: str) -> Column:
+        return F.avg(F.when(F.col(split) == part, (F.col(c) == F.col(gold)).cast("double")))
+
+    wide = df.agg(*[hit(c, part).alias(f"{c}_{part}") for c in candidates for part in ("val", "test")])
+    rows = F.inline(F.array(*[
+        F.struct(F.lit(c).alias("model"), F.lit(i).alias("place"), F.col(f"{c}_val").alias("val"), F.col(f"{c}_test").alias("test"))
+        for i, c in enumerate(candidates)]))
+    best = Window.partitionBy()  # one row per candidate
+    return wide.select(rows).withColumn(
+        "selected", F.col("place") == F.max(F.struct("val", (-F.col("place")).alias("p"))).over(best)["p"] * -1).drop("place")
+
+
 def bootstrap_delta(df: DataFrame, a: Column, b: Column, n_boot: int = 2000, seed: int = 42) -> DataFrame:
     """Accuracy difference of two paired predictors with a percentile interval.
 
@@ -222,7 +237,12 @@ def bootstrap_delta(df: DataFrame, a: Column, b: Column, n_boot: int = 2000, see
 
 
 def split_independence(df: DataFrame, label: str, splits: tuple = ("train", "val", "test")) -> DataFrame:
-    """Chi-square of split against label, its p-value, and the largest class-share deviation of any split."""
+    """Chi-square of split against label, its p-value, and the largest class-share deviation of any split.
+
+    The number of splits must be odd, so that the degrees of freedom are even whatever the number of labels.
+    """
+    if len(splits) % 2 == 0:
+        raise ValueError("the p-value needs an odd number of splits")
     per = df.groupBy(F.col(label).alias("label")).agg(*[F.count(F.when(F.col("split") == s, 1)).alias(s) for s in splits])
     whole = Window.partitionBy()  # one row per label
     per = per.select("*", *[F.sum(s).over(whole).alias(f"n_{s}") for s in splits]).withColumn("k", sum(F.col(s) for s in splits))

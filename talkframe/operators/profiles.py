@@ -45,10 +45,19 @@ def label_shares(df: DataFrame, keys: list[str], limits: dict[str, int]) -> Data
     return ranked.filter(keep)
 
 
-def conversation_summary(df: DataFrame, sarcasm: str = "p", irony: str = "irony_p", pa: str = "pa_p") -> DataFrame:
-    """Size, speakers, dominant emotion, sentiment counts, mean hidden-signal levels, tension and trajectory."""
+def _top_lists(shares: DataFrame) -> DataFrame:
+    """``top_emotions`` and ``top_tones`` per conversation: (label, n), most frequent first. A few entries each."""
+    def listed(kind: str) -> Column:
+        rows = F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", "label", "n"))))
+        return F.transform(rows, lambda x: F.struct(x["label"].alias("label"), x["n"].alias("n")))
+
+    return shares.groupBy(CONV).agg(listed("emotion").alias("top_emotions"), listed("tone").alias("top_tones"))
+
+
+def conversation_summary(df: DataFrame, sarcasm: str = "p", irony: str = "irony_p", pa: str = "pa_p", emotions: int = 3, tones: int = 6) -> DataFrame:
+    """Size, speakers, most frequent emotions and tones, sentiment counts, mean hidden-signal levels, tension and trajectory."""
     speakers = df.groupBy(CONV, "speaker_id").agg(F.lit(1).alias("x")).groupBy(CONV).agg(F.count("x").alias("n_speakers"))
-    top = label_shares(df, [CONV], {"emotion": 1}).select(CONV, F.col("label").alias("dominant_emotion"))
+    top = _top_lists(label_shares(df, [CONV], {"emotion": emotions, "tone": tones})).withColumn("dominant_emotion", F.get("top_emotions", F.lit(0))["label"])
     base = df.groupBy(CONV).agg(
         F.count(F.lit(1)).alias("n_messages"),
         *[F.count(F.when(F.col("sentiment") == s, 1)).alias(f"n_{s}") for s in fixed.SENTIMENTS],
@@ -63,17 +72,19 @@ def conversation_summary(df: DataFrame, sarcasm: str = "p", irony: str = "irony_
 
 
 def conversation_block(df: DataFrame) -> DataFrame:
-    """Identity of a conversation: platform and time of the first message, time of the last, counts."""
+    """Identity of a conversation: platform and time of the first message, time of the last, counts, and the sorted speakers."""
     at = F.struct("message_id", "platform", "ts")
     ends = df.groupBy(CONV).agg(
         F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("message_count")
     )
-    speakers = df.groupBy(CONV, "speaker_id").agg(F.lit(1).alias("x")).groupBy(CONV).agg(F.count("x").alias("n_speakers"))
+    speakers = df.select(CONV, "speaker_id").distinct().groupBy(CONV).agg(
+        F.count("*").alias("n_speakers"), F.sort_array(F.collect_list("speaker_id")).alias("speakers"))
     return ends.join(speakers, CONV).select(
         CONV,
         F.col("first.platform").alias("platform"),
         "message_count",
         "n_speakers",
+        "speakers",
         F.col("first.ts").cast("string").alias("first_timestamp"),
         F.col("last.ts").cast("string").alias("last_timestamp"),
         F.lit(fixed.SCHEMA_VERSION).alias("schema_version"),

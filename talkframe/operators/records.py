@@ -41,6 +41,11 @@ def timeline(df: DataFrame, sarcasm: str = "p") -> DataFrame:
     return df.select(CONV, "message_id", "speaker_id", "emotion", "tension", "sentiment", "tone", F.col(sarcasm).alias("sarcasm"))
 
 
+def probe_turns(df: DataFrame, flag: str = "is_probe") -> DataFrame:
+    """Only the turns marked as probes; a missing mark is none."""
+    return df.filter(F.coalesce(F.col(flag).cast("boolean"), F.lit(False)))
+
+
 def preview(df: DataFrame, n: int = 10) -> DataFrame:
     """First ``n`` messages of each conversation."""
     return seq.with_positions(df).filter(F.col("pos") < n)

@@ -135,6 +135,7 @@ def extrema(df: DataFrame, prominence: float = 0.18) -> DataFrame:
         & (F.col("y") - F.col("beside") >= -1e-9)
         & (F.col("y") - F.least(left, right) >= prominence)
     )
+    hits = settle(hits.select(*keys, "message_id", "pos", "y"), "extrema")  # few rows, read five times
     kept = seq.merge_close(hits, "y", keys)
     return hits.join(kept, [*keys, "pos"], "left_semi").select(
         CONV, "kind", "message_id", "pos", F.abs("y").alias("intensity")

@@ -22,11 +22,13 @@ CONV = "conversation_id"
 def score(df: DataFrame, model: learn.Model) -> DataFrame:
     """Unlabelled messages to labelled ones, with the model's own predictions as history."""
     rows = text.behaviour(context.response_gap(seq.with_positions(df)), gap="gap_hours")
-    got = learn.predict(rows, model).drop("speaker_id")
+    got = learn.predict_sequential(rows, model).drop("speaker_id")
     out = seq.with_positions(df).join(got, [CONV, "message_id"])
-    return out.withColumns({"p_positive": F.when(F.col("sentiment") == "positive", F.col("sentiment_confidence")).otherwise(F.lit(0.0)),
-                            "p_negative": F.when(F.col("sentiment") == "negative", F.col("sentiment_confidence")).otherwise(F.lit(0.0)),
-                            "pa_p": F.col("passive_aggression_p")})
+    return out.withColumns({
+        **{f"p_{s}": F.coalesce(F.element_at("sentiment_probs", s), F.lit(0.0)) for s in ("positive", "negative")},
+        **{f"{h}_top3": learn.top_classes(f"{h}_probs") for h in learn.MULTI},
+        "pa_p": F.col("passive_aggression_p"),
+    })
 
 
 def analyze(df: DataFrame, weights: dict = fixed.FUSION_WEIGHTS) -> dict[str, DataFrame]:
@@ -34,6 +36,7 @@ def analyze(df: DataFrame, weights: dict = fixed.FUSION_WEIGHTS) -> dict[str, Da
     read = settle(read_messages(seq.with_positions(df), weights), "read")
     return {
         "messages": read,
+        "conversation": profiles.conversation_block(read if "platform" in read.columns else read.withColumn("platform", F.lit("generic"))),
         "summary": profiles.conversation_summary(read, "sarcasm_score", "irony_score", "pa_score"),
         "emotional_arc": temporal.arc_summary(read),
         "arc_peaks": temporal.extrema(read),
@@ -43,6 +46,8 @@ def analyze(df: DataFrame, weights: dict = fixed.FUSION_WEIGHTS) -> dict[str, Da
         "escalation": temporal.trajectory(read),
         "escalation_phases": temporal.phases(read),
         "speaker_profiles": profiles.speaker_profiles(read, "sarcasm_score", "pa_score"),
+        "speaker_labels": profiles.label_shares(read, [CONV, "speaker_id"], {"emotion": 3, "tone": 3, "sentiment": 3}),
+        "digest": explain.digest(read.withColumnsRenamed({"sarcasm_score": "p"}) if "p" not in read.columns else read),
         "explanations": explain.explain_messages(read),
         "what_changed": explain.what_changed(read),
         "topics": segments.topic_segments(read),

@@ -101,35 +101,44 @@ def corpus_stats(spark, sf):
 
 
 SUMMARY_SQL = """
-emo as (select conversation_id, emotion, row_number() over (partition by conversation_id order by count(*) desc, emotion) as rk
+emo as (select conversation_id, emotion, count(*) as k, row_number() over (partition by conversation_id order by count(*) desc, emotion) as rk
   from signals group by 1, 2),
+ton as (select conversation_id, tone, count(*) as k, row_number() over (partition by conversation_id order by count(*) desc, tone) as rk
+  from signals group by 1, 2),
+tops as (select conversation_id, string_agg(emotion || ':' || k, ',' order by rk) as top_emotions from emo where rk <= 3 group by 1),
+topt as (select conversation_id, string_agg(tone || ':' || k, ',' order by rk) as top_tones from ton where rk <= 6 group by 1),
 base as (select conversation_id, count(*) as n_messages, count(distinct speaker_id) as n_speakers,
   count(*) filter (sentiment = 'positive') as n_positive, count(*) filter (sentiment = 'neutral') as n_neutral,
   count(*) filter (sentiment = 'negative') as n_negative, round(avg(p), 6) as sarcasm_level, round(avg(irony_p), 6) as irony_level,
   round(avg(pa_p), 6) as passive_aggression_level, round(avg(tension), 6) as mean_tension, max(tension) as peak_tension
   from signals group by 1),
-summ as (select base.*, emo.emotion as dominant_emotion, traj.trajectory from base
+summ as (select base.*, emo.emotion as dominant_emotion, traj.trajectory, top_emotions, top_tones from base
+  join tops on tops.conversation_id = base.conversation_id join topt on topt.conversation_id = base.conversation_id
   join emo on emo.conversation_id = base.conversation_id and rk = 1 join traj on traj.conversation_id = base.conversation_id)"""
 _LEVELS = ("sarcasm_level", "irony_level", "passive_aggression_level", "mean_tension")
 
 
 @query("conversation_summary", over_signals(f"{TRAJECTORY_SQL.strip()}, {SUMMARY_SQL.strip()}\nselect * from summ"))
 def conversation_summary(spark, sf):
-    return rounded(profiles.conversation_summary(views.signals(spark, sf)), *_LEVELS)
+    return rounded(_shown(profiles.conversation_summary(views.placed_signals(spark, sf))), *_LEVELS)
+
+
+def _shown(summary):
+    return summary.withColumns({c: F.expr(f"array_join(transform({c}, x -> concat(x.label, ':', x.n)), ',')") for c in ("top_emotions", "top_tones")})
 
 
 @query(
     "conversation_block",
     over_messages("""
 select conversation_id, min_by(case when message_id % 2 = 1 then 'generic' else 'slack' end, message_id) as platform,
- count(*) as message_count, count(distinct speaker_id) as n_speakers,
+ count(*) as message_count, count(distinct speaker_id) as n_speakers, string_agg(distinct speaker_id, ',' order by speaker_id) as speakers,
  strftime(arg_min_null(ts, message_id), '%Y-%m-%d %H:%M:%S') as first_timestamp,
  strftime(arg_max_null(ts, message_id), '%Y-%m-%d %H:%M:%S') as last_timestamp, '1.0.0' as schema_version
 from messages group by 1"""),
 )
 def conversation_block(spark, sf):
     rows = views.messages(spark, sf).withColumn("platform", F.when(F.col("message_id") % 2 == 1, "generic").otherwise("slack"))
-    return profiles.conversation_block(rows)
+    return profiles.conversation_block(rows).withColumn("speakers", F.array_join("speakers", ","))
 
 
 @query(
@@ -188,9 +197,9 @@ ns as (select conversation_id, count(distinct segment_id) as n_segments from tse
 select summ.*, coalesce(nt.n, 0) as n_turning_points, n_segments from summ left join nt using (conversation_id) join ns using (conversation_id)"""),
 )
 def scenario_summary(spark, sf):
-    rows = views.signals(spark, sf)
+    rows = views.placed_signals(spark, sf)
     timed = seg.time_segments(rows).withColumn("method", F.lit("time-gap"))
-    return rounded(profiles.scenario_summary(rows, seg.segment_list(timed)), *_LEVELS)
+    return rounded(_shown(profiles.scenario_summary(rows, seg.segment_list(timed))), *_LEVELS)
 
 
 @query(
@@ -202,7 +211,7 @@ select traj.*, coalesce(nt.n, 0) as n_turning_points, n_speakers, mean_tension,
 from traj left join nt using (conversation_id) join ns using (conversation_id) join rec using (conversation_id)"""),
 )
 def conversation_overview(spark, sf):
-    rows = views.signals(spark, sf)
+    rows = views.placed_signals(spark, sf)
     tp = temporal.turning_points(rows).groupBy(CONV).agg(F.count(F.lit(1)).alias("n_turning_points"))
     per = rows.groupBy(CONV, "speaker_id").agg(F.sum("tension").alias("t"), F.count(F.lit(1)).alias("k"))
     speakers = per.groupBy(CONV).agg(F.count(F.lit(1)).alias("n_speakers"), (F.sum("t") / F.sum("k")).alias("mean_tension"))

@@ -154,7 +154,7 @@ cseg as (select s.*, cast(sum(case when c.is_cut then 1 else 0 end) over
                  + "\nselect conversation_id, message_id, segment_id from cseg"),
 )
 def segments_cohesion(spark, sf):
-    return segments.cohesion_segments(views.signals(spark, sf)).select(CONV, "message_id", "segment_id")
+    return segments.cohesion_segments(views.placed_signals(spark, sf)).select(CONV, "message_id", "segment_id")
 
 
 TOPICS_SQL = f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talkframe import views
-from talkframe.operators import metrics, splits
+from talkframe.operators import metrics, records, splits
 from talkframe.operators import sequence as seq
 from talkframe.queries.aggregates import rounded
 from talkframe.queries.registry import over_signals, query
@@ -304,3 +304,31 @@ def model_compare(spark, sf):
     out = wide.select("evaluated_on", F.col("before_acc").alias("before"), F.col("after_acc").alias("after"),
                       (F.col("after_acc") - F.col("before_acc")).alias("delta"), F.col("after_n").alias("n"))
     return rounded(out, "before", "after", "delta")
+
+
+@query(
+    "probe_metrics",
+    over_signals(f"""x as (select sentiment as gold, pred_sentiment as pred, count(*) as n from signals where event_id % 5 = 0 group by 1, 2),
+{CLASS_SQL.format(c='x').strip()}
+select * from cm"""),
+)
+def probe_metrics(spark, sf):
+    """Sentiment quality on the probe turns alone."""
+    marked = views.signals(spark, sf).withColumn("is_probe", F.when(F.col("event_id") % 5 == 0, True))
+    return rounded(metrics.classification(metrics.confusion(records.probe_turns(marked), "sentiment", "pred_sentiment")), *_CM)
+
+
+@query(
+    "model_select",
+    over_signals(HASH_SQL.format(src="signals").strip() + """,
+x as (select split, emotion, pred_emotion as p0, case when event_id % 3 = 0 then 'neutral' else emotion end as p1, 'neutral' as p2 from signals join split using (conversation_id)),
+m as (select unnest([0, 1, 2]) as place, unnest(['head', 'fallback', 'constant']) as model, unnest([p0, p1, p2]) = emotion as hit, split from x),
+a as (select place, model, avg(case when hit then 1 else 0 end) filter (split = 'val') as val, avg(case when hit then 1 else 0 end) filter (split = 'test') as test from m group by 1, 2)
+select model, round(val, 6) as val, round(test, 6) as test, row_number() over (order by val desc, place) = 1 as selected from a"""),
+)
+def model_select(spark, sf):
+    """The model that does best on validation rows, with its test accuracy."""
+    rows = splits.with_split(views.signals(spark, sf)).select(
+        "split", "emotion", F.col("pred_emotion").alias("head"), F.when(F.col("event_id") % 3 == 0, "neutral").otherwise(F.col("emotion")).alias("fallback"),
+        F.lit("neutral").alias("constant"))
+    return rounded(metrics.select_on_validation(rows, "emotion", ["head", "fallback", "constant"]), "val", "test")

@@ -273,5 +273,5 @@ select conversation_id, n as n_messages, n_speakers, n_flagged,
 from o"""),
 )
 def digest(spark, sf):
-    out = explain.digest(views.signals(spark, sf))
+    out = explain.digest(views.placed_signals(spark, sf))
     return out.withColumns({c: F.round(c, 6) for c in ("tension_change", "escalation_rate")})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from talkframe import views
 from talkframe.functions import text
 from talkframe.operators import context, learn, metrics, splits
-from talkframe.plans import enrich
+from talkframe.plans import analyze, enrich
 from talkframe.queries import sqltext as t
 from talkframe.queries.aggregates import rounded
 from talkframe.queries.context import MEMORY_SQL, MEMORY_VECTOR_SQL
@@ -101,8 +101,55 @@ def embedding_heads(spark, sf):
     return learn.apply(rows, learn.Model([], learn.Terms(), {"label": head})).select("vec_id", "train", "label", "label_hat")
 
 
-@query("predict_sequential")
+#: Hand-written heads over behaviour and memory, so that SQL can follow the recurrence: tension is ten more than the speaker's mean recent
+#: tension; sentiment depends on that mean and on shortness.
+_AT = {"heat": len(text.BEHAVIOUR) + 4, "short": text.BEHAVIOUR.index("is_short")}
+_SENTIMENT = {"negative": (6.0, 0.5, -1.0), "neutral": (0.0, 0.0, 0.5), "positive": (-3.0, 1.0, 0.25)}  # heat, short, constant
+
+
+def history_model():
+    def row(heat, short):
+        out = [0.0] * (len(text.BEHAVIOUR) + 10)
+        out[_AT["heat"]], out[_AT["short"]] = heat, short
+        return out
+
+    labels = learn.Head("labels", list(_SENTIMENT), [row(a, b) for a, b, _ in _SENTIMENT.values()], [c for _, _, c in _SENTIMENT.values()])
+    tension = learn.Head("tension", [], [row(100.0, 0.0)], [10.0])
+    return learn.Model(["behaviour", "memory"], learn.Terms(), {"sentiment": labels, "tension": tension})
+
+
+_Z = {k: f"exp({a} * heat + {b} * is_short + {c})" for k, (a, b, c) in _SENTIMENT.items()}
+HISTORY_SQL = f"""{t.GAPS_SQL}, {t.BEHAVE_SQL},
+o as (select conversation_id, speaker_id, message_id, is_short, row_number() over (partition by conversation_id, speaker_id order by message_id) as rn from behave),
+rec as (select conversation_id, speaker_id, rn, [cast(10 as double)] as five, cast(0 as double) as heat from o where rn = 1
+  union all select o.conversation_id, o.speaker_id, o.rn, list_append(five, least(list_avg(five[-5:]) + 10, 100)), list_avg(five[-5:]) / 100
+  from rec join o on o.conversation_id = rec.conversation_id and o.speaker_id = rec.speaker_id and o.rn = rec.rn + 1),
+z as (select o.*, heat, {', '.join(f'{e} as e_{k}' for k, e in _Z.items())} from o join rec using (conversation_id, speaker_id, rn)),
+pr as (select *, e_negative / (e_negative + e_neutral + e_positive) as p_negative, e_positive / (e_negative + e_neutral + e_positive) as p_positive,
+  greatest(e_negative, e_neutral, e_positive) as top from z)"""
+
+
+@query(
+    "predict_sequential",
+    over_messages(f"""{HISTORY_SQL}
+select conversation_id, message_id, speaker_id, round(least(heat * 100 + 10, 100), 6) as tension,
+ case when e_negative = top then 'negative' when e_neutral = top then 'neutral' else 'positive' end as sentiment,
+ round(p_positive, 6) as p_positive, round(p_negative, 6) as p_negative, round(top / (e_negative + e_neutral + e_positive), 6) as sentiment_confidence from pr"""),
+)
 def predict_sequential(spark, sf):
-    rows, terms = designed(spark, sf)
-    model = learn.fit(rows.filter("split = 'train'"), terms, "D", ("sentiment", "emotion", "tone", "tension"))
-    return learn.predict_sequential(rows, model)
+    """Scores with the model's own predictions as history, and the probabilities polarity is taken from."""
+    out = analyze.score(views.messages(spark, sf).select(CONV, "message_id", "pos", "speaker_id", "ts", "text"), history_model())
+    return rounded(out.select(CONV, "message_id", "speaker_id", "tension", "sentiment", "p_positive", "p_negative", "sentiment_confidence"),
+                   "tension", "p_positive", "p_negative", "sentiment_confidence")
+
+
+@query(
+    "head_top_classes",
+    over_messages(f"""{HISTORY_SQL},
+l as (select conversation_id, message_id, unnest(['negative', 'neutral', 'positive']) as label, unnest([e_negative, e_neutral, e_positive]) as e from pr)
+select conversation_id, message_id, string_agg(label, ',' order by e desc, label) as top3 from l group by 1, 2"""),
+)
+def head_top_classes(spark, sf):
+    """The likeliest classes of a head, likeliest first."""
+    out = analyze.score(views.messages(spark, sf).select(CONV, "message_id", "pos", "speaker_id", "ts", "text"), history_model())
+    return out.select(CONV, "message_id", F.array_join(F.transform("sentiment_top3", lambda x: x["label"]), ",").alias("top3"))

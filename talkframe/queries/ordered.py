@@ -84,7 +84,7 @@ select conversation_id, message_id, speaker_id as speaker, prev_emotion as befor
 from tp"""),
 )
 def turning_points(spark, sf):
-    out = temporal.turning_points(views.signals(spark, sf)).drop("pos")
+    out = temporal.turning_points(views.placed_signals(spark, sf)).drop("pos")
     return out.withColumns({c: F.round(c, 6) for c in ("tension_change", "robust_z")})
 
 
@@ -114,7 +114,7 @@ select h.conversation_id, h.kind, h.message_id, abs(h.y) as intensity
 from h join fin using (conversation_id, kind, pos)"""),
 )
 def arc_peaks(spark, sf):
-    return temporal.extrema(views.signals(spark, sf)).drop("pos")
+    return temporal.extrema(views.placed_signals(spark, sf)).drop("pos")
 
 
 RECOVERY_SQL = f"""
@@ -142,7 +142,7 @@ select conversation_id, round(m, 6) as mean_intensity, pk as peak_intensity,
 from a join rec using (conversation_id)"""),
 )
 def arc_summary(spark, sf):
-    out = temporal.arc_summary(views.signals(spark, sf))
+    out = temporal.arc_summary(views.placed_signals(spark, sf))
     return out.withColumns({c: F.round(c, 6) for c in ("mean_intensity", "stability")})
 
 
@@ -179,7 +179,7 @@ _TRAJ_ROUND = ("escalation_rate", "start_tension", "middle_tension", "end_tensio
 
 @query("trajectory", over_signals(f"{TRAJECTORY_SQL}\nselect * from traj"))
 def trajectory(spark, sf):
-    out = temporal.trajectory(views.signals(spark, sf))
+    out = temporal.trajectory(views.placed_signals(spark, sf))
     return out.withColumns({c: F.round(c, 6) for c in _TRAJ_ROUND})
 
 

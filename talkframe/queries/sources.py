@@ -198,7 +198,7 @@ def scan_jsonl(spark, sf):
     path = work_dir(spark, "jsonl")
     blank = F.when(F.col("turn") % 2 == 0, "").otherwise("  ")
     t_.select(F.explode(F.array(F.to_json(F.struct("conv_id", "turn", "role", "text")), blank)).alias("value")).write.text(path)
-    return tables.read_jsonl(spark, path, _LINE_SCHEMA).filter("conv_id is not null")
+    return tables.read_jsonl(spark, path, _LINE_SCHEMA)
 
 
 @query("sink_jsonl_roundtrip", over_messages("select conversation_id, message_id, speaker_id, text, emotion, tension from messages"))

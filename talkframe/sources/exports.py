@@ -1,18 +1,19 @@
 """Chat exports to one ``messages`` table: phone exports, clock-stamped text, speaker lines, JSON arrays, CSV.
 
-Exports are files of at most ``fixed.MAX_EXPORT_BYTES`` (larger ones are rejected), so a whole file is a bounded value;
-lines of one file are still numbered block by block. Output columns:
+A file is one value of its row; its lines are numbered block by block. A file no chat reader finds a message in is read as speaker
+lines, so nothing is lost to a wrong guess. Output columns:
 ``conversation_id, message_id, speaker_id, ts, text, platform``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkframe import fixed
 from talkframe.functions.text import speaker_name, strip_space
 from talkframe.operators import sequence as seq
+from talkframe.session import settle
 
 FILE = "file_id"
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
@@ -23,9 +24,11 @@ ELEMENT = (
 COLUMNS = ["conversation_id", "message_id", "speaker_id", "ts", "text", "platform"]
 
 
-def read_exports(spark: SparkSession, path: str, max_bytes: int = fixed.MAX_EXPORT_BYTES) -> DataFrame:
-    """(file_id, raw) per file; bytes that are not UTF-8 are replaced. The size filter is pushed to the listing."""
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= max_bytes)
+def read_exports(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """(file_id, raw) per file; bytes that are not UTF-8 are replaced. No file is left out unless ``max_bytes`` asks for it (the guard of an
+    upload service is ``fixed.MAX_EXPORT_BYTES``; ``rejected_exports`` lists what it turns away)."""
+    files = spark.read.format("binaryFile").load(path)
+    files = files if max_bytes is None else files.filter(F.col("length") <= max_bytes)
     return files.select(F.col("path").alias(FILE), F.make_valid_utf8(F.col("content").cast("string")).alias("raw"))
 
 
@@ -147,12 +150,13 @@ def parse_author_json(docs: DataFrame) -> DataFrame:
     )
 
 
+def epoch_messages(items: Column) -> Column:
+    return F.filter(items, lambda m: F.coalesce(m["subtype"], F.lit("")).eqNullSafe("") & (strip_space(F.coalesce(m["text"], F.lit(""))) != ""))
+
+
 def parse_epoch_json(docs: DataFrame) -> DataFrame:
     """JSON arrays with ``user`` and epoch ``ts``; rows with a subtype or no text are dropped before numbering."""
-    kept = F.filter(
-        elements(F.col("raw")), lambda m: F.coalesce(m["subtype"], F.lit("")).eqNullSafe("") & (strip_space(F.coalesce(m["text"], F.lit(""))) != "")
-    )
-    rows = _exploded(docs, kept)
+    rows = _exploded(docs, epoch_messages(elements(F.col("raw"))))
     stamp = F.timestamp_seconds(F.col("m.ts").try_cast("double"))
     return rows.select(
         "conversation_id", "message_id", speaker_name(F.coalesce("m.user", "m.username", F.lit("unknown"))).alias("speaker_id"),
@@ -161,71 +165,75 @@ def parse_epoch_json(docs: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV exports with a header. Row numbers follow the file; a file is at most ``MAX_EXPORT_BYTES``."""
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', quote='"')
-    have = {c.lower() for c in raw.columns}
-
-    def field(name: str) -> Column:
-        return F.col(name) if name in have else F.lit(None).cast("string")
-
-    rows = raw.select(
-        F.col("_metadata.file_path").alias("conversation_id"), F.monotonically_increasing_id().alias("_at"),
-        F.coalesce(F.nullif(field("speaker"), F.lit("")), F.nullif(field("speaker_id"), F.lit("")), F.lit("user")).alias("speaker_id"),
-        field("timestamp").alias("ts"), F.coalesce(field("text"), F.lit("")).alias("text"), F.lit("csv").alias("platform"),
-    )
-    order = Window.partitionBy("conversation_id").orderBy("_at")
-    return rows.withColumn("message_id", F.row_number().over(order).cast("long")).select(*COLUMNS)
+    """CSV exports, each with its own header."""
+    return parse_csv_text(read_exports(spark, path))
 
 
-def detect_platform(docs: DataFrame, platform: str | None = None, sniff: bool = True) -> DataFrame:
-    """Add ``platform``: the reader for each file, as declared or judged by its first characters and lines.
+def detect_platform(docs: DataFrame, platform: str | None = None, sniff: bool = True, head_lines: int = 5) -> DataFrame:
+    """Add ``platform``: the reader for each file, as declared or judged by its first ``head_lines`` lines and characters.
 
-    ``sniff`` looks for CSV and plain JSON first, as an upload does; without it only the chat formats are told apart.
+    ``sniff`` looks for CSV and plain JSON first, as an upload does; without it only the chat formats are told apart. A slack or
+    discord file, declared or guessed, must hold a message of that kind; otherwise the next format is tried, ``generic`` last.
     """
     raw = F.col("raw")
     start = F.regexp_replace(raw, f"^{fixed.SPACE}+", "")
-    head = F.slice(F.split(raw, LINE_BREAK), 1, 5)
-    first = F.get(elements(raw), F.lit(0))
+    every = F.split(raw, LINE_BREAK)
+    items = elements(raw)
+    first = F.get(items, F.lit(0))
+    array = start.startswith("[")
+    told = F.coalesce(F.exists(epoch_messages(items), lambda m: F.lit(True)), F.lit(False)) & array
+    clock = F.exists(every, lambda x: x.rlike(fixed.CLOCK_HEADER))
+    discord = F.when(first["author"].isNotNull(), "discord-json").when(clock, "discord").otherwise("generic")
     if platform is not None:
-        kind = F.lit(platform)
-        if platform == "discord":
-            kind = F.when(first["author"].isNotNull(), "discord-json").otherwise("discord")
+        kind = {"discord": discord, "slack": F.when(told, "slack").otherwise("generic")}.get(platform, F.lit(platform))
         return docs.withColumn("platform", kind)
     chat = (
-        F.when(F.exists(head, lambda x: x.rlike(fixed.PHONE_HEADER)), "whatsapp")
-        .when(start.startswith("[") & (raw.contains('"user"') | raw.contains('"text"')) & first.isNotNull(), "slack")
-        .when(raw.rlike(r"(?m)^\[?[0-9]{1,2}:[0-9]{2}"), "discord")
+        F.when(F.exists(F.slice(every, 1, head_lines), lambda x: x.rlike(fixed.PHONE_HEADER)), "whatsapp")
+        .when(told & (raw.contains('"user"') | raw.contains('"text"')), "slack")
+        .when(raw.rlike(r"(?m)^\[?[0-9]{1,2}:[0-9]{2}"), discord)
         .otherwise("generic")
     )
     if sniff:
         table = start.startswith("speaker,") | start.startswith("timestamp,")
-        listed = (start.startswith("[") | start.startswith("{")) & first["text"].isNotNull()
+        listed = (array | start.startswith("{")) & first["text"].isNotNull()
         chat = F.when(table, "csv").when(listed, "json").otherwise(chat)
     return docs.withColumn("platform", chat)
 
 
 def parse_csv_text(docs: DataFrame) -> DataFrame:
-    """CSV exports held as text, one record per line."""
-    rows = lines(docs).filter("trim(line) != ''")
-    rows = rows.withColumn("cells", F.from_csv("line", F.lit("c0 string, c1 string, c2 string, c3 string"), {"escape": '"'}))
-    rows = rows.withColumn("_blk", F.expr(f"line_no div {seq.block_rows(docs)}"))
-    rows = seq.attach(rows, {"head": ("min", F.struct("line_no", F.struct("cells.*").alias("names")))}, [FILE])
-    rows = rows.filter(F.col("line_no") > F.col("head.line_no"))
+    """CSV exports held as text. Columns are found by each file's own header, in any order and number; quoted fields may hold line breaks.
+
+    A line starts a record when the quotes before it are balanced. Fields are cut at the widest header's number of columns, the only
+    thing that reaches the driver.
+    """
+    rows = lines(docs).withColumn("_b", F.expr(f"line_no div {seq.block_rows(docs)}"))
+    quotes = (F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))).cast("long")
+    rows = seq.prefix(rows, {"_q": ("sum", quotes)}, [FILE], ["line_no"], "_b", inclusive=False)
+    rows = rows.withColumn("_open", F.col("_q") % 2 == 1).filter(F.col("_open") | (F.trim("line") != ""))
+    rows = seq.prefix(rows, {"_at": ("sum", (~F.col("_open")).cast("long"))}, [FILE], ["line_no"], "_b")
+    record = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    records = rows.groupBy(FILE, "_at").agg(record.alias("record"))
+    width = records.filter("_at = 1").agg(F.max(F.size(F.split("record", ",")))).first()[0] or 1
+    names = [f"c{i}" for i in range(width)]
+    cells = F.from_csv("record", F.lit(", ".join(f"{c} string" for c in names)), {"escape": '"', "multiLine": "true"})
+    records = records.withColumn("cells", F.array(*[cells[c] for c in names])).withColumn("_blk", F.expr(f"_at div {seq.block_rows(docs)}"))
+    records = seq.attach(records, {"head": ("min", F.struct("_at", F.col("cells").alias("names")))}, [FILE])
+    named = F.map_from_arrays(F.filter("head.names", lambda n: n.isNotNull()), F.slice("cells", 1, F.size(F.filter("head.names", lambda n: n.isNotNull()))))
+    records = records.filter("_at > 1").withColumn("row", named)
 
     def field(name: str) -> Column:
-        return F.coalesce(*[F.when(F.col(f"head.names.c{i}") == name, F.col(f"cells.c{i}")) for i in range(4)])
+        return F.element_at("row", name)
 
-    rows = seq.number(rows, [FILE], ["line_no"], F.col("_blk"))
-    return rows.select(
-        F.col(FILE).alias("conversation_id"), (F.col("pos") + 1).alias("message_id"),
+    return records.select(
+        F.col(FILE).alias("conversation_id"), (F.col("_at") - 1).alias("message_id"),
         F.coalesce(F.nullif(field("speaker"), F.lit("")), F.nullif(field("speaker_id"), F.lit("")), F.lit("user")).alias("speaker_id"),
         field("timestamp").alias("ts"), F.coalesce(field("text"), F.lit("")).alias("text"), F.lit("csv").alias("platform"),
     )
 
 
 def ingest(docs: DataFrame, platform: str | None = None, sniff: bool = True) -> DataFrame:
-    """Every export through the reader that fits it, as one table."""
-    seen = detect_platform(docs, platform, sniff)
+    """Every export through the reader that fits it, as one table. Files are judged once and settled with their reader's name."""
+    seen = settle(detect_platform(docs, platform, sniff).select(FILE, "raw", "platform"), "exports")
 
     def of(kind: str) -> DataFrame:
         return seen.filter(F.col("platform") == kind).select(FILE, "raw")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """One object per line; blank lines are skipped."""
-    return spark.read.schema(schema).json(path)
+    """One object per line; blank lines are skipped, a malformed line raises."""
+    kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return lines.select(F.from_json("value", kind, {"mode": "FAILFAST"}).alias("row")).select("row.*")
 
 
 def write_jsonl(df: DataFrame, path: str) -> str:

@@ -41,7 +41,8 @@ def tension_windows(stream: DataFrame, width: str = "1 hour", delay: str = "10 m
 
 
 class SpeakerState(StatefulProcessor):
-    """Per (conversation, speaker): last labels, the last five tensions and the run of short messages, in arrival order.
+    """Per (conversation, speaker): last labels, the last five tensions and the run of short messages. The rows of one micro-batch are taken
+    in order of ``message_id``, so the result does not depend on how the batch was partitioned.
 
     State is constant per speaker; with ``ttl_ms`` it expires after that long without messages.
     """
@@ -57,7 +58,9 @@ class SpeakerState(StatefulProcessor):
         known = self.state.get() if self.state.exists() else (None, None, None, [], 0)
         emotion, tone, sentiment, tensions, streak = known
         tensions = list(tensions)
-        for pdf in rows:
+        held = [pdf for pdf in rows]  # one speaker's rows of one micro-batch
+        if held:
+            pdf = pd.concat(held).sort_values("message_id", kind="stable")
             out = []
             for r in pdf.itertuples(index=False):
                 mean = sum(tensions) / len(tensions) if tensions else None
@@ -73,10 +76,6 @@ class SpeakerState(StatefulProcessor):
 
 
 MEMORY_COLUMNS = [CONV, "message_id", "speaker_id", "last_emotion", "last_tone", "last_sentiment", "recent_tension", "short_streak"]
-MEMORY_SCHEMA = (
-    "conversation_id bigint, message_id bigint, speaker_id string, last_emotion string, last_tone string, last_sentiment string, "
-    "recent_tension double, short_streak bigint"
-)
 
 
 def speaker_memory(stream: DataFrame, window: int = 5, ttl_ms: int | None = None) -> DataFrame:
@@ -84,8 +83,10 @@ def speaker_memory(stream: DataFrame, window: int = 5, ttl_ms: int | None = None
 
     ``ttl_ms`` suits a continuously running query: expiry is by processing time, which never lets a drain-once run end.
     """
+    ids = [f"{c} {stream.schema[c].dataType.simpleString()}" for c in MEMORY_COLUMNS[:3]]
+    shown = ", ".join([*ids, *(f"{c} string" for c in MEMORY_COLUMNS[3:6]), "recent_tension double", "short_streak bigint"])
     return stream.groupBy(CONV, "speaker_id").transformWithStateInPandas(
-        statefulProcessor=SpeakerState(window, ttl_ms), outputStructType=MEMORY_SCHEMA, outputMode="append",
+        statefulProcessor=SpeakerState(window, ttl_ms), outputStructType=shown, outputMode="append",
         timeMode="processingTime" if ttl_ms else "none",
     )
 
@@ -105,6 +106,33 @@ def run_available(result: DataFrame, name: str) -> tuple[DataFrame, list]:
     return spark.read.schema(result.schema).parquet(path), query.recentProgress
 
 
-def late_rows(progress: list) -> int:
-    """Rows a stateful operator dropped because they came behind the watermark."""
-    return sum(int(op["numRowsDroppedByWatermark"]) for p in progress for op in p["stateOperators"])
+def watermark(progress: list) -> str | None:
+    """The last event-time watermark of a drained query."""
+    marks = [p["eventTime"]["watermark"] for p in progress if "watermark" in p["eventTime"]]
+    return max(marks) if marks else None
+
+
+def open_windows(arrived: DataFrame, mark: str | None, width: str = "1 hour") -> DataFrame:
+    """The tension windows a drained stream still holds: no row of theirs came late, so a batch over what arrived gives them."""
+    hot = (F.col("tension") >= fixed.ESCALATION_TENSION).cast("double")
+    rows = arrived.groupBy(F.window("ts", width).alias("w")).agg(
+        F.count(F.lit(1)).alias("messages"), F.avg("tension").alias("mean_tension"), F.max("tension").alias("peak_tension"), F.avg(hot).alias("hot_share"))
+    rows = rows if mark is None else rows.filter(F.col("w.end") > F.lit(mark).cast("timestamp"))
+    return rows.select(F.col("w.start").alias("start"), "messages", "mean_tension", "peak_tension", "hot_share")
+
+
+def open_sessions(arrived: DataFrame, mark: str | None, gap: str = "90 minutes") -> DataFrame:
+    """The sessions a drained stream still holds."""
+    rows = arrived.groupBy(CONV, F.session_window("ts", gap).alias("w")).agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("messages"), F.avg("tension").alias("mean_tension"))
+    rows = rows if mark is None else rows.filter(F.col("w.end") > F.lit(mark).cast("timestamp"))
+    return rows.drop("w")
+
+
+def late_rows(arrived: DataFrame, windows: DataFrame) -> DataFrame:
+    """One row: windows delivered (open ones included), their messages, and the rows that came behind the watermark - what arrived and
+    lies in no window. Counted on rows, so it does not depend on partial aggregation or on how long progress is kept."""
+    total = arrived.agg(F.lit(0).cast("long").alias("windows"), F.lit(0).cast("long").alias("messages"), F.count(F.lit(1)).alias("rows"))
+    kept = windows.agg(F.count(F.lit(1)).alias("windows"), F.coalesce(F.sum("messages"), F.lit(0)).alias("messages"), F.lit(0).cast("long").alias("rows"))
+    both = total.unionByName(kept).agg(*[F.sum(c).alias(c) for c in ("windows", "messages", "rows")])
+    return both.select("windows", "messages", (F.col("rows") - F.col("messages")).alias("late"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from talkframe import fixed
 from talkframe.operators.sequence import number
-from talkframe.session import prepare
+from talkframe.session import prepare, settle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,10 +49,15 @@ _SIGNAL_EXTRA = """
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(*[F.expr(e) for e in _columns(_SIGNAL_BASE)])
-    ordered = number(events, ["conversation_id"], ["ts", "event_id"], F.expr("cast(day(ts) * 24 + hour(ts) as bigint)"))
+    ordered = number(events, ["conversation_id"], ["ts", "event_id"], F.expr("unix_timestamp(cast(ts as timestamp)) div 3600"))
     return ordered.select("*", (F.col("pos") + 1).alias("message_id"), *[F.expr(e) for e in _columns(_SIGNAL_EXTRA)])
 
 
+def placed_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``signals`` with their positions written once, for plans that read them several times."""
+    return settle(signals(spark, sf_dir), "signals")
+
+
 _PHRASES = """case cast((conv_id*31+turn*7) % 12 as int)
     when 0 then 'Fine. ' when 1 then 'WOW great, great work!!! '
     when 2 then 'Thanks, see https://example.org/a?b=1 now ' when 3 then 'This is broken again... '

@@ -215,7 +215,7 @@ def test_sequential_prediction_feeds_back(spark, tmp_path):
 
 @pytest.mark.skipif(not os.environ.get("TEST_ALL"), reason="about two minutes; set TEST_ALL=1")
 def test_sweeps_reach_the_sequential_result(spark):
-    """A conversation over the length limit goes through sweeps and ends at the sequential result."""
+    """Sweeps over blocks end at the sequential result, and too few of them raise."""
     rng = np.random.default_rng(5)
     words = ["late", "again", "fine", "late again", "again fine"]
     width = 2 * len(words) + 16 + 10
@@ -227,7 +227,9 @@ def test_sweeps_reach_the_sequential_result(spark):
     rows = text.behaviour(rows)
     want = learn.predict_sequential(rows, model).orderBy("message_id").collect()
     spark.conf.set("talkframe.blockRows", "4")
-    got = learn.predict(rows, model, longest=5).orderBy("message_id").collect()
+    got = learn.predict_by_sweeps(rows, model).orderBy("message_id").collect()
+    with pytest.raises(RuntimeError, match="settle"):
+        learn.predict_by_sweeps(rows, model, max_sweeps=1)
     spark.conf.unset("talkframe.blockRows")
     for w, g in zip(want, got, strict=True):
         assert (w["sentiment"], w["emotion"], w["tone"]) == (g["sentiment"], g["emotion"], g["tone"])
