@@ -237,7 +237,8 @@ def find(text: str, names: bool = True) -> list[tuple[int, int, str, str]]:
     if names:
         seen: set[str] = set()
         for m in NAME.finditer(text):
-            seen.update(re.split(r"[ -]", m[2] or m[3]))
+            parts = re.split(r"[ -]", m[2] or m[3])
+            seen.update(parts, map(str.upper, parts))
         if seen:
             for m in re.finditer(rf"\b(?:{'|'.join(sorted(map(re.escape, seen), key=lambda x: (-len(x), x)))})\b", text):
                 add(*m.span(), "name", m[0].lower())

@@ -5,8 +5,9 @@ automaton: negation marks what follows a negator, targets mark what is aimed at
 and insults and threats emit weights that these marks scale. A document's score is a logistic function of its strongest clause and of the
 sum over matched clauses, so words count by the clause they stand in.
 
-Insult stems are learned: word beginnings whose share of toxic documents is too high for chance, added to a fixed list. Stems and the
-logistic weights are fitted on at most ``SAMPLE`` labelled rows; rows with crc32(doc_id) mod 5 = 0 are never learned from.
+Insults are learned: word beginnings and whole words whose share of toxic documents is too high for chance, weighted by their log odds
+and added to a fixed list, by sequential covering: weaker forms are only looked for in toxic documents that stronger ones do not reach.
+The longest known form of a word decides, so a harmless word is not taken for the insult it begins like. All is fitted on at most ``SAMPLE`` labelled rows; rows with crc32(doc_id) mod 5 = 0 are never learned from.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ from pyspark.sql import functions as F
 from talkframe.llm.common import column_bytes, settle
 
 SAMPLE = 20_000  # labelled rows learned from at most, by a hash of their id
-STEMS = 2_000  # learned stems at most, the most frequent first
-STRONG = 4.0  # log odds of a stem, toxic against clean documents
-SHORT, LONG = 4, 6  # characters of a stem
+TAME = 5  # documents of a form that is taken for harmless
+FORMS = 4_000  # learned forms at most, the most telling first
+STRONG = (4.0, 3.0, 2.0)  # log odds of an insult, toxic against clean documents: weaker ones only for what stronger ones leave unexplained
+SHORT, LONG, WHOLE = 4, 9, 14  # characters of a word beginning, and of a whole word at most
 FOLDS = 5
 
 # --- fixed values: function words and a seed list of insults -----------------------------------------------------
@@ -117,7 +119,8 @@ GRAMMAR = negation().compose(targets()).compose(reported())
 
 @dataclass
 class Model:
-    """Learned stems and whole words with their weights, and the logistic weights over (strongest clause, log total)."""
+    """Learned word beginnings and whole words with their weights (0: known to be harmless), and the logistic weights over (strongest
+    clause, log total)."""
 
     stems: dict[str, float] = field(default_factory=dict)
     words: dict[str, float] = field(default_factory=dict)
@@ -131,9 +134,9 @@ class Lexicon:
             self.words.setdefault(w, SEED_WEIGHT)
         self.roles = {w: letter for letter, ws in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATORS), (REPORT, REPORTERS)) for w in ws.split()}
         self.quick = ahocorasick.Automaton()
-        for s in self.stems:
+        for s in (s for s, weight in self.stems.items() if weight):
             self.quick.add_word(" " + s, 1)
-        for w in [*self.words, *THREATS.split()]:
+        for w in [*(w for w, weight in self.words.items() if weight), *THREATS.split()]:
             self.quick.add_word(f" {w} ", 1)
         self.quick.make_automaton()
 
@@ -144,9 +147,9 @@ class Lexicon:
     def symbol(self, token: str) -> tuple[str, float]:
         if token in END:
             return STOP, 0.0
-        best = self.words.get(token, 0.0)
-        for n in range(SHORT, min(LONG, len(token)) + 1):
-            best = max(best, self.stems.get(token[:n], 0.0))
+        best = self.words.get(token)
+        if best is None:
+            best = next((self.stems[token[:n]] for n in range(min(LONG, len(token)), SHORT - 1, -1) if token[:n] in self.stems), 0.0)
         return (INSULT, best) if best else (self.roles.get(token, OTHER), 0.0)
 
     def clauses(self, low: str) -> list[float]:
@@ -197,15 +200,19 @@ def _training(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "toxic")
 
 
-def _stem_counts(train: DataFrame) -> DataFrame:
-    """(kind, form, toxic, clean): documents with each word beginning (kind 0) and each short word (kind 1)."""
+def _form_counts(train: DataFrame, explained: Lexicon | None) -> DataFrame:
+    """(kind, form, toxic, clean): documents with each word beginning (kind 0) and each whole word (kind 1), and all (kind 2). Toxic
+    documents in which ``explained`` finds something are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = (Counter(), Counter())
             for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                words = set(GAP.sub(" ", (text or "").lower()).split())
-                forms = {(0, w[:n]) for w in words for n in range(SHORT, min(LONG, len(w)) + 1)} | {(1, w) for w in words if len(w) < SHORT}
-                counts[y].update(forms)
+                low = (text or "").lower()
+                if y and explained and explained.possible(low):
+                    continue
+                words = set(GAP.sub(" ", low).split())
+                forms = {(0, w[:n]) for w in words for n in range(SHORT, min(LONG, len(w) - 1) + 1)} | {(1, w) for w in words if len(w) <= WHOLE}
+                counts[y].update(forms | {(2, "")})
             forms = sorted(counts[0].keys() | counts[1].keys())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _ in forms], pa.int32()), pa.array([f for _, f in forms], pa.string()),
@@ -216,25 +223,43 @@ def _stem_counts(train: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, stems: int = STEMS) -> Model:
-    """Stems and logistic weights from a bounded sample. Without both classes the fixed list and weights are used."""
-    train = _training(docs, labels, sample)
-    total = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
-    bad, good = total.get(1, 0), total.get(0, 0)
+def _cover(train: DataFrame, model: Model, strong: float, forms: int) -> bool:
+    """Add the forms of one strength to ``model``. False when there is nothing left to explain."""
+    counts = settle(_form_counts(train, Lexicon(model) if model.stems or model.words else None), "forms")
+    total = counts.filter("kind = 2").first()
+    if not total or not total["toxic"] or not total["clean"]:
+        return False
+    bad, good = total["toxic"], total["clean"]
+    base = bad / (bad + good)
+    n = F.col("toxic") + F.col("clean")
+    odds = F.log((F.col("toxic") + 0.5) * (good + 1) / ((F.col("clean") + 0.5) * (bad + 1)))
+    # log-likelihood ratio against the base rate: how far from chance the form's share is
+    above = F.col("toxic") * F.log(F.greatest(F.col("toxic") / n, F.lit(1e-9)) / base) + F.col("clean") * F.log(
+        F.greatest(F.col("clean") / n, F.lit(1e-9)) / (1 - base))
+    limit = math.log(max(2, counts.count())) + 1  # fewer than one form of all is expected to get there by chance
+    counts = counts.filter("kind < 2").withColumns({"odds": odds, "above": above})
+    found = counts.filter((F.col("odds") >= strong) & (F.col("above") >= limit)).orderBy(F.desc("above"), "kind", "form").limit(forms).collect()
+    for row in found:
+        (model.words if row["kind"] else model.stems).setdefault(row["form"], float(row["odds"]))
+    begins = sorted(row["form"] for row in found if not row["kind"])
+    if begins:  # longer forms of these beginnings that are seen often enough and are not insults
+        heads = [F.substring("form", 1, i) for i in range(SHORT, LONG + 1)]
+        inside = F.arrays_overlap(F.array(*heads), F.array(*[F.lit(x) for x in begins]))
+        tame = counts.filter((F.col("odds") < strong) & (n >= TAME) & inside).orderBy(F.desc(n), "kind", "form").limit(forms).collect()
+        for row in tame:
+            (model.words if row["kind"] else model.stems).setdefault(row["form"], 0.0)
+    return True
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, forms: int = FORMS) -> Model:
+    """Forms and logistic weights from a bounded sample. Without both classes the fixed list and weights are used."""
+    train = settle(_training(docs, labels, sample), "training")
     model = Model()
-    if not bad or not good:
+    for strong in STRONG:
+        if not _cover(train, model, strong, forms):
+            break
+    if train.select("toxic").distinct().count() < 2:
         return model
-    odds = F.log((F.col("toxic") + 0.5) * (good + 1) / ((F.col("clean") + 0.5) * (bad + 1)))
-    counts = settle(_stem_counts(train), "stems").withColumn("odds", odds)
-    # among all forms fewer than one is expected to have this many documents by chance and all of them toxic
-    least = max(3, math.ceil(math.log(max(2, counts.count())) / -math.log(bad / (bad + good))))
-    strong = counts.filter((F.col("odds") >= STRONG) & (F.col("toxic") >= least)).orderBy(F.desc("toxic"), "kind", "form").limit(stems).collect()
-    for row in sorted(strong, key=lambda r: len(r["form"])):
-        form = row["form"]
-        if row["kind"]:
-            model.words[form] = float(row["odds"])
-        elif not any(form[:n] in model.stems for n in range(SHORT, len(form))):
-            model.stems[form] = float(row["odds"])
     lexicon = Lexicon(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
