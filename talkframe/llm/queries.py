@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkframe.llm import decontaminate, neardup, packing, pii, quality, secrets, sharding, substrings, toxicity, urlfilter
+from talkframe.llm import decontaminate, neardup, oracles, packing, pii, quality, secrets, sharding, substrings, toxicity, urlfilter
 from talkframe.llm.common import settle, table
 
 
@@ -78,4 +78,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op10_secrets, op9_quality, op8_toxicity, op6_sharding, op7_urlfilter, op3_pii, op2_packing, op1_decontaminate, op5_minhash, op4_substrings)}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_decontaminate": oracles.OP1, "op4_substrings": oracles.OP4, "op5_minhash": oracles.OP5}

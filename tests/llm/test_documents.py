@@ -370,3 +370,9 @@ def test_markov_ratio_finds_random_tokens(documents):
 def test_digest_columns(spark):
     r = queries.op10_secrets(spark, DIR).filter("n_assign = 0 and n_access = 0 and n_hex = 0").first()
     assert r["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_match_sql(name, spark, duck):
+    from compare import compare
+    assert compare(queries.QUERIES[name](spark, DIR), duck, queries.ORACLES[name]) is None
