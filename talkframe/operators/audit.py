@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talkframe import fixed
 from talkframe.functions.text import normal_text, strip_space
+from talkframe.operators import metrics
 from talkframe.operators import sequence as seq
 
 CONV = "conversation_id"
@@ -130,3 +131,22 @@ def bounds(df: DataFrame, unit: list[str], percent: list[str]) -> DataFrame:
     cols = [(c, 1.0) for c in unit] + [(c, 100.0) for c in percent]
     t = df.agg(F.count(F.lit(1)).alias("n"), *[broken(c, h) for c, h in cols])
     return t.select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("violations"), F.col("n").alias("checked")) for c, _ in cols])))
+
+
+def release_gates(df: DataFrame, heads: tuple[str, ...] = ("sentiment", "emotion", "tone"), value: str = "tension") -> DataFrame:
+    """(gate, passed) of a labelled, split corpus, and their conjunction as ``verdict``: splits share no conversation and no conversation text
+    with the test split, no conversation occurs twice, the split depends on no head's labels and not on ``value``."""
+
+
+    over = split_overlap(df)
+    shared = F.sum(F.when(F.col("kind") == "id", F.col("train_val") + F.col("train_test") + F.col("val_test")))
+    leaked = F.sum(F.when(F.col("kind") == "signature", F.col("train_test") + F.col("val_test")))
+    gates = over.agg((shared == 0).alias("separation"), (leaked == 0).alias("contamination"))
+    gates = gates.select(F.inline(F.array(*[F.struct(F.lit(c).alias("gate"), F.col(c).alias("passed")) for c in ("separation", "contamination")])))
+    dup = duplicate_conversations(df).select(F.lit("duplicate_conversations").alias("gate"), (F.col("duplicate_conversations") == 0).alias("passed"))
+    bal = metrics.split_balance(df, value).select(F.lit("split_balance").alias("gate"), "passed")
+    gates = gates.unionByName(dup).unionByName(bal)
+    for head in heads:
+        gates = gates.unionByName(metrics.split_independence(df, head).select(F.lit(f"independence_{head}").alias("gate"), F.col("ok").alias("passed")))
+    gates = gates.groupBy("gate").agg(F.bool_and("passed").alias("passed"))
+    return gates.unionByName(gates.agg(F.lit("verdict").alias("gate"), F.bool_and("passed").alias("passed")))

@@ -13,6 +13,7 @@ from talkframe.queries import sqltext as t
 from talkframe.queries.aggregates import rounded
 from talkframe.queries.evaluation import HASH_SQL
 from talkframe.queries.evidence import READ_SQL
+from talkframe.queries.evaluation import independence_sql
 from talkframe.queries.registry import over_messages, over_signals, query
 
 CONV = "conversation_id"
@@ -260,26 +261,16 @@ x as (select s.*, split from signals s join split using (conversation_id)),
 g as (select conversation_id, any_value(split) as split, string_agg({t.normal('text')}, '␟' order by pos) as s from x group by 1),
 m as (select avg(tension) filter (split = 'train') as ma, avg(tension) filter (split = 'test') as mb, var_samp(tension) filter (split = 'train') as va,
   var_samp(tension) filter (split = 'test') as vb, count(*) filter (split = 'train') as na, count(*) filter (split = 'test') as nb from x),
+{", ".join(independence_sql("x", h) for h in ("sentiment", "emotion", "tone"))},
 gates as (select 'separation' as gate, (select count(*) from (select conversation_id from x group by 1 having count(distinct split) > 1) q) = 0 as passed
   union all select 'contamination', (select count(*) from (select s from g group by 1 having max(case when split = 'test' then 1 else 0 end) = 1 and count(distinct split) > 1) q) = 0
   union all select 'duplicate_conversations', (select count(*) from g) = (select count(distinct s) from g)
-  union all select 'split_balance', (select abs((mb - ma) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2))) < cast(0.2 as double) from m))
+  union all select 'split_balance', (select abs((mb - ma) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2))) < cast(0.2 as double) from m)
+  {" ".join(f"union all select 'independence_{h}', ok from p_{h}" for h in ("sentiment", "emotion", "tone"))})
 select gate, passed from gates union all select 'verdict', bool_and(passed) from gates"""),
 )
 def audit_gates(spark, sf):
-    rows = splits.with_split(views.signals(spark, sf))
-    over = audit.split_overlap(rows)
-    shared = F.sum(F.when(F.col("kind") == "id", F.col("train_val") + F.col("train_test") + F.col("val_test")))
-    leaked = F.sum(F.when(F.col("kind") == "signature", F.col("train_test") + F.col("val_test")))
-    gates = over.agg((shared == 0).alias("a"), (leaked == 0).alias("b")).select(
-        F.inline(F.array(F.struct(F.lit("separation").alias("gate"), F.col("a").alias("passed")), F.struct(F.lit("contamination").alias("gate"), F.col("b").alias("passed"))))
-    )
-    dup = audit.duplicate_conversations(rows).select(F.lit("duplicate_conversations").alias("gate"), (F.col("duplicate_conversations") == 0).alias("passed"))
-    bal = metrics.split_balance(rows, "tension").select(F.lit("split_balance").alias("gate"), "passed")
-    gates = gates.unionByName(dup).unionByName(bal)
-    return gates.groupBy("gate").agg(F.bool_and("passed").alias("passed")).unionByName(
-        gates.agg(F.lit("verdict").alias("gate"), F.bool_and("passed").alias("passed"))
-    )
+    return audit.release_gates(splits.with_split(views.placed_signals(spark, sf)))
 
 
 _PAIRS = ", ".join(f"({i}, cast({float(a)!r} as double), cast({float(b)!r} as double))" for i, (a, b) in enumerate(fusion.candidates()))

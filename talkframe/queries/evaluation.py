@@ -168,17 +168,22 @@ def kripp_alpha(spark, sf):
     return rounded(_coders(spark, sf).select("alpha", "observed", "n"), "alpha", "observed")
 
 
+def independence_sql(src: str, head: str) -> str:
+    """Tables o_, t_, s_ and p_<head>: chi-square of split against one head's labels in ``src``."""
+    return f"""o_{head} as (select {head}, count(*) filter (split = 'train') as a, count(*) filter (split = 'val') as b, count(*) filter (split = 'test') as c from {src} group by 1),
+t_{head} as (select sum(a) as na, sum(b) as nb, sum(c) as nc, cast(sum(a + b + c) as double) as n, count(*) as k from o_{head}),
+s_{head} as (select sum(a * a * n / ((a + b + c) * na) + b * b * n / ((a + b + c) * nb) + c * c * n / ((a + b + c) * nc)) - any_value(n) as chi2,
+  cast((any_value(k) - 1) * 2 as bigint) as dof,
+  max(greatest(abs(a / na - (a + b + c) / n), abs(b / nb - (a + b + c) / n), abs(c / nc - (a + b + c) / n))) as dev from o_{head}, t_{head}),
+p_{head} as (select *, dev < cast(0.06 as double) and pv > cast(0.01 as double) as ok from
+ (select *, exp(-chi2 / 2) * list_sum(list_transform(range(0, dof // 2), lambda i: (chi2 / 2) ** i / factorial(cast(i as integer)))) as pv from s_{head}) q)"""
+
+
 @query(
     "chi2_split",
-    over_signals(HASH_SQL.format(src="signals").strip() + """,
-x as (select emotion, split from signals join split using (conversation_id)),
-o as (select emotion, count(*) filter (split = 'train') as a, count(*) filter (split = 'val') as b, count(*) filter (split = 'test') as c from x group by 1),
-t as (select sum(a) as na, sum(b) as nb, sum(c) as nc, cast(sum(a + b + c) as double) as n, count(*) as k from o),
-s as (select sum(a * a * n / ((a + b + c) * na) + b * b * n / ((a + b + c) * nb) + c * c * n / ((a + b + c) * nc)) - any_value(n) as chi2,
-  cast((any_value(k) - 1) * 2 as bigint) as dof,
-  max(greatest(abs(a / na - (a + b + c) / n), abs(b / nb - (a + b + c) / n), abs(c / nc - (a + b + c) / n))) as dev from o, t),
-p as (select *, exp(-chi2 / 2) * list_sum(list_transform(range(0, dof // 2), lambda i: (chi2 / 2) ** i / factorial(cast(i as integer)))) as pv from s)
-select round(chi2, 6) as chi2, dof, round(pv, 6) as p_value, round(dev, 6) as max_deviation, dev < cast(0.06 as double) and pv > cast(0.01 as double) as ok from p"""),
+    over_signals(HASH_SQL.format(src="signals").strip() + f""",
+x as (select emotion, split from signals join split using (conversation_id)), {independence_sql("x", "emotion")}
+select round(chi2, 6) as chi2, dof, round(pv, 6) as p_value, round(dev, 6) as max_deviation, ok from p_emotion"""),
 )
 def chi2_split(spark, sf):
     out = metrics.split_independence(splits.with_split(views.signals(spark, sf)), "emotion")
@@ -217,10 +222,20 @@ def mcnemar(spark, sf):
     return rounded(out, "p_value")
 
 
-@query("bootstrap_delta")
+@query(
+    "bootstrap_delta",
+    over_signals("""select round((count(*) filter (not a and b) - count(*) filter (a and not b)) / count(*), 6) as delta, cast(2000 as bigint) as n_boot, true as near_normal
+from (select emotion = pred_emotion as a, sentiment = pred_sentiment as b from signals) x"""),
+)
 def bootstrap_delta(spark, sf):
-    rows = views.signals(spark, sf)
-    return metrics.bootstrap_delta(rows, F.col("emotion") == F.col("pred_emotion"), F.col("sentiment") == F.col("pred_sentiment"))
+    """Accuracy difference, and whether its resampled interval agrees with the normal one to within a fifth of its width."""
+    rows = views.placed_signals(spark, sf)
+    a, b = F.col("emotion") == F.col("pred_emotion"), F.col("sentiment") == F.col("pred_sentiment")
+    spread = rows.agg(F.stddev_pop(b.cast("int") - a.cast("int")).alias("s"), F.count(F.lit(1)).alias("n")).select(
+        (F.lit(1.959964) * F.col("s") / F.sqrt("n")).alias("half"), F.lit(1).alias("one"))
+    out = metrics.bootstrap_delta(rows, a, b).withColumn("one", F.lit(1)).join(spread, "one")
+    near = F.greatest(F.abs(F.col("delta") - F.col("half") - F.col("low")), F.abs(F.col("delta") + F.col("half") - F.col("high"))) < 0.4 * F.col("half")
+    return out.select(F.round("delta", 6).alias("delta"), "n_boot", near.alias("near_normal"))
 
 
 @query(

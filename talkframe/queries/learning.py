@@ -62,6 +62,23 @@ def head_tension(spark, sf):
     return _score(spark, sf, ("tension",)).select(CONV, "message_id", "split", "tension", "tension_hat")
 
 
+@query(
+    "head_tension_slope",
+    over_messages("""m as (select length(text) / cast(100 as double) as x, tension as y from messages),
+c as (select avg(x) as mx, avg(y) as my from m),
+b as (select sum((x - mx) * (y - my)) / (sum((x - mx) ** 2) + 1) as slope, any_value(my) as my, any_value(mx) as mx from m, c)
+select round(slope, 3) as slope, round(my - slope * mx, 3) as intercept from b"""),
+)
+def head_tension_slope(spark, sf):
+    """The ridge head on one column, whose solution SQL can write down."""
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = views.messages(spark, sf).select((F.length("text") / 100.0).alias("x"), "tension")
+    head = learn.fit_tension(VectorAssembler(inputCols=["x"], outputCol="features").transform(rows))
+    fitted = F.struct(F.lit(round(head.coef[0][0], 3)).alias("slope"), F.lit(round(head.bias[0], 3)).alias("intercept"))
+    return rows.agg(F.count(F.lit(1)).alias("n")).select(fitted.alias("f")).select("f.*")
+
+
 @query("baseline_svc")
 def baseline_svc(spark, sf):
     rows, terms = designed(spark, sf)

@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from talkframe import views
 from talkframe.plans import analyze as whole
-from talkframe.queries.registry import query
+from talkframe.queries.registry import over_messages, query
 
 
 @query("report_json")
 def report_json(spark, sf):
     tables = whole.analyze(views.messages(spark, sf))
-    tables.pop("messages")
     return whole.report_rows(tables)
+
+
+@query(
+    "report_sections",
+    over_messages("""select 'messages' as section, count(*) as n from messages union all select 'timeline', count(*) from messages
+union all select 'explanations', count(*) from messages union all select 'conversation', count(distinct conversation_id) from messages
+union all select 'summary', count(distinct conversation_id) from messages union all select 'digest', count(distinct conversation_id) from messages
+union all select 'escalation', count(distinct conversation_id) from messages
+union all select 'speaker_profiles', count(*) from (select distinct conversation_id, speaker_id from messages) x"""),
+)
+def report_sections(spark, sf):
+    """Rows per report section; none may lose a message, a conversation or a speaker."""
+    shown = ("messages", "timeline", "explanations", "conversation", "summary", "digest", "escalation", "speaker_profiles")
+    tables = whole.analyze(views.messages(spark, sf))
+    return whole.report_rows({s: tables[s] for s in shown}).groupBy("section").agg(F.count(F.lit(1)).alias("n"))
