@@ -125,7 +125,8 @@ def open_sessions(arrived: DataFrame, mark: str | None, gap: str = "90 minutes")
     """The sessions a drained stream still holds."""
     rows = arrived.groupBy(CONV, F.session_window("ts", gap).alias("w")).agg(
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("messages"), F.avg("tension").alias("mean_tension"))
-    rows = rows if mark is None else rows.filter(F.col("w.end") > F.lit(mark).cast("timestamp"))
+    # not by the window column: a condition on it would be pushed below the merging of sessions
+    rows = rows if mark is None else rows.filter(F.col("last_ts") + F.expr(f"interval {gap}") > F.lit(mark).cast("timestamp"))
     return rows.drop("w")
 
 
