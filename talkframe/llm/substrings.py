@@ -225,10 +225,12 @@ def repeated_ranges(docs: DataFrame, leaves: int = LEAVES) -> DataFrame:
     texts = bucketed(docs)
     rows = settle(suffixes(texts), "suffixes")
     often = rows.groupBy("gram").agg(F.count("*").alias("n"), F.min("ctx").alias("_lo"), F.max("ctx").alias("_hi")).filter("n > 1")
-    shared = settle(rows.join(often.select("gram", (F.col("_lo") != F.col("_hi")).alias("mixed")), "gram"), "shared")
+    # settled, so that the join deals both sides anew and adaptive execution can split a frequent gram
+    often = settle(often.select("gram", (F.col("_lo") != F.col("_hi")).alias("mixed")), "grams")
+    shared = settle(rows.join(often, "gram"), "shared")
     leaf = shared.filter("mixed").groupBy("gram", "ctx").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "at")).alias("_p"))
     leaf = settle(leaf.select("gram", "ctx", "copies", "_p.rid", "_p.at"), "leaves")
-    width = leaf.groupBy("gram").agg((F.count("*") > leaves).alias("big"))
+    width = settle(leaf.groupBy("gram").agg((F.count("*") > leaves).alias("big")), "widths")
     found = leaf_contexts(texts, leaf.join(width, "gram"))
     if not width.filter("big").isEmpty():
         found = settle(found, "contexts")
