@@ -181,17 +181,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def remaining(members: DataFrame, threshold: int) -> DataFrame:
-    """Links across components inside a bucket. ``members``: key, cid, component, size, bits, text.
+def remaining(members: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Links across components inside a bucket. ``members``: key, cid, component, size, bits; ``texts``: cid, text.
 
     A bucket is cut into blocks of about ``BLOCK`` shingles and every pair of blocks is one group, so no task holds a bucket. Inside
     a group two sets at the threshold must share one of their rarest shingles (as many as a set may lack, and one more): documents
     that only share a common passage never become a pair. Bit estimates and full sets decide the rest, and pairs that links of the
     same group already connect are skipped.
     """
-    whole = members.groupBy("key").agg(F.ceil(F.sum("size") / F.lit(BLOCK)).cast("int").alias("_of"))
+    whole = settle(members.groupBy("key").agg(F.ceil(F.sum("size") / F.lit(BLOCK)).cast("int").alias("_of")), "blocks")
     spread = (
-        members.join(whole, "key").withColumn("_own", F.pmod(F.xxhash64("cid"), F.col("_of")).cast("int"))
+        members.join(whole, "key").join(texts, "cid").withColumn("_own", F.pmod(F.xxhash64("cid"), F.col("_of")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
         .withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
         .select("key", "_i", "_j", "cid", "component", "bits", "text")
@@ -205,7 +205,8 @@ def remaining(members: DataFrame, threshold: int) -> DataFrame:
         a, b = block_links(*_all_sets(data, offsets), comp, bits, threshold)
         return pa.table({"a": pa.array(cid[a], pa.int64()), "b": pa.array(cid[b], pa.int64())})
 
-    return spread.groupBy("key", "_i", "_j").applyInArrow(run, "a long, b long").distinct()
+    # dealt by the block pair: by the key alone, which the join leaves behind, a bucket would stay in one task
+    return spread.repartition("key", "_i", "_j").groupBy("key", "_i", "_j").applyInArrow(run, "a long, b long").distinct()
 
 
 def _all_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,7 +278,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     )
     reps = sig.join(cls.select(F.col("cid").alias("rid")), "rid", "left_semi")
     bands = reps.select(F.explode("bands").alias("key"), F.col("rid").alias("cid"))
-    crowded = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("leader")).filter("n > 1")
+    # settled, as below, so that joins deal both sides anew and adaptive execution can split a crowded key
+    crowded = settle(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("leader")).filter("n > 1"), "crowded")
     members = settle(bands.join(crowded, "key"), "buckets")
     # cid -> text: one row of the class, found again by its id and text
     wanted = reps.join(members.select(F.col("cid").alias("rid")).distinct(), "rid", "left_semi")
@@ -289,15 +291,16 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     edges = settle(confirmed(likely(star.distinct(), reps, threshold), texts, threshold), "links")
     labels = components(edges)
     placed = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("key")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi")
+    mixed = settle(mixed.select("key"), "mixed")
     open_rows = placed.join(mixed, "key", "left_semi").select("key", "cid", "component")
-    open_rows = open_rows.join(reps.select(F.col("rid").alias("cid"), F.col("n_shingles").alias("size"), "bits"), "cid").join(texts, "cid")
-    more = settle(remaining(open_rows, threshold), "links")
+    open_rows = open_rows.join(reps.select(F.col("rid").alias("cid"), F.col("n_shingles").alias("size"), "bits"), "cid")
+    more = settle(remaining(open_rows, texts, threshold), "links")
     if not more.isEmpty():
         labels = components(edges.union(more))
     named = cls.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     whole = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.min(F.struct(F.col("first_id").isNull(), "first_id", "cid")).alias("_m"))
-    named = settle(named.join(whole, "component").select("set_key", "component_id", F.col("_m.cid").alias("_head")), "named")
+    named = settle(named.join(settle(whole, "whole"), "component").select("set_key", "component_id", F.col("_m.cid").alias("_head")), "named")
     out = sig.select("rid", "doc_id", "text_key", "n_shingles", "set_key").join(named, "set_key", "left")
     # the class that holds the smallest id keeps its first row with that id
     heads = sig.join(named.filter(F.col("_head").isNotNull()), "set_key").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
