@@ -107,6 +107,21 @@ def fit_labels(train: DataFrame, label: str, c: float = 4.0, max_iter: int = 100
     return Head("labels", [str(x) for x in classes], model.coefficientMatrix.toArray().tolist(), model.interceptVector.toArray().tolist())
 
 
+def fit_label_margins(train: DataFrame, label: str, max_iter: int = 100) -> Head | None:
+    """Linear support vector baseline of a label head, one class against the rest; the largest margin wins. Spark's machine has the hinge
+    loss, not the squared one."""
+    rows, classes, n = _balanced(train, label)
+    if len(classes) < 2:
+        return None
+    coef, bias = [], []
+    for i in range(len(classes)):
+        part = rows.select("features", (F.col("_y") == i).cast("double").alias("_y"), "_wt")
+        model = LinearSVC(featuresCol="features", labelCol="_y", weightCol="_wt", regParam=1.0 / n, standardization=False, maxIter=max_iter).fit(part)
+        coef.append(model.coefficients.toArray().tolist())
+        bias.append(float(model.intercept))
+    return Head("labels", [str(x) for x in classes], coef, bias)
+
+
 def _platt(scored: DataFrame) -> list[float]:
     """Slope and offset of the probability curve over held-out margins, with smoothed targets."""
     n = {int(r["_y"]): r["n"] for r in scored.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -52,13 +52,13 @@ def preview(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 def erase(df: DataFrame, erased: DataFrame) -> DataFrame:
-    """Everything but the conversations listed in ``erased``. Large conversations are spread by a salt."""
-    return seq.lookup(df, erased.select(CONV).distinct(), [CONV], ["message_id"], "left_anti")
+    """Everything but the conversations listed in ``erased``; a large conversation is split by adaptive execution."""
+    return df.join(erased.select(CONV).distinct(), CONV, "left_anti")
 
 
 def design_lookup(df: DataFrame, design: DataFrame, key: Column) -> DataFrame:
     """Design labels of each message by its normalised text (``design`` has one row per ``text_key``)."""
-    return seq.lookup(df.withColumn("text_key", key), design, ["text_key"], [CONV, "message_id"])
+    return df.withColumn("text_key", key).join(design, "text_key", "left")
 
 
 def gold_and_predicted(gold: DataFrame, pred: DataFrame) -> DataFrame:

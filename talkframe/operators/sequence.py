@@ -256,16 +256,3 @@ def attach_table(df: DataFrame, small: DataFrame, keys: Sequence[str] = KEYS, ho
     """Join a one-row-per-group table to blocked rows per block, so a large group never meets in one task."""
     edges = df.select(*keys, BLK).distinct()
     return df.join(edges.join(small, [*keys]), [*keys, BLK], how)
-
-
-def salted(df: DataFrame, by: Sequence[str], salts: int = 64, name: str = "_salt") -> DataFrame:
-    """A repeatable salt from the row's own identity, to spread one frequent key over many tasks."""
-    return df.withColumn(name, F.pmod(F.xxhash64(*by), F.lit(salts)))
-
-
-def lookup(df: DataFrame, small: DataFrame, keys: Sequence[str], by: Sequence[str], how: str = "left") -> DataFrame:
-    """Join a one-row-per-key table when single keys may be very frequent in ``df``: the table is repeated only for the
-    (key, salt) pairs that occur."""
-    rows = salted(df, by)
-    pairs = rows.select(*keys, "_salt").distinct().join(small, [*keys])
-    return rows.join(pairs, [*keys, "_salt"], how).drop("_salt")

@@ -47,7 +47,7 @@ def vocabulary(counts: DataFrame, n_docs: int, min_df: int = 2, max_features: in
 
 def tfidf(counts: DataFrame, vocab: DataFrame, ident: str) -> DataFrame:
     """(id, term, term_id, weight) with 1 + ln(tf), idf and unit length per document."""
-    raw = counts.join(F.broadcast(vocab), "term").withColumn("_w", (F.log("tf") + 1.0) * F.col("idf"))
+    raw = counts.join(vocab, "term").withColumn("_w", (F.log("tf") + 1.0) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(ident)))  # a document has at most max_features terms
     return raw.select(ident, "term", "term_id", "df", (F.col("_w") / norm).alias("weight"))
 

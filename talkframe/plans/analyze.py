@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkframe import fixed
 from talkframe.functions import text
-from talkframe.operators import context, explain, learn, profiles, records, segments, temporal
+from talkframe.operators import context, explain, fusion, learn, profiles, records, segments, temporal
 from talkframe.operators import sequence as seq
 from talkframe.plans.enrich import read_messages
 from talkframe.session import settle
@@ -31,8 +30,10 @@ def score(df: DataFrame, model: learn.Model) -> DataFrame:
     })
 
 
-def analyze(df: DataFrame, weights: dict = fixed.FUSION_WEIGHTS) -> dict[str, DataFrame]:
-    """All report tables for labelled messages (see ``views.messages`` for the columns)."""
+def analyze(df: DataFrame, weights: dict | None = None, model: learn.Model | None = None) -> dict[str, DataFrame]:
+    """All report tables for labelled messages (see ``views.messages`` for the columns). Stream weights are the caller's, else the model's,
+    else the default."""
+    weights = fusion.resolve_weights(weights, stored=model.fusion_weights if model else None)
     read = settle(read_messages(seq.with_positions(df), weights), "read")
     return {
         "messages": read,

@@ -34,10 +34,6 @@ def over_messages(body: str) -> str:
     return f"with recursive {views.MESSAGES_SQL}{_join(body)}"
 
 
-def over_both(body: str) -> str:
-    return f"with recursive {views.SIGNALS_SQL}, {views.MESSAGES_SQL}{_join(body)}"
-
-
 def _join(body: str) -> str:
     text = body.strip()
     return "\n" + text if text.lower().startswith("select") else ",\n" + text

@@ -94,3 +94,14 @@ def test_exports_to_report(spark, tmp_path):
 def test_even_number_of_splits_is_refused(spark):
     with pytest.raises(ValueError):
         metrics.split_independence(spark.range(3), "id", splits=("train", "test"))
+
+
+def test_label_margins_separate_classes(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    rows = [([float(x), float(y)], "right" if x > 2 else "up" if y > 2 else "none") for x in (0, 1, 4, 5) for y in (0, 1, 4, 5) if x < 3 or y < 3]
+    df = spark.createDataFrame(rows, "f array<double>, label string").select(array_to_vector("f").alias("features"), "label")
+    df = df.coalesce(1)
+    head = learn.fit_label_margins(df, "label", max_iter=8)
+    got = learn.apply(df, learn.Model([], learn.Terms(), {"label": head})).select("label", "label_hat").collect()
+    assert sum(r["label"] == r["label_hat"] for r in got) >= len(rows) - 2
