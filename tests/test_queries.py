@@ -14,7 +14,7 @@ QUICK = [
     "emotion_transitions", "turning_points", "arc_peaks", "trajectory", "context_salient", "speaker_memory", "segments_cohesion",
     "micro_signals", "hidden_sarcasm", "explain_messages", "digest", "corpus_stats", "topk_per_group", "clf_metrics", "calibration",
     "roc_auc", "chi2_split", "mcnemar", "hash_split", "split_overlap", "noise_rate", "fusion_search", "tfidf_terms", "ingest_whatsapp",
-    "detect_platform", "adapt_dialogues", "stream_sessions",
+    "detect_platform", "adapt_dialogues", "stream_sessions", "stream_late", "predict_sequential", "model_select", "ingest_csv",
 ]
 SQL = entry.oracle_sql()
 NAMES = list(SQL) if os.environ.get("TEST_ALL") else QUICK
