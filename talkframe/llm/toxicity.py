@@ -28,6 +28,7 @@ from talkframe.llm.common import column_bytes, settle
 
 SAMPLE = 20_000  # labelled rows learned from at most, by a hash of their id
 TAME = 5  # documents of a form that is taken for harmless
+HELD = 100_000  # forms a task counts before it hands them on
 FORMS = 4_000  # learned forms at most, the most telling first
 STRONG = (4.0, 3.0, 2.0)  # log odds of an insult, toxic against clean documents: weaker ones only for what stronger ones leave unexplained
 SHORT, LONG, WHOLE = 4, 9, 14  # characters of a word beginning, and of a whole word at most
@@ -203,9 +204,16 @@ def _training(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 def _form_counts(train: DataFrame, explained: Lexicon | None) -> DataFrame:
     """(kind, form, toxic, clean): documents with each word beginning (kind 0) and each whole word (kind 1), and all (kind 2). Toxic
     documents in which ``explained`` finds something are left out."""
+    def rows_of(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
+        forms = sorted(counts[0].keys() | counts[1].keys())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in forms], pa.int32()), pa.array([f for _, f in forms], pa.string()),
+             pa.array([counts[1][f] for f in forms], pa.int64()), pa.array([counts[0][f] for f in forms], pa.int64())],
+            names=["kind", "form", "toxic", "clean"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = (Counter(), Counter())
         for batch in batches:
-            counts = (Counter(), Counter())
             for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 low = (text or "").lower()
                 if y and explained and explained.possible(low):
@@ -213,11 +221,10 @@ def _form_counts(train: DataFrame, explained: Lexicon | None) -> DataFrame:
                 words = set(GAP.sub(" ", low).split())
                 forms = {(0, w[:n]) for w in words for n in range(SHORT, min(LONG, len(w) - 1) + 1)} | {(1, w) for w in words if len(w) <= WHOLE}
                 counts[y].update(forms | {(2, "")})
-            forms = sorted(counts[0].keys() | counts[1].keys())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in forms], pa.int32()), pa.array([f for _, f in forms], pa.string()),
-                 pa.array([counts[1][f] for f in forms], pa.int64()), pa.array([counts[0][f] for f in forms], pa.int64())],
-                names=["kind", "form", "toxic", "clean"])
+                if len(counts[0]) + len(counts[1]) > HELD:  # partial counts go on to the aggregate
+                    yield rows_of(counts)
+                    counts = (Counter(), Counter())
+        yield rows_of(counts)
 
     rows = train.mapInArrow(run, "kind int, form string, toxic long, clean long")
     return rows.groupBy("kind", "form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
