@@ -9,14 +9,18 @@ its value, two entities never share a surrogate, and an entity has the same surr
 any table of what was seen. Issuer digits, country codes, punctuation, capitals and check digits are kept or recomputed. Given
 names are permuted within the pool of their script and gender; surnames letter class by letter class, gendered endings kept.
 
-What a permutation cannot exclude is a surrogate that is the real value of another entity in the corpus. ``anonymise`` counts such cases
-over all distinct entities of the corpus with two small aggregates and moves to the next derived key until there are none.
+What a permutation cannot exclude is a surrogate that is the real value of another entity in the corpus. ``anonymise`` finds such cases
+over all distinct entities of the corpus and moves only those entities on, each along an order of its own through its whole class,
+until its value is neither real nor taken; a class without such a value left is widened by a character (private addresses: by the next
+range). The moved entities are a table, joined to the texts that hold them, so neither their number nor the corpus has a limit.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from talkframe.llm.common import ALNUM, chunks, column_bytes, scan, settle
 
 KINDS = ("email", "iban", "card", "ip", "phone", "name")
-MAX_KEYS = 16
+ROUND_VALUES = 4_000_000  # values tried together while entities are moved on; sets the pace only
 
 # --- fixed values: given names by script and gender, titles by gender, letters by class -------------------------
 GIVEN = {
@@ -50,10 +54,21 @@ CLASSES = [
     "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóú", "àèìòù", "äöü", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ",
 ]
 ENDINGS = [("ова", "f"), ("ева", "f"), ("ина", "f"), ("ая", "f"), ("ов", "m"), ("ев", "m"), ("ин", "m"), ("ий", "m"), ("ός", "m"), ("ή", "f")]
+PADS = [("а", "ё", "б"), ("ά", "ώ", "β")]  # first letters of a script, and the letter its surnames are widened by
 IP_CLASSES = [(10 << 24, 1 << 24), (172 << 24 | 16 << 16, 1 << 20), (192 << 24 | 168 << 16, 1 << 16)]
 # -----------------------------------------------------------------------------------------------------------------
 _CLASS_OF = {c: (letters, i) for letters in CLASSES for i, c in enumerate(letters)}
 _POOL_OF = {n: (script, gender) for (script, gender), names in GIVEN.items() for n in names}
+_POOL = sorted({n.lower() for n in _POOL_OF})
+
+
+def _class_of(c: str) -> tuple[str, int] | None:
+    """The letters a character is permuted in and its place there; digits of any script stay in that script."""
+    if c not in _CLASS_OF:
+        digit = unicodedata.decimal(c, None)
+        return None if digit is None else ("".join(chr(ord(c) - digit + i) for i in range(10)), digit)
+    return _CLASS_OF[c]
+
 
 EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
@@ -92,10 +107,19 @@ class Permutation:
             if x < self.n:
                 return x
 
-    def __call__(self, x: int) -> int:
+    def __call__(self, x: int, step: int = 0) -> int:
+        """The value after ``x`` on the cycle; ``step`` 1 to n - 1 are all others, in an order of x's own."""
         if self.n < 2:
             return x
-        return self._mix((self._mix(x, range(6)) + 1) % self.n, range(5, -1, -1))
+        ahead = 1 + step * self._stride(x) if step else 1
+        return self._mix((self._mix(x, range(6)) + ahead) % self.n, range(5, -1, -1))
+
+    def _stride(self, x: int) -> int:
+        raw = hashlib.blake2b(str(x).encode(), key=self.key, digest_size=64).digest()
+        stride = 1 + int.from_bytes(raw, "big") % (self.n - 1)
+        while math.gcd(stride, self.n) > 1:
+            stride = stride % (self.n - 1) + 1
+        return stride
 
 
 class Surrogates:
@@ -105,41 +129,83 @@ class Surrogates:
         self.key = hashlib.blake2b(key.encode(), digest_size=32).digest()
         self.held: dict[tuple, Permutation] = {}
 
-    def _permute(self, label: str, n: int, x: int) -> int:
+    def _permute(self, label: str, n: int, x: int, step: int = 0) -> int:
         at = (label, n)
         if at not in self.held:
             if len(self.held) > 10_000:
                 self.held.clear()
             self.held[at] = Permutation(self.key, label, n)
-        return self.held[at](x)
+        return self.held[at](x, step)
 
     def shape(self, label: str, text: str, free: slice = slice(None)) -> str:
         """Permute the characters of ``text[free]`` within their classes; other characters stay."""
+        return self._shape(label, text, free)[0]
+
+    def _shape(self, label: str, text: str, free: slice = slice(None), step: int = 0) -> tuple[str, int]:
+        """The permuted text and the size of its class."""
         chars = list(text)
-        at = [i for i in range(*free.indices(len(chars))) if chars[i] in _CLASS_OF]
+        at = {i: c for i in range(*free.indices(len(chars))) if (c := _class_of(chars[i]))}
         n, x = 1, 0
-        for i in at:
-            letters, digit = _CLASS_OF[chars[i]]
+        for letters, digit in at.values():
             n, x = n * len(letters), x * len(letters) + digit
-        x = self._permute(f"{label}:{''.join(_CLASS_OF[chars[i]][0][0] for i in at)}", n, x)
+        x = self._permute(f"{label}:{''.join(letters[0] for letters, _ in at.values())}", n, x, step)
         for i in reversed(at):
-            letters = _CLASS_OF[chars[i]][0]
+            letters = at[i][0]
             x, digit = divmod(x, len(letters))
             chars[i] = letters[digit]
-        return "".join(chars)
+        return "".join(chars), n
+
+    def other(self, kind: str, canon: str, level: int, step: int) -> tuple[str | None, int]:
+        """Value ``step`` (from 0) of the class ``level`` characters wider than the entity's own, None if it is not admissible, and how
+        many values the class has."""
+        if kind == "email":
+            local, _, host = canon.partition("@")
+            new, n = self._shape("local", local + "b" * level, step=step)
+            return f"{new}@{self._host(host)}", n
+        if kind == "phone":
+            code, _, rest = canon.rpartition(":")
+            new, n = self._shape("phone", rest + "0" * level, step=step)
+            return f"{code}:{new}", n
+        if kind == "card" and luhn(canon):
+            body, n = self._shape("card", canon[:-1] + "0" * level, slice(1, None), step)
+            return _checked(body), n
+        if kind == "card":
+            new, n = self._shape("number", canon + "0" * level, slice(1, None), step)
+            return (None if luhn(new) else new), n
+        if kind == "iban":
+            new, n = self._shape("iban", canon[4:].lower() + "0" * level, step=step)
+            return _iban(canon[:2], new.upper()), n
+        if kind == "name":
+            stem = _stem(canon)
+            pad = next((p for first, last, p in PADS if first <= canon[:1] <= last), "b")
+            new, n = self._shape("surname", canon[:stem] + pad * level, step=step)
+            new += canon[stem:]
+            return (None if new in _POOL else new), n
+        x = _ip_number(canon)
+        own = next((i for i, (base, n) in enumerate(IP_CLASSES) if base <= x < base + n), None)
+        ranges = [] if own is None else [own, *sorted((i for i in range(len(IP_CLASSES)) if i != own), key=lambda i: IP_CLASSES[i][1])]
+        if level < len(ranges):
+            base, n = IP_CLASSES[ranges[level]]
+            return _ip(base + self._permute(f"ip{base}", n, x % n, step)), n
+        if level > len(ranges):
+            raise RuntimeError("more than half of all IPv4 addresses are in the texts")
+        x = self._permute("ip", 1 << 32, x, step)
+        return (_ip(x) if _public(x) else None), 1 << 32
+
+    def _host(self, host: str) -> str:
+        labels = host.split(".")
+        return ".".join([*(self.shape("label", x) for x in labels[:-1]), labels[-1]])
 
     def email(self, canon: str) -> str:
         local, _, host = canon.partition("@")
-        labels = host.split(".")
-        return f"{self.shape('local', local)}@{'.'.join([*(self.shape('label', x) for x in labels[:-1]), labels[-1]])}"
+        return f"{self.shape('local', local)}@{self._host(host)}"
 
     def phone(self, canon: str) -> str:
         code, _, rest = canon.rpartition(":")
         return f"{code}:{self.shape('phone', rest)}"
 
     def ip(self, canon: str) -> str:
-        a, b, c, d = map(int, canon.split("."))
-        x = a << 24 | b << 16 | c << 8 | d
+        x = _ip_number(canon)
         for base, n in IP_CLASSES:
             if base <= x < base + n:
                 x = base + self._permute(f"ip{base}", n, x - base)
@@ -147,22 +213,20 @@ class Surrogates:
         else:
             while True:
                 x = self._permute("ip", 1 << 32, x)
-                if 1 <= x >> 24 < 224 and x >> 24 != 127 and not any(base <= x < base + n for base, n in IP_CLASSES):
+                if _public(x):
                     break
-        return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
+        return _ip(x)
 
     def card(self, canon: str) -> str:
         if luhn(canon):
-            body = self.shape("card", canon[:-1], slice(1, None))
-            return next(body + str(c) for c in range(10) if luhn(body + str(c)))
+            return _checked(self.shape("card", canon[:-1], slice(1, None)))
         while True:
             canon = self.shape("number", canon, slice(1, None))
             if not luhn(canon):
                 return canon
 
     def iban(self, canon: str) -> str:
-        body = self.shape("iban", canon[4:].lower()).upper()
-        return f"{canon[:2]}{98 - int(_iban_number(body + canon[:2] + '00')) % 97:02d}{body}"
+        return _iban(canon[:2], self.shape("iban", canon[4:].lower()).upper())
 
     def name(self, canon: str) -> str:
         title = canon[:1].upper() + canon[1:]
@@ -170,10 +234,35 @@ class Surrogates:
         if pool:
             names = GIVEN[pool]
             return names[self._permute(f"given:{pool}", len(names), names.index(title))].lower()
-        stem = next((len(canon) - len(e) for e, _ in ENDINGS if canon.endswith(e) and len(canon) > len(e) + 2), len(canon))
+        stem = _stem(canon)
         return self.shape("surname", canon[:stem]) + canon[stem:]
 
 
+def _stem(canon: str) -> int:
+    return next((len(canon) - len(e) for e, _ in ENDINGS if canon.endswith(e) and len(canon) > len(e) + 2), len(canon))
+
+
+def _ip_number(canon: str) -> int:
+    a, b, c, d = map(int, canon.split("."))
+    return a << 24 | b << 16 | c << 8 | d
+
+
+def _ip(x: int) -> str:
+    return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
+
+
+def _public(x: int) -> bool:
+    return 1 <= x >> 24 < 224 and x >> 24 != 127 and not any(base <= x < base + n for base, n in IP_CLASSES)
+
+
+def _checked(body: str) -> str:
+    return next(body + str(c) for c in range(10) if luhn(body + str(c)))
+
+
+def _iban(country: str, body: str) -> str:
+    return f"{country}{98 - int(_iban_number(body + country + '00')) % 97:02d}{body}"
+
+
 def luhn(digits: str) -> bool:
     odd = sum(map(int, digits[-1::-2]))
     even = sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])
@@ -194,7 +283,7 @@ def _in_form(form: str, canon: str) -> str:
             out.append(x.upper() if c.isupper() else x)
         else:
             out.append(c)
-    return "".join(out)
+    return "".join([*out, *fill])
 
 
 def _cased(form: str, canon: str) -> str:
@@ -245,16 +334,16 @@ def find(text: str, names: bool = True) -> list[tuple[int, int, str, str]]:
     return sorted(taken)
 
 
-def replace(text: str, made: Surrogates, names: bool = True) -> tuple[str, list[tuple[int, int, str, str]]]:
-    """The text with surrogates and the entities found in the original."""
+def replace(text: str, made: Surrogates, names: bool = True, moved: dict | None = None) -> tuple[str, list[tuple[int, int, str, str]]]:
+    """The text with surrogates and the entities found in the original. ``moved`` has the surrogates of moved (kind, canon)."""
     out, at = [], 0
     found = find(text, names)
     for start, end, kind, canon in found:
-        form, new = text[start:end], getattr(made, kind)(canon)
+        form, new = text[start:end], (moved or {}).get((kind, canon)) or getattr(made, kind)(canon)
         if kind == "name":
             new = _cased(form, new)
         elif kind == "email":
-            new = "".join(n.upper() if f.isupper() else n for f, n in zip(form, new))
+            new = "".join(n.upper() if f.isupper() else n for f, n in zip(form, new)) + new[len(form):]
         elif kind == "phone":
             new = _in_form(form, new.replace(":", ""))
         elif kind in ("card", "iban"):
@@ -315,32 +404,108 @@ def surrogates_of(found: DataFrame, key: str) -> DataFrame:
     return found.mapInArrow(run, "kind string, canon string, surrogate string")
 
 
+def _own(mapped: DataFrame) -> DataFrame:
+    """Entities whose surrogate must not be real. Given names come from a public pool and don't count."""
+    return mapped.filter(~((F.col("kind") == "name") & F.col("canon").isin(_POOL)))
+
+
 def collisions(mapped: DataFrame) -> int:
-    """Surrogates shared by two entities, or equal to the real value of an entity. Given names come from a public pool and don't count."""
-    known = [n.lower() for n in _POOL_OF]
-    own = mapped.filter(~((F.col("kind") == "name") & F.col("canon").isin(known)))
-    sides = own.select("kind", F.col("surrogate").alias("value"), F.lit(1).alias("s"), F.lit(0).alias("c")).union(
-        own.select("kind", F.col("canon").alias("value"), F.lit(0).alias("s"), F.lit(1).alias("c")))
-    return sides.groupBy("kind", "value").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).filter("s > 1 or (s > 0 and c > 0)").count()
+    """Surrogates shared by two entities, or equal to the real value of an entity."""
+    return _claims(_own(mapped)).count()
+
+
+def _claims(own: DataFrame) -> DataFrame:
+    """(kind, value, keeper) of surrogates that can't stay with all their entities; ``keeper`` may, null if the value is real."""
+    pool = (F.col("kind") == "name") & F.col("value").isin(_POOL)
+    sides = own.select("kind", F.col("surrogate").alias("value"), F.col("canon").alias("keeper"), F.lit(0).alias("c")).union(
+        own.select("kind", F.col("canon").alias("value"), F.lit(None).cast("string").alias("keeper"), F.lit(1).alias("c")))
+    values = sides.groupBy("kind", "value").agg(F.min("keeper").alias("keeper"), F.count("keeper").alias("s"), F.max("c").alias("c"))
+    values = values.withColumn("real", (F.col("c") > 0) | pool).filter("s > 1 or (s > 0 and real)")
+    return values.select("kind", "value", F.when(~F.col("real"), F.col("keeper")).alias("keeper"))
+
+
+def _tried(waiting: DataFrame, key: str, window: int) -> DataFrame:
+    """The next ``window`` values of each waiting entity (null where not admissible), with the level and step to go on from."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Surrogates(key)
+        for b in batches:
+            for low in range(0, b.num_rows, max(1, 10_000 // window)):
+                rows = []
+                for x in b.slice(low, max(1, 10_000 // window)).to_pylist():
+                    kind, canon, level, step = x["kind"], x["canon"], x["level"], x["step"]
+                    for _ in range(window):
+                        value, n = made.other(kind, canon, level, step)
+                        level, step = (level, step + 1) if step + 1 < n else (level + 1, 0)
+                        rows.append((kind, canon, level, step, value))
+                types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["kind", "canon", "level", "step", "value"])
+
+    return waiting.select("kind", "canon", "level", "step").mapInArrow(run, "kind string, canon string, level long, step long, value string")
+
+
+def moved_on(mapped: DataFrame, key: str) -> DataFrame | None:
+    """(kind, canon, surrogate) of the entities that can't keep the surrogate of ``mapped`` (distinct entities, settled); None if all can.
+
+    Every round each waiting entity takes its first value that is neither real nor taken; of several at one value one gets it. Values
+    are tried in an order of the entity's own through its whole class, so it is found if there is one, else the class is widened.
+    """
+    own = _own(mapped)
+    claims = settle(_claims(own), "claims")
+    if claims.isEmpty():
+        return None
+    meets = (own["kind"] == claims["kind"]) & (own["surrogate"] == claims["value"])
+    waiting = own.join(claims, meets).filter(~F.col("canon").eqNullSafe(F.col("keeper"))).select(
+        own["kind"], "canon", F.lit(0).cast("long").alias("level"), F.lit(0).cast("long").alias("step"))
+    waiting, window, moved = settle(waiting, "waiting"), 4, None
+    taken = own.select("kind", F.explode(F.array("canon", "surrogate")).alias("value"))
+    while n := waiting.count():
+        window = max(1, min(window, ROUND_VALUES // n))
+        tried = settle(_tried(waiting, key, window), "tried")
+        gone = taken if moved is None else taken.union(moved.select("kind", F.col("surrogate").alias("value")))
+        free = tried.filter("value is not null").join(gone, ["kind", "value"], "left_anti")
+        first = settle(free.groupBy("kind", "canon").agg(F.min(F.struct("level", "step", "value")).alias("p")).select("kind", "canon", "p.*"), "picks")
+        won = first.groupBy("kind", "value").agg(F.min("canon").alias("canon")).select("kind", "canon", F.col("value").alias("surrogate"))
+        moved = settle(won if moved is None else moved.unionByName(won), "moved")
+        last = tried.groupBy("kind", "canon").agg(F.max(F.struct("level", "step")).alias("last"))
+        on = last.join(first, ["kind", "canon"], "left").join(moved, ["kind", "canon"], "left_anti")
+        waiting = settle(on.select("kind", "canon", F.coalesce("level", "last.level").alias("level"), F.coalesce("step", "last.step").alias("step")), "waiting")
+        window *= 2
+    return moved
+
+
+def _with_moved(docs: DataFrame, moved: DataFrame) -> DataFrame:
+    """``docs`` and ``_moved``: those (kind, canon, surrogate) of ``moved`` that the text holds. Texts meet by hash; one more entry
+    for a text with an equal hash changes nothing."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = batch.column("_text").to_pylist(), set()
+            for text, r, names in _candidates(batch):
+                if text is not None:
+                    rows.update((at[r], k, c) for _, _, k, c in find(text, names))
+            cols = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()))], names=["_text", "kind", "canon"])
+
+    held = docs.select(F.xxhash64("text").alias("_text"), "text").mapInArrow(run, "_text long, kind string, canon string")
+    lists = held.join(moved, ["kind", "canon"]).distinct().groupBy("_text").agg(F.collect_list(F.struct("kind", "canon", "surrogate")).alias("_moved"))
+    # settled, so that its size is known when the join is planned
+    return docs.withColumn("_text", F.xxhash64("text")).join(settle(lists, "moved_texts"), "_text", "left").drop("_text")
 
 
-def anonymise(docs: DataFrame, key: str, max_keys: int = MAX_KEYS) -> DataFrame:
+def anonymise(docs: DataFrame, key: str) -> DataFrame:
     """All columns of ``docs`` with ``text`` replaced, plus ``_entities``: (kind, start, end in the original) of each replacement.
 
     Null and empty texts stay as they are; texts without personal data are returned unchanged. Rows are independent, so repeated
-    rows get equal results. An existing ``_entities`` column is replaced. Raises if ``max_keys`` derived keys all collide.
+    rows get equal results. An existing ``_entities`` column is replaced. Runs jobs while it is built.
     """
-    found = settle(entities(docs).distinct(), "entities")
-    for turn in range(max_keys):
-        chosen = f"{key}/{turn}"
-        if not collisions(surrogates_of(found, chosen)):
-            break
-    else:
-        raise RuntimeError(f"surrogates met real values under {max_keys} keys")
+    chosen = f"{key}/0"
+    moved = moved_on(settle(surrogates_of(entities(docs).distinct(), chosen), "entities"), chosen)
     docs = docs.drop("_entities")
     schema = docs.schema
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     at = schema.names.index("text")
+    moves = moved is not None
+    if moves:
+        docs = _with_moved(docs, moved)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Surrogates(chosen)
@@ -351,7 +516,8 @@ def anonymise(docs: DataFrame, key: str, max_keys: int = MAX_KEYS) -> DataFrame:
             lists: list[list] = [[]] * batch.num_rows
             for text, r, names in _candidates(batch):
                 if text is not None and known[r]:
-                    changed, hits = replace(text, made, names)
+                    own = batch.column("_moved")[r].as_py() if moves else None
+                    changed, hits = replace(text, made, names, {(m["kind"], m["canon"]): m["surrogate"] for m in own or ()})
                     if hits:
                         new[r] = changed
                         lists[r] = [{"kind": k, "start": s, "end": e} for s, e, k, _ in hits]
@@ -360,7 +526,7 @@ def anonymise(docs: DataFrame, key: str, max_keys: int = MAX_KEYS) -> DataFrame:
                 mask = np.zeros(batch.num_rows, bool)
                 mask[list(new)] = True
                 texts = pc.replace_with_mask(old, pa.array(mask), pa.array([new[r] for r in sorted(new)], old.type))
-            cols = [texts if i == at else c for i, c in enumerate(batch.columns)]
+            cols = [texts if i == at else c for i, c in enumerate(batch.columns[:len(schema)])]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lists, spans)], names=[*schema.names, "_entities"])
 
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)

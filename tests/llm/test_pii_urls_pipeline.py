@@ -93,6 +93,40 @@ def test_collisions_are_counted(spark):
     assert pii.collisions(spark.createDataFrame(rows, "kind string, canon string, surrogate string")) == 2
 
 
+def test_colliding_entities_are_moved_on(spark, documents):
+    """Crowded classes: no key is free of collisions, three-letter names are more than half of their class, one phone has no class."""
+    ips = [f"192.168.{i // 250}.{i % 250 + 1}" for i in range(1000)]
+    names = [a + b for a in "BCDFG" for b in "aeiou"] + [a + b for a in "aeiou".upper() for b in "bcdfghjklmn"] + ["Kim", "Ñç"]
+    mails = [f"{a}@{b}.org" for a in "aeiou" for b in "bcdfghjklmnpqrstvwxyz"]
+    texts = [f"from {i}, to Mr {n}, {m}" for i, n, m in zip(ips, names * 20, mails * 10)] + [f"host {i}" for i in ips] + ["Call 1 at +٤٩ ٣٠ ١٢٣٤٥٦", None, ""]
+    docs = documents(texts)
+    rows = {r["doc_id"]: r for r in pii.anonymise(docs, "k").collect()}
+    assert len(rows) == len(texts)
+    made = {}
+    for i, t in enumerate(texts):
+        if not t:
+            assert rows[i]["text"] == t
+            continue
+        old, new = pii.find(t), rows[i]["text"]
+        assert [(s, e, k) for s, e, k, _ in old] == [tuple(x[c] for c in ("start", "end", "kind")) for x in rows[i]["_entities"]]
+        parts = re.split("|".join(re.escape(t[b:a]) for b, a in zip([0, *(e for _, e, _, _ in old)], [s for s, _, _, _ in old]) if a > b), new)
+        values = [p for p in parts if p]
+        assert len(values) == len(old)
+        for (_, _, k, c), v in zip(old, values):
+            assert made.setdefault((k, c), v.lower()) == v.lower()  # one surrogate wherever it stands
+    assert len(made) == len(ips) + len(names) + len(mails) + 1
+    assert len({(k, v) for (k, _), v in made.items()}) == len(made)
+    assert not {(k, v) for (k, _), v in made.items()} & set(made)
+    assert all("٤٩ ٣٠ ١٢٣٤٥٦" not in (r["text"] or "") for r in rows.values())
+
+
+@pytest.mark.parametrize("n", [2, 6, 97, 100])
+def test_steps_reach_the_whole_class(n):
+    p = pii.Permutation(b"k" * 16, "x", n)
+    for x in range(n):
+        assert {p(x, step) for step in range(n)} == set(range(n))
+
+
 # --- op7 ---------------------------------------------------------------------------------------------------------
 def brute_trust(edges, good, bad, rounds=urlfilter.ROUNDS, damping=urlfilter.DAMPING):
     out, into = Counter(), Counter()
