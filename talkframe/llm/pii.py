@@ -20,8 +20,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkframe.llm.common import ALNUM, chunks, column_bytes, scan, settle
+from talkframe.llm.common import settle
 
 KINDS = ("email", "iban", "card", "ip", "phone", "name")
 ROUND_VALUES = 4_000_000  # values tried together while entities are moved on; sets the pace only
@@ -353,20 +355,21 @@ def replace(text: str, made: Surrogates, names: bool = True, moved: dict | None
     return "".join([*out, text[at:]]), found
 
 
-_TRIGGERS = sorted({w for ts in TITLES.values() for w in ts} | set(_POOL_OF))
+#: What every match of NAME holds, without its word borders, for Arrow's regular expressions
+_NAME_GATE = rf"(?:(?:{_TITLE})\.?|{_KNOWN}) {_UPPER}"
 
 
-def _flags(raw: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that can hold an entity at all (an @, a digit or a title or given name), and those with such a name word."""
-    marks = (raw == ord("@")) | ((raw >= ord("0")) & (raw <= ord("9")))
-    total = np.concatenate([[0], np.cumsum(marks)])
-    w = scan(raw, part, ALNUM)
-    words = "\n".join(_TRIGGERS).encode()
-    bounds = np.array([0, len(words)], np.int64)
-    known = np.isin(w.hash, scan(np.frombuffer(words, np.uint8), bounds, ALNUM).hash)
-    names = np.zeros(len(part) - 1, bool)
-    names[w.row[known]] = True
-    return names | (total[part[1:]] > total[part[:-1]]), names
+@cache
+def _mark_gate() -> str:
+    """An @ or a digit of any script, as ``\\d`` has them here."""
+    first = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.decimal(c, None) == 0]
+    return f"[@{''.join(f'{c}-{chr(ord(c) + 9)}' for c in first)}]"
+
+
+def _flags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that can hold an entity at all, and those that can hold a title or given name before a capital: never fewer than do."""
+    marks, names = (pc.match_substring_regex(texts, p).fill_null(False).to_numpy(zero_copy_only=False) for p in (_mark_gate(), _NAME_GATE))
+    return marks | names, names
 
 
 def entities(docs: DataFrame) -> DataFrame:
@@ -385,12 +388,10 @@ def entities(docs: DataFrame) -> DataFrame:
 
 def _candidates(batch: pa.RecordBatch) -> Iterator[tuple[str | None, int, bool]]:
     """(text, row, whether names are possible) of each row; text is None where nothing can be found."""
-    data, offsets = column_bytes(batch.column("text"))
-    for low, high in chunks(offsets):
-        raw, part = data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]
-        some, names = _flags(raw, part)
-        for r in range(high - low):
-            yield (raw[part[r]:part[r + 1]].tobytes().decode() if some[r] else None), low + r, bool(names[r])
+    texts = batch.column("text")
+    some, names = _flags(texts)
+    for r in range(batch.num_rows):
+        yield (texts[r].as_py() if some[r] else None), r, bool(names[r])
 
 
 def surrogates_of(found: DataFrame, key: str) -> DataFrame:

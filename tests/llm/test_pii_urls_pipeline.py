@@ -4,6 +4,7 @@ import re
 import shutil
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +121,16 @@ def test_colliding_entities_are_moved_on(spark, documents):
     assert all("٤٩ ٣٠ ١٢٣٤٥٦" not in (r["text"] or "") for r in rows.values())
 
 
+def test_gate_loses_no_entity():
+    """Triggers that touch typographic punctuation, and digits of other scripts, are sought like all others."""
+    names = ["“Mr Smith”", "‘Dr. Kim’ said", "¿Señora García?", "«Frau Müller»", "he—Dr Brown—left", "l’Anna Rossi", "…Herr Weber", "„Prof. Groß“", "»Иван Петров«", "–Γιώργος Παππάς"]
+    texts = [*names, "+٤٩ ٣٠ ١٢٣٤٥٦", "a@b.org", None, "", "Done. Mrs", "plain words", "5", "the Msx Dr.Who", "Anna went"]
+    texts += [f"{quote}{who} Lopez" for quote in "\"'“”‘’«»‹›„‚¿¡—–…•·\u00a0\u2009(" for who in ("Mr", "Dr.", "Señora", "Госпожа", "Julia", "Νίκος")]
+    got = {r: pii.find(t, n) if t else [] for t, r, n in pii._candidates(pa.record_batch([pa.array(texts)], names=["text"]))}
+    assert got == {r: pii.find(t or "") for r, t in enumerate(texts)}
+    assert all(got[r] for r in range(len(names) + 2))
+
+
 @pytest.mark.parametrize("n", [2, 6, 97, 100])
 def test_steps_reach_the_whole_class(n):
     p = pii.Permutation(b"k" * 16, "x", n)
