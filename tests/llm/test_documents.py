@@ -265,6 +265,24 @@ def test_shards_of_odd_rows(documents, odd_texts):
 
 
 # --- op8 ---------------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("pairs,alone", [(1600, 0), (640, 640)])
+def test_linked_rows_are_gathered_when_shards_are_full(spark, documents, pairs, alone):
+    """Copies in pairs and one group of a third of all rows: all rows linked, and as many that room is short until others leave."""
+    group = (2 * pairs + alone) // 2
+    docs = documents(["copy"] * group + [f"p{i}" for i in range(pairs)] * 2 + [f"t{i}" for i in range(alone)])
+    rows = sharding.assign_shards(docs).collect()
+    check_shards(texts_of(docs), rows)
+    text, at = dict(texts_of(docs)), defaultdict(Counter)
+    for r in rows:
+        at[text[r["doc_id"]]][r["shard"]] += 1
+    cut = sum(len(at[f"p{i}"]) > 1 for i in range(pairs))
+    quota = len(rows) // 40
+    parts = -(-group // (quota // 2))
+    held = sorted(at["copy"].values(), reverse=True)
+    assert len(held) <= parts  # a shard of its own for every part at most
+    assert cut <= (0 if alone else 39)
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     rows = queries.op8_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out")
