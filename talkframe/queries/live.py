@@ -76,16 +76,13 @@ select conversation_id, message_id, speaker_id, last_emotion, last_tone, last_se
 )
 def stream_memory(spark, sf):
     """Speaker state over live messages; the batch form is ``speaker_memory``."""
-    rows = views.messages(spark, sf).select(CONV, "message_id", "speaker_id", "emotion", "tone", "sentiment", "tension",
+    rows = views.messages(prepare(spark), sf).select(CONV, "message_id", "speaker_id", "emotion", "tone", "sentiment", "tension",
                                             (F.length("text") < 20).cast("int").alias("is_short"))
-    path = work_dir(spark, "arrivals")
-    rows.repartition(4).write.parquet(path)
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, live.ROCKSDB)
     try:
-        source = prepare(spark).readStream.schema(rows.schema).parquet(path)
-        out, _ = live.run_available(live.speaker_memory(source), "memory")
+        out, _ = live.run_available(live.speaker_memory(live.in_order(rows)), "memory")
     finally:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
     return out.withColumn("recent_tension", F.round("recent_tension", 6))

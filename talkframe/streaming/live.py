@@ -17,6 +17,8 @@ from talkframe import fixed
 from talkframe.session import work_dir
 
 CONV = "conversation_id"
+BATCH_ROWS = 250_000  # about as many rows of a table in order arrive in one micro-batch
+PIECE_ROWS = 10_000  # rows given out together
 
 
 def sessions(stream: DataFrame, gap: str = "90 minutes", delay: str = "10 minutes") -> DataFrame:
@@ -42,7 +44,8 @@ def tension_windows(stream: DataFrame, width: str = "1 hour", delay: str = "10 m
 
 class SpeakerState(StatefulProcessor):
     """Per (conversation, speaker): last labels, the last five tensions and the run of short messages. The rows of one micro-batch are taken
-    in order of ``message_id``, so the result does not depend on how the batch was partitioned.
+    in order of ``message_id``, so the result does not depend on how the batch was partitioned. Only one micro-batch's rows of a speaker
+    are ever held: the source bounds them (``in_order``, or its own ``maxFilesPerTrigger`` and the like), the length of its table doesn't.
 
     State is constant per speaker; with ``ttl_ms`` it expires after that long without messages.
     """
@@ -61,14 +64,16 @@ class SpeakerState(StatefulProcessor):
         held = [pdf for pdf in rows]  # one speaker's rows of one micro-batch
         if held:
             pdf = pd.concat(held).sort_values("message_id", kind="stable")
-            out = []
-            for r in pdf.itertuples(index=False):
-                mean = sum(tensions) / len(tensions) if tensions else None
-                out.append((key[0], r.message_id, key[1], emotion, tone, sentiment, mean, streak))
-                emotion, tone, sentiment = r.emotion, r.tone, r.sentiment
-                tensions = [*tensions, float(r.tension)][-self.window :]
-                streak = streak + 1 if r.is_short else 0
-            yield pd.DataFrame(out, columns=MEMORY_COLUMNS)
+            del held
+            for low in range(0, len(pdf), PIECE_ROWS):
+                out = []
+                for r in pdf.iloc[low : low + PIECE_ROWS].itertuples(index=False):
+                    mean = sum(tensions) / len(tensions) if tensions else None
+                    out.append((key[0], r.message_id, key[1], emotion, tone, sentiment, mean, streak))
+                    emotion, tone, sentiment = r.emotion, r.tone, r.sentiment
+                    tensions = [*tensions, float(r.tension)][-self.window :]
+                    streak = streak + 1 if r.is_short else 0
+                yield pd.DataFrame(out, columns=MEMORY_COLUMNS)
         self.state.update((emotion, tone, sentiment, tensions, streak))
 
     def close(self) -> None:
@@ -91,6 +96,21 @@ def speaker_memory(stream: DataFrame, window: int = 5, ttl_ms: int | None = None
     )
 
 
+def in_order(rows: DataFrame, batch_rows: int = BATCH_ROWS, least: int = 4) -> DataFrame:
+    """A table as a stream in order of ``message_id``: at least ``least`` micro-batches of about ``batch_rows`` rows (ranges are sampled).
+
+    One file per micro-batch; files are written one after another, since a file source takes them by time. Runs jobs."""
+    spark = rows.sparkSession
+    ranges, path = work_dir(spark, "ranges"), work_dir(spark, "arrivals")
+    n = max(least, -(-rows.count() // batch_rows))
+    dealt = rows.repartitionByRange(n, "message_id", CONV).withColumn("_range", F.spark_partition_id())
+    dealt.write.partitionBy("_range").parquet(ranges)
+    parts = spark.read.schema(dealt.schema).parquet(ranges)
+    for i in range(n):
+        parts.filter(F.col("_range") == i).drop("_range").coalesce(1).write.parquet(f"{path}/{i}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
