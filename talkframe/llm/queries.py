@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkframe.llm import decontaminate, neardup, oracles, packing, pii, quality, secrets, sharding, substrings, toxicity, urlfilter
+from talkframe.llm import (
+    decontaminate, interactions, manifest, neardup, oracles, overlapjoin, packing, pii, quality, secrets, sharding, substrings, toxicity, urlfilter,
+)
 from talkframe.llm.common import settle, table
 
 
@@ -77,5 +79,29 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op10_secrets, op9_quality, op8_toxicity, op6_sharding, op7_urlfilter, op3_pii, op2_packing, op1_decontaminate, op5_minhash, op4_substrings)}
-ORACLES = {"op1_decontaminate": oracles.OP1, "op4_substrings": oracles.OP4, "op5_minhash": oracles.OP5}
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root (of texts changed for a fifth of the ids), verified."""
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    changed = manifest.leaf({c: F.col(c) for c in manifest.FIELDS[:-1]} | {"text": lowered})
+    out = manifest.manifest(docs, carry={"tampered": F.when(hit, changed)})
+    folded = manifest.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    out = out.select("doc_id", "leaf", "subroot", "root", manifest.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id."""
+    return overlapjoin.jaccard_links(table(spark, sf_dir, "documents"))
+
+
+def op13_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part, filter_order, step, and what the step's filter does there."""
+    return interactions.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op10_secrets, op9_quality, op8_toxicity, op6_sharding, op7_urlfilter, op3_pii, op2_packing, op1_decontaminate, op5_minhash, op4_substrings,
+                                   op11_manifest, op12_jaccard, op13_interactions)}
+ORACLES = {"op1_decontaminate": oracles.OP1, "op4_substrings": oracles.OP4, "op5_minhash": oracles.OP5,
+           "op11_manifest": oracles.OP11, "op12_jaccard": oracles.OP12, "op13_interactions": oracles.OP13}
