@@ -237,91 +237,114 @@ def apply(df: DataFrame, model: Model, features: str = "features", with_confiden
     return df.select(*keep, flat.alias("_s")).select(*keep, "_s._i", "_s._v").mapInPandas(score, ", ".join(kinds))
 
 
+class Recurrence:
+    """Scores one conversation message by message, each prediction being history for the later ones.
+
+    What a conversation leaves behind is small whatever its length: ``recent`` holds the last ``k`` messages, ``older`` the ``picks`` most
+    tense ones before them, both as (heat, -position, tokens), and per speaker (emotion, tone, sentiment, last ``window`` tensions).
+    """
+
+    def __init__(self, model: Model, k: int = 4, window: int = 5, picks: int = 3):
+        self.k, self.window, self.picks, self.heads, self.blocks = k, window, picks, model.heads, model.blocks
+        self.index, self.weight = {w: i for i, w in enumerate(model.terms.words)}, np.array(model.terms.idf)
+        self.mats = {h: (np.array(x.coef), np.array(x.bias)) for h, x in model.heads.items()}
+        self.offset, at = {}, 0
+        for b in self.blocks:
+            self.offset[b] = at
+            at += {"text": len(self.weight), "context": len(self.weight), "behaviour": len(BEHAVIOUR), "memory": len(MEMORY)}[b]
+
+    def sparse(self, tok: list) -> tuple[np.ndarray, np.ndarray]:
+        counts = {}
+        for t in [*tok, *(f"{a} {b}" for a, b in zip(tok, tok[1:]))]:
+            i = self.index.get(t)
+            if i is not None:
+                counts[i] = counts.get(i, 0) + 1
+        ids = np.fromiter(counts, int, len(counts))
+        vals = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.weight[ids] if len(ids) else np.zeros(0)
+        size = np.sqrt((vals**2).sum())
+        return ids, vals / size if size > 0 else vals
+
+    @staticmethod
+    def remember(speaker: tuple, b: np.ndarray) -> np.ndarray:
+        tables = (fixed.AROUSAL, fixed.VALENCE, fixed.WARMTH, fixed.SENTIMENT_CODE)
+        arousal, valence, warmth, code = (t.get(x, 0.0) for t, x in zip(tables, (speaker[0], speaker[0], speaker[1], speaker[2])))
+        heat = (sum(speaker[3]) / len(speaker[3]) if speaker[3] else 0.0) / 100
+        neg, excl = b[7] / 3, b[2] / 3
+        return np.array([arousal, valence, warmth, code, heat, valence * neg, warmth * excl, heat * neg,
+                         b[14] * (1 - (warmth + 1) / 2), b[15] / 24 * heat])
+
+    def step(self, recent: list, older: list, speaker: tuple, pos: int, tok: list, b: np.ndarray) -> tuple[tuple, list, list, tuple]:
+        """(values of ``SCORES``, recent, older, speaker) after one message."""
+        parts = {"text": self.sparse(tok)}
+        if "context" in self.offset:
+            parts["context"] = self.sparse([t for _, _, ts in [*older, *recent] for t in ts])
+        if "behaviour" in self.offset:
+            parts["behaviour"] = (np.arange(len(b)), b)
+        if "memory" in self.offset:
+            parts["memory"] = (np.arange(len(MEMORY)), self.remember(speaker, b))
+        ids = np.concatenate([self.offset[n] + parts[n][0] for n in self.blocks]).astype(int)
+        vals = np.concatenate([parts[n][1] for n in self.blocks])
+        res = {}
+        for h, (w, c) in self.mats.items():
+            z = w[:, ids] @ vals + c
+            if self.heads[h].kind == "labels":
+                e = np.exp(z - z.max())
+                p = e / e.sum()
+                res[h], res[f"{h}_confidence"] = self.heads[h].classes[int(z.argmax())], float(p.max())
+                res[f"{h}_probs"] = dict(zip(self.heads[h].classes, p.tolist()))
+            elif self.heads[h].kind == "tension":
+                res[h] = float(min(max(z[0], 0.0), 100.0))
+            else:
+                cv = np.array(self.heads[h].curve)
+                res[f"{h}_p"] = float((1 / (1 + np.exp(-(z * cv[:, 0] + cv[:, 1])))).mean())
+        tension = res.get("tension", 0.0)
+        scores = (*(res.get(h, "neutral") for h in MULTI), *(res.get(f"{h}_confidence", 0.0) for h in MULTI),
+                  *(res.get(f"{h}_probs", {}) for h in MULTI), *(res.get(f"{h}_p", 0.0) for h in BINARY), tension)
+        state = (*(res.get(h, "neutral") for h in ("emotion", "tone", "sentiment")), [*speaker[3], tension][-self.window:])
+        recent = [*recent, (abs(tension), -pos, tok)]
+        if len(recent) > self.k:
+            older = sorted([*older, recent[0]], key=lambda s: (-s[0], -s[1]))[: self.picks]
+            recent = recent[1:]
+        return scores, recent, older, state
+
+
+NEW_SPEAKER = (None, None, None, [])
+SCORES = [*MULTI, *[f"{h}_confidence" for h in MULTI], *[f"{h}_probs" for h in MULTI], *[f"{h}_p" for h in BINARY], "tension"]
+SCORE_KINDS = [*["string"] * 3, *["double"] * 3, *["map<string,double>"] * 3, *["double"] * 4]
+
+
+def read_ahead(df: DataFrame, *more: str) -> DataFrame:
+    """What ``Recurrence`` needs of every message: its tokens and behaviour numbers."""
+    tokens = vectors.terms(F.col("text"), n=1)
+    return df.select(CONV, "pos", "message_id", "speaker_id", *more, tokens.alias("tokens"),
+                     F.array(*[F.col(c).cast("double") for c in BEHAVIOUR]).alias("behave"))
+
+
 def predict_sequential(df: DataFrame, model: Model, k: int = 4, window: int = 5, picks: int = 3) -> DataFrame:
     """Score messages in order, feeding each prediction back as history for the later ones.
 
     Input: messages with the behaviour columns. The recurrence runs along a conversation, so conversations are the
-    unit of distribution; a task streams its sorted rows and holds only the last ``k`` messages, ``picks`` salient
-    ones and the last ``window`` states per speaker, never a whole conversation. A very long conversation takes its task
-    long, but no more memory. ``<head>_probs`` holds the probability of every class of a label head.
+    unit of distribution; a task streams its sorted rows and holds only the state of a ``Recurrence``, never a whole
+    conversation. A very long conversation takes its task long, but no more memory. ``<head>_probs`` holds the
+    probability of every class of a label head.
     """
-    tokens = vectors.terms(F.col("text"), n=1)
-    rows = df.select(CONV, "pos", "message_id", "speaker_id", tokens.alias("tokens"), F.array(*[F.col(c).cast("double") for c in BEHAVIOUR]).alias("behave"))
-    rows = rows.repartition(CONV).sortWithinPartitions(CONV, "pos")
-    words, idf, blocks, heads = model.terms.words, model.terms.idf, model.blocks, model.heads
-    tables = (fixed.AROUSAL, fixed.VALENCE, fixed.WARMTH, fixed.SENTIMENT_CODE)
+    rows = read_ahead(df).repartition(CONV).sortWithinPartitions(CONV, "pos")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, weight, v = {w: i for i, w in enumerate(words)}, np.array(idf), len(words)
-        at, offset = 0, {}
-        for b in blocks:
-            offset[b] = at
-            at += {"text": v, "context": v, "behaviour": len(BEHAVIOUR), "memory": 10}[b]
-        mats = {h: (np.array(x.coef), np.array(x.bias)) for h, x in heads.items()}
-
-        def sparse(tok):
-            counts = {}
-            for t in [*tok, *(f"{a} {b}" for a, b in zip(tok, tok[1:]))]:
-                i = index.get(t)
-                if i is not None:
-                    counts[i] = counts.get(i, 0) + 1
-            ids = np.fromiter(counts, int, len(counts))
-            vals = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * weight[ids] if len(ids) else np.zeros(0)
-            size = np.sqrt((vals**2).sum())
-            return ids, vals / size if size > 0 else vals
-
-        def remember(state, b):
-            arousal, valence, warmth, code = (t.get(x, 0.0) for t, x in zip(tables, (state[0], state[0], state[1], state[2])))
-            heat = (sum(state[3]) / len(state[3]) if state[3] else 0.0) / 100
-            neg, excl = b[7] / 3, b[2] / 3
-            return np.array([arousal, valence, warmth, code, heat, valence * neg, warmth * excl, heat * neg,
-                             b[14] * (1 - (warmth + 1) / 2), b[15] / 24 * heat])
-
+        scorer = Recurrence(model, k, window, picks)
         conv, recent, older, speakers = None, [], [], {}
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
                 if r.conversation_id != conv:
                     conv, recent, older, speakers = r.conversation_id, [], [], {}
-                state = speakers.setdefault(r.speaker_id, [None, None, None, []])
-                tok, b = list(r.tokens), np.asarray(r.behave, float)
-                parts = {"text": sparse(tok)}
-                if "context" in offset:
-                    parts["context"] = sparse([t for _, _, ts in older for t in ts] + [t for _, _, ts in recent for t in ts])
-                if "behaviour" in offset:
-                    parts["behaviour"] = (np.arange(len(b)), b)
-                if "memory" in offset:
-                    parts["memory"] = (np.arange(10), remember(state, b))
-                ids = np.concatenate([offset[n] + parts[n][0] for n in blocks]).astype(int)
-                vals = np.concatenate([parts[n][1] for n in blocks])
-                res = {}
-                for h, (w, c) in mats.items():
-                    z = w[:, ids] @ vals + c
-                    if heads[h].kind == "labels":
-                        e = np.exp(z - z.max())
-                        p = e / e.sum()
-                        res[h], res[f"{h}_confidence"] = heads[h].classes[int(z.argmax())], float(p.max())
-                        res[f"{h}_probs"] = dict(zip(heads[h].classes, p.tolist()))
-                    elif heads[h].kind == "tension":
-                        res[h] = float(min(max(z[0], 0.0), 100.0))
-                    else:
-                        cv = np.array(heads[h].curve)
-                        res[f"{h}_p"] = float((1 / (1 + np.exp(-(z * cv[:, 0] + cv[:, 1])))).mean())
-                tension = res.get("tension", 0.0)
-                out.append((r.conversation_id, r.message_id, r.speaker_id, *(res.get(h, "neutral") for h in MULTI),
-                            *(res.get(f"{h}_confidence", 0.0) for h in MULTI), *(res.get(f"{h}_probs", {}) for h in MULTI),
-                            *(res.get(f"{h}_p", 0.0) for h in BINARY), tension))
-                state[0], state[1], state[2] = (res.get(h, "neutral") for h in ("emotion", "tone", "sentiment"))
-                state[3] = [*state[3], tension][-window:]
-                recent.append((abs(tension), -r.pos, tok))
-                if len(recent) > k:
-                    older = sorted([*older, recent.pop(0)], key=lambda s: (-s[0], -s[1]))[:picks]
+                scores, recent, older, speakers[r.speaker_id] = scorer.step(
+                    recent, older, speakers.get(r.speaker_id, NEW_SPEAKER), r.pos, list(r.tokens), np.asarray(r.behave, float))
+                out.append((r.conversation_id, r.message_id, r.speaker_id, *scores))
             yield pd.DataFrame(out, columns=names)
 
-    names = [CONV, "message_id", "speaker_id", *MULTI, *[f"{h}_confidence" for h in MULTI], *[f"{h}_probs" for h in MULTI],
-             *[f"{h}_p" for h in BINARY], "tension"]
-    kinds = [df.schema[CONV].dataType.simpleString(), "bigint", "string", *["string"] * 3, *["double"] * 3, *["map<string,double>"] * 3,
-             *["double"] * 4]
+    names = [CONV, "message_id", "speaker_id", *SCORES]
+    kinds = [df.schema[CONV].dataType.simpleString(), "bigint", "string", *SCORE_KINDS]
     return rows.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in zip(names, kinds)))
 
 

@@ -22,8 +22,12 @@ def score(df: DataFrame, model: learn.Model) -> DataFrame:
     """Unlabelled messages to labelled ones, with the model's own predictions as history."""
     rows = text.behaviour(context.response_gap(seq.with_positions(df)), gap="gap_hours")
     got = learn.predict_sequential(rows, model).drop("speaker_id")
-    out = seq.with_positions(df).join(got, [CONV, "message_id"])
-    return out.withColumns({
+    return with_polarity(seq.with_positions(df).join(got, [CONV, "message_id"]))
+
+
+def with_polarity(scored: DataFrame) -> DataFrame:
+    """Scores plus the two probabilities polarity is taken from, each label head's likeliest classes and the names the reading uses."""
+    return scored.withColumns({
         **{f"p_{s}": F.coalesce(F.element_at("sentiment_probs", s), F.lit(0.0)) for s in ("positive", "negative")},
         **{f"{h}_top3": learn.top_classes(f"{h}_probs") for h in learn.MULTI},
         "pa_p": F.col("passive_aggression_p"),

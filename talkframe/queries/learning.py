@@ -146,18 +146,43 @@ pr as (select *, e_negative / (e_negative + e_neutral + e_positive) as p_negativ
   greatest(e_negative, e_neutral, e_positive) as top from z)"""
 
 
-@query(
-    "predict_sequential",
-    over_messages(f"""{HISTORY_SQL}
+SEQUENTIAL_SQL = over_messages(f"""{HISTORY_SQL}
 select conversation_id, message_id, speaker_id, round(least(heat * 100 + 10, 100), 6) as tension,
  case when e_negative = top then 'negative' when e_neutral = top then 'neutral' else 'positive' end as sentiment,
- round(p_positive, 6) as p_positive, round(p_negative, 6) as p_negative, round(top / (e_negative + e_neutral + e_positive), 6) as sentiment_confidence from pr"""),
-)
+ round(p_positive, 6) as p_positive, round(p_negative, 6) as p_negative, round(top / (e_negative + e_neutral + e_positive), 6) as sentiment_confidence from pr""")
+
+
+def sequential_columns(scored):
+    numbers = ("tension", "p_positive", "p_negative", "sentiment_confidence")
+    return rounded(scored.select(CONV, "message_id", "speaker_id", "tension", "sentiment", "p_positive", "p_negative", "sentiment_confidence"), *numbers)
+
+
+@query("predict_sequential", SEQUENTIAL_SQL)
 def predict_sequential(spark, sf):
     """Scores with the model's own predictions as history, and the probabilities polarity is taken from."""
-    out = analyze.score(views.messages(spark, sf).select(CONV, "message_id", "pos", "speaker_id", "ts", "text"), history_model())
-    return rounded(out.select(CONV, "message_id", "speaker_id", "tension", "sentiment", "p_positive", "p_negative", "sentiment_confidence"),
-                   "tension", "p_positive", "p_negative", "sentiment_confidence")
+    return sequential_columns(analyze.score(views.messages(spark, sf).select(CONV, "message_id", "pos", "speaker_id", "ts", "text"), history_model()))
+
+
+@query("predict_learned", over_messages("select conversation_id, message_id, true as same_labels, true as same_scores, true as in_bounds from messages"))
+def predict_learned(spark, sf):
+    """The full model (layout D, seven learned heads) on its own history. Its scores have no SQL; the two ways to reach them, message by
+    message along a conversation and in sweeps over all messages at once, must agree, and labels must be known ones."""
+    rows, terms = designed(spark, sf)
+    model = learn.fit(rows.filter("split = 'train'"), terms)
+    read = settle(rows.select(CONV, "pos", "message_id", "speaker_id", "text", *text.BEHAVIOUR), "read")
+    along = learn.predict_sequential(read, model)
+    sweeps = learn.predict_by_sweeps(read, model)
+    kept = [*learn.MULTI, "tension", *[f"{h}_p" for h in learn.BINARY], *[f"{h}_confidence" for h in learn.MULTI]]
+    both = along.join(sweeps.select(CONV, "message_id", *[F.col(c).alias(f"_{c}") for c in kept]), [CONV, "message_id"])
+    labels, scores, bounds = F.lit(True), F.lit(True), F.col("tension").between(0, 100)
+    for h in learn.MULTI:
+        labels = labels & (F.col(h) == F.col(f"_{h}"))
+        bounds = bounds & F.map_contains_key(f"{h}_probs", F.col(h)) & F.col(f"{h}_confidence").between(0, 1)
+    for c in kept[3:]:
+        scores = scores & (F.abs(F.col(c) - F.col(f"_{c}")) < 1e-6)
+    for h in learn.BINARY:
+        bounds = bounds & F.col(f"{h}_p").between(0, 1)
+    return both.select(CONV, "message_id", labels.alias("same_labels"), scores.alias("same_scores"), bounds.alias("in_bounds"))
 
 
 @query(

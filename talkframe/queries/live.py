@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talkframe import views
+from talkframe.plans import analyze
+from talkframe.queries import learning
 from talkframe.queries.context import MEMORY_SQL
 from talkframe.queries.registry import over_messages, query
 from talkframe.session import prepare, work_dir
@@ -78,16 +80,23 @@ def stream_memory(spark, sf):
     """Speaker state over live messages; the batch form is ``speaker_memory``."""
     rows = views.messages(prepare(spark), sf).select(CONV, "message_id", "speaker_id", "emotion", "tone", "sentiment", "tension",
                                             (F.length("text") < 20).cast("int").alias("is_short"))
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, live.ROCKSDB)
-    try:
+    with live.rocksdb(spark):
         out, _ = live.run_available(live.speaker_memory(live.in_order(rows)), "memory")
-    finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
     return out.withColumn("recent_tension", F.round("recent_tension", 6))
 
 
+@query("stream_score", learning.SEQUENTIAL_SQL)
+def stream_score(spark, sf, files=4):
+    """Live messages scored on the model's own history, in files of mixed order; the batch form is ``predict_sequential``."""
+    rows = views.messages(prepare(spark), sf).select(CONV, "pos", "message_id", "speaker_id", "ts", "text")
+    path = work_dir(spark, "arrivals")
+    rows.repartition(files, F.xxhash64(CONV, "pos")).write.parquet(path)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    with live.rocksdb(spark):
+        out, _ = live.run_available(live.score(arriving, learning.history_model()), "scores")
+    return learning.sequential_columns(analyze.with_polarity(out))
+
+
 @query(
     "stream_late",
     """with x as (select date_trunc('hour', ts) as w, event_id % 7 = 0 and day(ts) <= 7 as moved, ts from events),

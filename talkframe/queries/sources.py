@@ -157,6 +157,43 @@ def ingest_csv(spark, sf):
     return _out(exports.parse_csv_text(documents(flat(spark, sf), csv_lines())))
 
 
+_BARE = "replace(said, ',', ';')"
+
+
+def odd_csv_lines():
+    """CSV lines by turn: quoted; quoted with a line break; bare with stray quotes; bare, with text behind the closing quote.
+
+    Headers by conversation: plain, in another order, and with a repeated name whose last column counts.
+    """
+    inner, bare, turn = F.replace("said", F.lit('"'), F.lit('""')), F.expr(_BARE), F.col("turn") % 4
+    text = (
+        F.when(turn == 0, F.concat(F.lit('"'), inner, F.lit('"'))).when(turn == 1, F.concat(F.lit('"'), inner, F.lit(',\n""more"""')))
+        .when(turn == 2, F.concat(F.lit('a 5" '), bare, F.lit(' "'))).otherwise(F.concat(F.lit('"x, "'), bare, F.lit('"y"')))
+    )
+    kind, stamp, said = F.col("conv_id") % 5, F.format_string("2024-01-01T%02d:00:00", F.col("turn") % 24), F.replace(text, F.lit("\r"), F.lit(""))
+    row = (
+        F.when(kind == 0, F.concat_ws(",", "role", stamp, said)).when(kind == 1, F.concat_ws(",", stamp, said, "role"))
+        .otherwise(F.concat_ws(",", "role", F.lit('"decoy, 1"'), stamp, said, F.lit("more")))
+    )
+    head = F.when(kind == 0, "speaker,timestamp,text\n").when(kind == 1, "timestamp,text,speaker\r\n").otherwise("speaker,text,timestamp,text\n\n")
+    return F.concat(F.when(F.col("turn") % 1000 == 0, head).otherwise(""), row, F.when(F.col("turn") % 7 == 3, "\r").otherwise(""))
+
+
+@query(
+    "ingest_mixed",
+    f"""with {FLAT_SQL}, c as (select {_CID}, role as speaker_id, printf('2024-01-01T%02d:00:00', turn % 24) as ts,
+  case turn % 4 when 0 then said when 1 then said || ',' || chr(10) || '"more"' when 2 then 'a 5" ' || {_BARE} || ' "' else 'x, ' || {_BARE} || '"y"' end as text,
+  'csv' as platform from flat where conv_id % 5 < 3)
+select * from c union all select * from ({_PHONE_SQL} where conv_id % 5 = 3) q union all select * from ({_SPEAK_SQL} where conv_id % 5 = 4) r""",
+)
+def ingest_mixed(spark, sf):
+    """Files of several kinds at once; every message written comes back."""
+    rows = flat(spark, sf)
+    docs = documents(rows.filter("conv_id % 5 < 3"), odd_csv_lines())
+    docs = docs.unionByName(documents(rows.filter("conv_id % 5 = 3"), phone_lines(rows)))
+    return _out(exports.ingest(docs.unionByName(documents(rows.filter("conv_id % 5 = 4"), speaker_lines()))))
+
+
 @query(
     "detect_platform",
     f"""with {FLAT_SQL}, a as (select * from ({_PHONE_SQL}) q union all select * from ({_CLOCK_SQL}) q union all select * from ({_SPEAK_SQL}) q

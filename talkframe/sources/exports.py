@@ -200,34 +200,62 @@ def detect_platform(docs: DataFrame, platform: str | None = None, sniff: bool =
     return docs.withColumn("platform", chat)
 
 
-def parse_csv_text(docs: DataFrame) -> DataFrame:
-    """CSV exports held as text. Columns are found by each file's own header, in any order and number; quoted fields may hold line breaks.
+#: A quote opens a field only where the field starts; inside, two stand for one; text after the closing one is plain up to the comma.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+'
+_ENDS_OPEN = rf'\A(?:(?:{_QUOTED}"(?:[^",][^,]*+)?+|[^",][^,]*+|),)*+{_QUOTED}\z'
+_CELL = rf',(?:{_QUOTED}(?:"[^,]*+)?+|[^,]*+)'
+_CELL_PARTS = r'(?s)\A"([^"]*+(?:""[^"]*+)*+)"?(.*)\z'
+
+
+def open_before(rows: DataFrame, ends_open: Column, ends_open_if_open: Column) -> DataFrame:
+    """Adds ``_open``: whether a quoted field is open where each line (file_id, line_no, _b) starts.
+
+    A line maps the state before it to the state after it: it sets, clears, keeps or turns it. Such maps are composed over all earlier
+    lines as the last line that sets or clears and the number of turns since then, both running values carried from block to block.
+    """
+    size = seq.block_rows(rows)
+    fixed_to = F.when(ends_open == ends_open_if_open, ends_open)
+    rows = rows.withColumns({"_b": F.expr(f"line_no div {size}"), "_fixed": fixed_to, "_turn": (ends_open & ~ends_open_if_open).cast("long")})
+    rows = seq.prefix(rows, {"_turns": ("sum", F.col("_turn"))}, [FILE], ["line_no"], "_b")
+    last = F.when(F.col("_fixed").isNotNull(), F.struct("line_no", F.col("_fixed").alias("open"), F.col("_turns").alias("turns")))
+    rows = seq.prefix(rows, {"_last": ("max", last)}, [FILE], ["line_no"], "_b", inclusive=False)
+    turned = (F.col("_turns") - F.col("_turn") - F.coalesce("_last.turns", F.lit(0))) % 2 == 1
+    return rows.withColumn("_open", F.coalesce("_last.open", F.lit(False)) != turned).drop("_fixed", "_turn", "_turns", "_last")
 
-    A line starts a record when the quotes before it are balanced. Fields are cut at the widest header's number of columns, the only
-    thing that reaches the driver.
+
+def cells_of(record: Column) -> Column:
+    """The fields of one CSV record."""
+    def value(cell: Column) -> Column:
+        body = F.substring(cell, 2, 1 << 30)
+        inside = F.replace(F.regexp_extract(body, _CELL_PARTS, 1), F.lit('""'), F.lit('"'))
+        return F.when(body.startswith('"'), F.concat(inside, F.regexp_extract(body, _CELL_PARTS, 2))).otherwise(body)
+
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(_CELL), F.lit(0)), value)
+
+
+def parse_csv_text(docs: DataFrame) -> DataFrame:
+    """CSV exports held as text, as the usual reader of such files takes them: a quote inside an unquoted field is a plain character, a
+    quoted field may hold commas, doubled quotes and line breaks, empty lines are skipped. Columns are found by each file's own header, in
+    any order and number; of a repeated name the last column counts, missing cells are empty.
     """
-    rows = lines(docs).withColumn("_b", F.expr(f"line_no div {seq.block_rows(docs)}"))
-    quotes = (F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))).cast("long")
-    rows = seq.prefix(rows, {"_q": ("sum", quotes)}, [FILE], ["line_no"], "_b", inclusive=False)
-    rows = rows.withColumn("_open", F.col("_q") % 2 == 1).filter(F.col("_open") | (F.trim("line") != ""))
+    rows = docs.select(FILE, F.posexplode(F.split("raw", "\n")).alias("line_no", "line"))
+    rows = open_before(rows, F.col("line").rlike(_ENDS_OPEN), F.concat(F.lit('"'), "line").rlike(_ENDS_OPEN))
+    rows = rows.filter(F.col("_open") | ~F.col("line").isin("", "\r"))
     rows = seq.prefix(rows, {"_at": ("sum", (~F.col("_open")).cast("long"))}, [FILE], ["line_no"], "_b")
     record = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
     records = rows.groupBy(FILE, "_at").agg(record.alias("record"))
-    width = records.filter("_at = 1").agg(F.max(F.size(F.split("record", ",")))).first()[0] or 1
-    names = [f"c{i}" for i in range(width)]
-    cells = F.from_csv("record", F.lit(", ".join(f"{c} string" for c in names)), {"escape": '"', "multiLine": "true"})
-    records = records.withColumn("cells", F.array(*[cells[c] for c in names])).withColumn("_blk", F.expr(f"_at div {seq.block_rows(docs)}"))
-    records = seq.attach(records, {"head": ("min", F.struct("_at", F.col("cells").alias("names")))}, [FILE])
-    named = F.map_from_arrays(F.filter("head.names", lambda n: n.isNotNull()), F.slice("cells", 1, F.size(F.filter("head.names", lambda n: n.isNotNull()))))
-    records = records.filter("_at > 1").withColumn("row", named)
+    records = records.select(FILE, "_at", cells_of(F.regexp_replace("record", r"\r\z", "")).alias("cells"), F.expr(f"_at div {seq.block_rows(docs)}").alias("_blk"))
 
-    def field(name: str) -> Column:
-        return F.element_at("row", name)
+    def place(name: str) -> Column:
+        return F.when(F.array_contains("cells", name), F.size("cells") - F.array_position(F.reverse("cells"), name)).cast("int").alias(name)
 
+    names = ("speaker", "speaker_id", "timestamp", "text")
+    records = seq.attach(records, {"head": ("min", F.when(F.col("_at") == 1, F.struct(*map(place, names))))}, [FILE]).filter("_at > 1")
+    cell = {n: F.get("cells", F.col(f"head.{n}")) for n in names}
     return records.select(
         F.col(FILE).alias("conversation_id"), (F.col("_at") - 1).alias("message_id"),
-        F.coalesce(F.nullif(field("speaker"), F.lit("")), F.nullif(field("speaker_id"), F.lit("")), F.lit("user")).alias("speaker_id"),
-        field("timestamp").alias("ts"), F.coalesce(field("text"), F.lit("")).alias("text"), F.lit("csv").alias("platform"),
+        F.coalesce(F.nullif(cell["speaker"], F.lit("")), F.nullif(cell["speaker_id"], F.lit("")), F.lit("user")).alias("speaker_id"),
+        cell["timestamp"].alias("ts"), F.coalesce(cell["text"], F.lit("")).alias("text"), F.lit("csv").alias("platform"),
     )
 
 

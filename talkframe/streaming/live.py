@@ -7,18 +7,24 @@ on the shared folder, which is how the batch checks use these operators.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from talkframe import fixed
+from talkframe.functions import text as text_features
+from talkframe.operators import learn
 from talkframe.session import work_dir
 
 CONV = "conversation_id"
 BATCH_ROWS = 250_000  # about as many rows of a table in order arrive in one micro-batch
 PIECE_ROWS = 10_000  # rows given out together
+HELD = 10_000  # rows of a micro-batch that wait in memory for an earlier message; more wait in the state store
+DAY = 86_400_000_000  # microseconds
 
 
 def sessions(stream: DataFrame, gap: str = "90 minutes", delay: str = "10 minutes") -> DataFrame:
@@ -96,6 +102,79 @@ def speaker_memory(stream: DataFrame, window: int = 5, ttl_ms: int | None = None
     )
 
 
+class ConversationScorer(StatefulProcessor):
+    """Per conversation: the ring of its last messages, its most tense older ones, every speaker's last labels and tensions, and the heads.
+
+    Messages are scored in order of ``pos``, which counts a conversation's messages from 0. Those that come before an earlier one wait:
+    a micro-batch's own in memory up to ``HELD`` rows, the rest in the state store, until the missing one arrives. So neither the files'
+    order nor their number shows in the result. The state is constant per conversation and speaker, besides what waits.
+    """
+
+    def __init__(self, model: learn.Model, k: int = 4, window: int = 5, picks: int = 3):
+        self.model, self.sizes = model, (k, window, picks)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        turns = "array<struct<heat:double,place:bigint,tokens:array<string>>>"
+        self.talk = handle.getValueState("talk", f"next bigint, clock bigint, recent {turns}, older {turns}")
+        self.speakers = handle.getMapState("speakers", "speaker string", "emotion string, tone string, sentiment string, tensions array<double>")
+        self.waiting = handle.getMapState("waiting", "pos bigint", "message_id bigint, speaker string, clock bigint, tokens array<string>, behave array<double>")
+        self.scorer = learn.Recurrence(self.model, *self.sizes)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        at, clock, recent, older = self.talk.get() if self.talk.exists() else (0, None, [], [])
+        recent, older = ([(h, p, list(t)) for h, p, t in turns] for turns in (recent, older))
+        speakers, held = {}, {}
+        for pdf in rows:
+            out = []
+            for r in pdf.sort_values("pos").itertuples(index=False):
+                if r.pos < at:
+                    continue  # delivered before
+                row = (int(r.message_id), r.speaker_id, None if pd.isna(r.clock) else int(r.clock), [str(t) for t in r.tokens], [float(x) for x in r.behave])
+                if r.pos == at or len(held) < HELD:
+                    held[int(r.pos)] = row
+                else:
+                    self.waiting.updateValue((int(r.pos),), row)
+                while True:
+                    if at in held:
+                        row = held.pop(at)
+                    elif self.waiting.containsKey((at,)):
+                        row = self.waiting.getValue((at,))
+                        self.waiting.removeKey((at,))
+                    else:
+                        break
+                    message, who, now, tokens, behave = row
+                    who = "" if who is None else who
+                    if who not in speakers:
+                        speakers[who] = self.speakers.getValue((who,)) if self.speakers.containsKey((who,)) else learn.NEW_SPEAKER
+                    if clock is not None and now is not None:
+                        behave = [*behave[:-1], min(max(now - clock, 0), DAY) / 3_600_000_000]
+                    scores, recent, older, speakers[who] = self.scorer.step(recent, older, speakers[who], at, list(tokens), np.asarray(behave, float))
+                    out.append((key[0], message, row[1], *scores))
+                    at, clock = at + 1, now
+            yield pd.DataFrame(out, columns=[CONV, "message_id", "speaker_id", *learn.SCORES])
+        for pos, row in held.items():
+            self.waiting.updateValue((pos,), row)
+        for who, (emotion, tone, sentiment, tensions) in speakers.items():
+            self.speakers.updateValue((who,), (emotion, tone, sentiment, [float(x) for x in tensions]))
+        self.talk.update((at, clock, recent, older))
+
+    def close(self) -> None:
+        pass
+
+
+def score(stream: DataFrame, model: learn.Model, k: int = 4, window: int = 5, picks: int = 3) -> DataFrame:
+    """Live form of ``learn.predict_sequential``: the same rows, whatever the arrival order. ``stream``: conversation_id, pos (from 0,
+    without gaps), message_id, speaker_id, ts (may be null), text. The session must use the RocksDB state store.
+    """
+    rows = text_features.behaviour(stream)  # the gap to the previous message is known in the state only
+    clock = F.unix_micros(F.col("ts").cast("timestamp")).alias("clock")
+    rows = learn.read_ahead(rows.select("*", clock), "clock")
+    ids = [f"{CONV} {stream.schema[CONV].dataType.simpleString()}", "message_id bigint", "speaker_id string"]
+    shown = ", ".join([*ids, *(f"{c} {t}" for c, t in zip(learn.SCORES, learn.SCORE_KINDS))])
+    return rows.groupBy(CONV).transformWithStateInPandas(
+        statefulProcessor=ConversationScorer(model, k, window, picks), outputStructType=shown, outputMode="append", timeMode="none")
+
+
 def in_order(rows: DataFrame, batch_rows: int = BATCH_ROWS, least: int = 4) -> DataFrame:
     """A table as a stream in order of ``message_id``: at least ``least`` micro-batches of about ``batch_rows`` rows (ranges are sampled).
 
@@ -114,6 +193,18 @@ def in_order(rows: DataFrame, batch_rows: int = BATCH_ROWS, least: int = 4) -> D
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside use the RocksDB state store; the session's own setting comes back afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def run_available(result: DataFrame, name: str) -> tuple[DataFrame, list]:
     """Drain the source once into a table on the shared folder; also returns the progress reports."""
     spark: SparkSession = result.sparkSession

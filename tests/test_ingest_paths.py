@@ -1,5 +1,9 @@
 """Exports lose no message: fall-through of wrong guesses, CSV as CSV, malformed JSON lines, and the scored chain."""
 
+import csv
+import io
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +55,35 @@ def test_csv_records_across_blocks(spark):
         spark.conf.unset("talkframe.blockRows")
 
 
+def test_stray_quotes_swallow_nothing(spark):
+    got = exports.parse_csv_text(files(spark, a='speaker,text\nAnn,a 5" screen\nBob,hi\n\nCy,"yo" there, x\nDi,"open\nto the end\n'))
+    assert rows(got, "speaker_id", "text") == [("a", "Ann", 'a 5" screen'), ("a", "Bob", "hi"), ("a", "Cy", "yo there"), ("a", "Di", "open\nto the end\n")]
+
+
+def test_repeated_header_names(spark):
+    got = exports.parse_csv_text(files(spark, a="speaker,text,text\nAnn,one,two\nBob,three\n"))
+    assert rows(got, "speaker_id", "text") == [("a", "Ann", "two"), ("a", "Bob", "")]
+
+
+def test_csv_is_read_as_by_the_standard_reader(spark):
+    """Random quotes, breaks, commas and headers, with blocks of three lines."""
+    rng = random.Random(5)
+    docs, want = {}, []
+    for i in range(60):
+        names = rng.sample(["speaker", "speaker_id", "timestamp", "text", "mood", "text"], rng.randint(2, 6))
+        lines = ["".join(rng.choice(['"', '""', ",", "a", "b", " ", "\n", ',"', '",', "é"]) for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(1, 6))]
+        raw = "x,speaker,".join(["", ",".join(names)]) + "\n" + "\n".join(lines)
+        docs[f"f{i:02d}"] = raw
+        for n, r in enumerate(csv.DictReader(io.StringIO(raw))):
+            want.append((f"f{i:02d}", n + 1, r.get("speaker") or r.get("speaker_id") or "user", r.get("timestamp"), r.get("text") or ""))
+    spark.conf.set("talkframe.blockRows", "3")
+    try:
+        got = exports.parse_csv_text(files(spark, **docs))
+        assert rows(got, "message_id", "speaker_id", "ts", "text") == want
+    finally:
+        spark.conf.unset("talkframe.blockRows")
+
+
 def test_no_file_is_too_large_unless_asked(spark, tmp_path):
     (tmp_path / "big.txt").write_text("Ann: " + "x" * 100)
     assert exports.read_exports(spark, str(tmp_path)).count() == 1
