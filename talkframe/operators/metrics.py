@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talkframe.functions.stats import chi2_tail, kolmogorov_tail
 from talkframe.operators import sequence as seq
 
 
@@ -73,15 +74,15 @@ def regression(df: DataFrame, gold: str, pred: str) -> DataFrame:
     )
 
 
-def _score_counts(df: DataFrame, truth: Column, score: Column) -> DataFrame:
-    return df.groupBy(score.alias("s")).agg(
-        F.count(F.when(truth, 1)).alias("pos"), F.count(F.when(~truth, 1)).alias("neg")
-    )
+def _score_counts(df: DataFrame, truth: Column, score: Column, parts: int | None) -> DataFrame:
+    """Both classes per distinct score, in ranges ``r`` of equal depth: scores may crowd anywhere. Rows without a score are left out."""
+    counts = df.groupBy(score.alias("s")).agg(F.count(F.when(truth, 1)).alias("pos"), F.count(F.when(~truth, 1)).alias("neg"))
+    return seq.ranged(counts.filter("s is not null"), ["s"], "r", parts)
 
 
-def ranking_auc(df: DataFrame, truth: Column, score: Column, width: float = 0.001) -> DataFrame:
-    """Area under the ROC curve from average ranks; null unless both classes occur. ``width`` sizes the score ranges."""
-    counts = _score_counts(df, truth, score).withColumn("r", F.floor(F.col("s") / width))
+def ranking_auc(df: DataFrame, truth: Column, score: Column, parts: int | None = None) -> DataFrame:
+    """Area under the ROC curve from average ranks; null unless both classes occur. ``parts``: number of score ranges."""
+    counts = _score_counts(df, truth, score, parts)
     ranked = seq.prefix(counts, {"upto": ("sum", F.col("pos") + F.col("neg"))}, [], ["s"], "r")
     n = F.col("pos") + F.col("neg")
     total = ranked.agg(
@@ -92,9 +93,9 @@ def ranking_auc(df: DataFrame, truth: Column, score: Column, width: float = 0.00
     return total.select(F.try_divide(F.col("ranks") - p * (p + 1) / 2, p * q).alias("auc"))
 
 
-def average_precision(df: DataFrame, truth: Column, score: Column, width: float = 0.001) -> DataFrame:
+def average_precision(df: DataFrame, truth: Column, score: Column, parts: int | None = None) -> DataFrame:
     """Sum of recall steps times precision over distinct thresholds, highest score first."""
-    counts = _score_counts(df, truth, -score).withColumn("r", F.floor(F.col("s") / width))
+    counts = _score_counts(df, truth, -score, parts)
     cum = seq.prefix(counts, {"tp": ("sum", F.col("pos")), "all": ("sum", F.col("pos") + F.col("neg"))}, [], ["s"], "r")
     total = cum.agg(
         F.sum(F.col("pos") * (F.col("tp") / F.col("all"))).alias("area"), F.sum("pos").alias("p"), F.sum("neg").alias("q")
@@ -110,7 +111,7 @@ def brier(df: DataFrame, truth: Column, p: Column) -> DataFrame:
 def quantile_edges(df: DataFrame, score: str, bins: int) -> list[float]:
     """Distinct quantile edges (``bins`` + 1 numbers at most)."""
     probs = {f"q{i}": i / bins for i in range(bins + 1)}
-    row = seq.exact_quantiles(df, score, probs, 0.001, keys=[]).first()
+    row = seq.exact_quantiles(df, score, probs, keys=[]).first()
     edges = sorted({float(row[f"q{i}"]) for i in range(bins + 1)}) if row else []
     return edges if len(edges) > 1 else [0.0, 1.0]
 
@@ -237,12 +238,7 @@ def bootstrap_delta(df: DataFrame, a: Column, b: Column, n_boot: int = 2000, see
 
 
 def split_independence(df: DataFrame, label: str, splits: tuple = ("train", "val", "test")) -> DataFrame:
-    """Chi-square of split against label, its p-value, and the largest class-share deviation of any split.
-
-    The number of splits must be odd, so that the degrees of freedom are even whatever the number of labels.
-    """
-    if len(splits) % 2 == 0:
-        raise ValueError("the p-value needs an odd number of splits")
+    """Chi-square of split against label, its p-value, and the largest class-share deviation of any split."""
     per = df.groupBy(F.col(label).alias("label")).agg(*[F.count(F.when(F.col("split") == s, 1)).alias(s) for s in splits])
     whole = Window.partitionBy()  # one row per label
     per = per.select("*", *[F.sum(s).over(whole).alias(f"n_{s}") for s in splits]).withColumn("k", sum(F.col(s) for s in splits))
@@ -254,27 +250,17 @@ def split_independence(df: DataFrame, label: str, splits: tuple = ("train", "val
         worst.append(F.abs(F.try_divide(F.col(s), F.col(f"n_{s}")) - F.col("k") / n))
     t = per.select(part.alias("part"), F.greatest(*worst).alias("dev"), n.alias("n"), F.lit(1).alias("one"))
     t = t.agg((F.sum("part") - F.max("n")).alias("chi2"), ((F.sum("one") - 1) * (len(splits) - 1)).alias("dof"), F.max("dev").alias("max_deviation"))
-    half = F.col("chi2") / 2
-    # With an even number of degrees of freedom the tail is a finite sum.
-    tail = F.aggregate(
-        F.expr("sequence(1L, greatest(dof div 2 - 1, 1L))"),
-        F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")),
-        lambda acc, i: F.struct(
-            (acc["term"] * half / i).alias("term"),
-            (acc["sum"] + F.when(i < F.expr("dof div 2"), acc["term"] * half / i).otherwise(F.lit(0.0))).alias("sum"),
-        ),
-        lambda acc: acc["sum"],
-    )
-    p = F.exp(-half) * tail
+    p = chi2_tail(F.col("chi2"), F.col("dof"))
     return t.select("chi2", "dof", p.alias("p_value"), "max_deviation",
-                    ((F.col("max_deviation") < 0.06) & (p > 0.01)).alias("ok"))
+                    ((F.col("max_deviation") < 0.06) & (F.coalesce(p, F.lit(1.0)) > 0.01)).alias("ok"))
 
 
-def split_balance(df: DataFrame, value: str, a: str = "train", b: str = "test", width: float = 0.5) -> DataFrame:
-    """Standardised mean difference between two splits and the largest gap of their distribution functions."""
+def split_balance(df: DataFrame, value: str, a: str = "train", b: str = "test", parts: int | None = None) -> DataFrame:
+    """Standardised mean difference between two splits, their spreads, the largest gap of their distribution functions and its p-value."""
     counts = df.groupBy(F.col(value).alias("v")).agg(
         *[F.count(F.when(F.col("split") == s, 1)).alias(k) for s, k in ((a, "a"), (b, "b"))]
-    ).withColumn("r", F.floor(F.col("v") / width))
+    )
+    counts = seq.ranged(counts.filter("v is not null"), ["v"], "r", parts)
     cum = seq.prefix(counts, {"ca": ("sum", F.col("a")), "cb": ("sum", F.col("b"))}, [], ["v"], "r")
     cum = seq.attach(cum, {"na": ("max", F.col("ca")), "nb": ("max", F.col("cb"))}, [], "r")
     gap = F.abs(F.try_divide("ca", "na") - F.try_divide("cb", "nb"))
@@ -288,4 +274,6 @@ def split_balance(df: DataFrame, value: str, a: str = "train", b: str = "test",
     # (n - 1) * sample variance = sum of squares - n * mean^2
     within = F.col("qa") - na * mean_a * mean_a + F.col("qb") - nb * mean_b * mean_b
     d = F.try_divide(mean_b - mean_a, F.sqrt(F.try_divide(within, na + nb - 2)))
-    return t.select(d.alias("cohens_d"), mean_a.alias("mean_a"), mean_b.alias("mean_b"), "ks", (F.abs(d) < 0.2).alias("passed"))
+    sd = [F.sqrt(F.greatest(F.try_divide(q, n) - m * m, F.lit(0.0))) for q, n, m in ((F.col("qa"), na, mean_a), (F.col("qb"), nb, mean_b))]
+    return t.select(d.alias("cohens_d"), mean_a.alias("mean_a"), mean_b.alias("mean_b"), sd[0].alias("sd_a"), sd[1].alias("sd_b"), "ks",
+                    kolmogorov_tail(F.col("ks"), na, nb).alias("ks_p_value"), (F.abs(d) < 0.2).alias("passed"))

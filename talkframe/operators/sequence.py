@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from talkframe.session import block_rows
+from talkframe.session import block_rows, settle
 
 KEYS = ("conversation_id",)
 BLK = "_blk"
@@ -96,10 +96,34 @@ def number(
     return out.withColumn(name, (F.col(name) - 1).cast("long")).drop("_bk")
 
 
-def with_positions(df: DataFrame, keys: Sequence[str] = KEYS, order: str = "message_id") -> DataFrame:
-    """Add ``pos`` from ascending ids, unless the table already carries it."""
+def ranged(df: DataFrame, order: Sequence[str], name: str, parts: int | None = None) -> DataFrame:
+    """Cut the rows into ranges of about equal depth along ``order`` and number them in ``name``, which never decreases in ``order``.
+
+    Spark samples the splitters from the rows themselves, so values may be spread in any way; equal rows share a range. The numbered
+    rows are written once: a recomputed task can't move a border. Runs a job.
+    """
+    dealt = df.repartitionByRange(*order) if parts is None else df.repartitionByRange(parts, *order)
+    return settle(dealt.withColumn(name, F.spark_partition_id()), "ranges")
+
+
+def _sparse(df: DataFrame, keys: Sequence[str], order: str) -> bool:
+    """Whether ids of some group leave most of their blocks nearly empty, so that fixed id ranges would be about as many as rows."""
+    span = F.max(order) - F.min(order)
+    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), span.alias("span")).agg(F.max(F.col("span") > 8 * F.col("n") + block_rows(df)).alias("s"))
+    return bool(per.first()["s"])
+
+
+def with_positions(df: DataFrame, keys: Sequence[str] = KEYS, order: str = "message_id", sparse: bool | None = None) -> DataFrame:
+    """Add ``pos`` from ascending ids, unless the table already carries it.
+
+    Dense ids are numbered in fixed id ranges. Sparse ones (times, hashes) are numbered in ranges of equal depth; which of the two holds is
+    measured by one aggregate unless ``sparse`` says it.
+    """
     if "pos" in df.columns:
         return df
+    if _sparse(df, keys, order) if sparse is None else sparse:
+        dealt = ranged(df, [*keys, order], "_rng")
+        return number(dealt, keys, [order], F.col("_rng")).drop("_rng")
     return number(df, keys, [order], F.expr(f"`{order}` div {block_rows(df)}"))
 
 
@@ -123,20 +147,21 @@ def exact_quantiles(
     df: DataFrame,
     value: str,
     probs: Mapping[str, float],
-    width: float,
+    width: float | None = None,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per entry of ``probs``.
 
-    Equal values are counted before the shuffle. Counts per value range of ``width`` locate the range that holds each
-    wanted rank, and only those ranges are ordered value by value.
+    Equal values are counted before the shuffle. Counts per value range locate the range that holds each wanted rank, and
+    only those ranges are ordered value by value. Ranges have a ``width`` where the spread of the values is known, else equal
+    depth.
     """
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_r", F.floor(F.col("_v") / F.lit(width)))
     )
+    counts = ranged(counts, [*keys, "_v"], "_r") if width is None else counts.withColumn("_r", F.floor(F.col("_v") / F.lit(width)))
     upto = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
     wanted = F.array(

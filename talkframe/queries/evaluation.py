@@ -87,7 +87,7 @@ def roc_auc(spark, sf):
 @query("valence_auc", over_signals("x as (select sentiment = 'negative' as y, tension as s from signals where sentiment <> 'neutral')," + AUC_SQL))
 def valence_auc(spark, sf):
     rows = views.signals(spark, sf).filter(F.col("sentiment") != "neutral")
-    return rounded(metrics.ranking_auc(rows, F.col("sentiment") == "negative", F.col("tension"), width=0.1), "auc")
+    return rounded(metrics.ranking_auc(rows, F.col("sentiment") == "negative", F.col("tension")), "auc")
 
 
 @query(
@@ -200,11 +200,33 @@ c as (select v, count(*) filter (split = 'train') as a, count(*) filter (split =
 w as (select sum(a) over (order by v) as ca, sum(b) over (order by v) as cb from c),
 k as (select max(abs(ca / na - cb / nb)) as ks from w, m),
 d as (select *, (mb - ma) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) as d from m, k)
-select round(d, 6) as cohens_d, round(ma, 6) as mean_a, round(mb, 6) as mean_b, round(ks, 6) as ks, abs(d) < cast(0.2 as double) as passed from d"""),
+select round(d, 6) as cohens_d, round(ma, 6) as mean_a, round(mb, 6) as mean_b, round(sqrt(va * (na - 1) / na), 6) as sd_a, round(sqrt(vb * (nb - 1) / nb), 6) as sd_b,
+ round(ks, 6) as ks, round(case when ks * sqrt(na * nb / (na + nb)) < cast(0.1 as double) then 1 else list_sum(list_transform(range(1, 101),
+   lambda j: (case when j % 2 = 1 then 2 else -2 end) * exp(-2 * j * j * ks * ks * na * nb / (na + nb)))) end, 6) as ks_p_value,
+ abs(d) < cast(0.2 as double) as passed from d"""),
 )
 def split_balance(spark, sf):
     out = metrics.split_balance(splits.with_split(views.signals(spark, sf)), "tension")
-    return rounded(out, "cohens_d", "mean_a", "mean_b", "ks")
+    return rounded(out, "cohens_d", "mean_a", "mean_b", "sd_a", "sd_b", "ks", "ks_p_value")
+
+
+@query(
+    "chi2_two_splits",
+    over_signals(HASH_SQL.format(src="signals").strip() + """,
+x as (select speaker_id as label, split from signals join split using (conversation_id) where split in ('train', 'test')),
+c as (select label, split, count(*) as n from x group by 1, 2),
+t as (select *, sum(n) over (partition by label) as k, sum(n) over (partition by split) as s, sum(n) over () as total from c),
+chi as (select sum(n * cast(n as double) * total / (cast(k as double) * s)) - any_value(total) as chi2, max(abs(n / s - k / total)) as dev from t),
+z as (select *, sqrt(chi2 / 2) as z from chi),
+tail as (select *, 2 / sqrt(pi()) * cast(8 as double) / 4000 / 3 * list_sum(list_transform(range(0, 4001),
+  lambda i: (case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end) * exp(-((z + i * cast(8 as double) / 4000) ** 2)))) as p from z)
+select round(chi2, 6) as chi2, cast(1 as bigint) as dof, round(p, 6) as p_value, round(dev, 6) as max_deviation,
+ dev < cast(0.06 as double) and p > cast(0.01 as double) as ok from tail"""),
+)
+def chi2_two_splits(spark, sf):
+    """Two splits and two labels: one degree of freedom, an odd number."""
+    out = metrics.split_independence(splits.with_split(views.signals(spark, sf)), "speaker_id", ("train", "test"))
+    return rounded(out.withColumn("dof", F.col("dof").cast("bigint")), "chi2", "p_value", "max_deviation")
 
 
 @query(
@@ -224,7 +246,9 @@ def mcnemar(spark, sf):
 
 @query(
     "bootstrap_delta",
-    over_signals("""select round((count(*) filter (not a and b) - count(*) filter (a and not b)) / count(*), 6) as delta, cast(2000 as bigint) as n_boot, true as near_normal
+    over_signals("""select round((count(*) filter (not a and b) - count(*) filter (a and not b)) / count(*), 6) as delta, cast(2000 as bigint) as n_boot,
+ round(count(*) filter (not a and b) / count(*) - count(*) filter (a and not b) / count(*) - cast(1.959964 as double) * stddev_pop(cast(b as int) - cast(a as int)) / sqrt(count(*)), 6) as normal_low,
+ true as near_normal
 from (select emotion = pred_emotion as a, sentiment = pred_sentiment as b from signals) x"""),
 )
 def bootstrap_delta(spark, sf):
@@ -235,7 +259,7 @@ def bootstrap_delta(spark, sf):
         (F.lit(1.959964) * F.col("s") / F.sqrt("n")).alias("half"), F.lit(1).alias("one"))
     out = metrics.bootstrap_delta(rows, a, b).withColumn("one", F.lit(1)).join(spread, "one")
     near = F.greatest(F.abs(F.col("delta") - F.col("half") - F.col("low")), F.abs(F.col("delta") + F.col("half") - F.col("high"))) < 0.4 * F.col("half")
-    return out.select(F.round("delta", 6).alias("delta"), "n_boot", near.alias("near_normal"))
+    return out.select(F.round("delta", 6).alias("delta"), "n_boot", F.round(F.col("delta") - F.col("half"), 6).alias("normal_low"), near.alias("near_normal"))
 
 
 @query(

@@ -124,11 +124,6 @@ def test_exports_to_report(spark, tmp_path):
     assert {"speaker_labels", "timeline", "explanations"} <= set(report)
 
 
-def test_even_number_of_splits_is_refused(spark):
-    with pytest.raises(ValueError):
-        metrics.split_independence(spark.range(3), "id", splits=("train", "test"))
-
-
 def test_label_margins_separate_classes(spark):
     from pyspark.ml.functions import array_to_vector
 
