@@ -88,7 +88,7 @@ def what_changed(read: DataFrame) -> DataFrame:
 
 
 def digest(df: DataFrame) -> DataFrame:
-    """One row per conversation: headline event, trajectory reading and how many speakers stand out."""
+    """One row per conversation: headline event, trajectory reading and the speakers that stand out, by name."""
     traj = temporal.trajectory(df)
     turning = temporal.turning_points(df)
     tp = turning.groupBy(CONV).agg(
@@ -103,10 +103,10 @@ def digest(df: DataFrame) -> DataFrame:
     )
     prof = profiles.speaker_profiles(df).groupBy(CONV).agg(
         F.count(F.lit(1)).alias("n_speakers"),
-        F.count(
-            F.when((F.col("high_tension_share") > 0.5) | (F.col("sarcastic_share") > 0.25), 1)
-        ).alias("n_flagged"),
-    )
+        F.sort_array(F.collect_list(
+            F.when((F.col("high_tension_share") > 0.5) | (F.col("sarcastic_share") > 0.25), F.col("speaker_id"))
+        )).alias("flagged"),
+    ).withColumn("n_flagged", F.size("flagged").cast("long"))
     peaks = traj.select(CONV, F.col("peak_message").alias("message_id"))
     peak = df.join(peaks, [CONV, "message_id"]).select(
         CONV, F.substring("text", 1, 140).alias("peak_text"), F.col("speaker_id").alias("peak_speaker")
@@ -127,7 +127,7 @@ def digest(df: DataFrame) -> DataFrame:
             "n", "n_speakers", "trajectory", F.round("peak_tension", 1).cast("string"), "n_tp",
         ),
         F.when(recovered, " The conversation de-escalated after its peak.").otherwise(""),
-        F.when(F.col("n_flagged") > 0, F.format_string(" Elevated-tension/sarcasm share: %d speaker(s).", "n_flagged")).otherwise(""),
+        F.when(F.col("n_flagged") > 0, F.concat(F.lit(" Elevated-tension/sarcasm share: "), F.array_join("flagged", ", "), F.lit("."))).otherwise(""),
     )
     detail = F.concat(
         F.lit("Detected "), direction, F.lit(" after message "), F.col("tp.message_id"), F.lit(" ("), F.col("tp.from_to"), F.lit(").")
@@ -137,6 +137,7 @@ def digest(df: DataFrame) -> DataFrame:
         F.col("n").alias("n_messages"),
         "n_speakers",
         "n_flagged",
+        "flagged",
         kind.alias("headline_kind"),
         head.alias("headline_message"),
         direction.alias("direction"),

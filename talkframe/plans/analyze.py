@@ -6,9 +6,11 @@ per section row, and ``only`` narrows any table to one conversation or message.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from talkframe import fixed
 from talkframe.functions import text
 from talkframe.operators import context, explain, fusion, learn, profiles, records, segments, temporal
 from talkframe.operators import sequence as seq
@@ -34,11 +36,40 @@ def with_polarity(scored: DataFrame) -> DataFrame:
     })
 
 
-def analyze(df: DataFrame, weights: dict | None = None, model: learn.Model | None = None) -> dict[str, DataFrame]:
+#: What a conversation without messages shows in the sections that have one row per conversation; other columns are null or empty lists.
+EMPTY = {
+    "conversation": {"platform": "generic", "message_count": 0, "n_speakers": 0, "schema_version": fixed.SCHEMA_VERSION},
+    "summary": {"n_messages": 0, "n_speakers": 0, "n_positive": 0, "n_neutral": 0, "n_negative": 0, "sarcasm_level": 0, "irony_level": 0,
+                "passive_aggression_level": 0, "mean_tension": 0, "peak_tension": 0, "trajectory": "stable"},
+    "escalation": {"n": 0, "trajectory": "stable", "escalation_rate": 0, "peak_tension": 0, "start_tension": 0, "middle_tension": 0,
+                   "end_tension": 0, "confidence": 0},
+    "digest": {"n_messages": 0, "n_speakers": 0, "n_flagged": 0, "trajectory": "stable", "escalation_rate": 0, "peak_tension": 0,
+               "n_turning_points": 0, "recovered": False},
+}
+
+
+def with_empty(table: DataFrame, empty: DataFrame, values: dict) -> DataFrame:
+    """``table`` plus one row per conversation of ``empty`` with the given ``values``; lists are empty, all else is null."""
+    def default(field: T.StructField) -> Column:
+        value = F.array() if isinstance(field.dataType, T.ArrayType) else F.lit(values.get(field.name))
+        return value.cast(field.dataType).alias(field.name)
+
+    return table.unionByName(empty.select(*[F.col(CONV) if f.name == CONV else default(f) for f in table.schema.fields]))
+
+
+def analyze(df: DataFrame, weights: dict | None = None, model: learn.Model | None = None, conversations: DataFrame | None = None) -> dict[str, DataFrame]:
     """All report tables for labelled messages (see ``views.messages`` for the columns). Stream weights are the caller's, else the model's,
-    else the default."""
+    else the default. ``conversations`` (conversation_id) may name conversations without messages: they show as ``EMPTY``."""
     weights = fusion.resolve_weights(weights, stored=model.fusion_weights if model else None)
     read = settle(read_messages(seq.with_positions(df), weights), "read")
+    tables = _sections(read)
+    if conversations is not None:
+        empty = conversations.select(CONV).distinct().join(read.select(CONV), CONV, "left_anti")
+        tables |= {name: with_empty(tables[name], empty, values) for name, values in EMPTY.items()}
+    return tables
+
+
+def _sections(read: DataFrame) -> dict[str, DataFrame]:
     return {
         "messages": read,
         "conversation": profiles.conversation_block(read if "platform" in read.columns else read.withColumn("platform", F.lit("generic"))),

@@ -248,8 +248,9 @@ best as (select *, row_number() over (partition by conversation_id order by abs(
   count(*) over (partition by conversation_id) as n_tp from tp),
 prof as (select conversation_id, speaker_id, avg(case when tension >= 60 then 1.0 else 0.0 end) as hi,
   avg(case when p >= 0.5 then 1.0 else 0.0 end) as sa from signals group by 1, 2),
-pc as (select conversation_id, count(*) as n_speakers, count(*) filter (hi > 0.5 or sa > 0.25) as n_flagged from prof group by 1),
-dd as (select t.*, pc.n_speakers, pc.n_flagged, coalesce(n_tp, 0) as n_turning_points,
+pc as (select conversation_id, count(*) as n_speakers, count(*) filter (hi > 0.5 or sa > 0.25) as n_flagged,
+  coalesce(string_agg(speaker_id, ', ' order by speaker_id) filter (hi > 0.5 or sa > 0.25), '') as flagged from prof group by 1),
+dd as (select t.*, pc.n_speakers, pc.n_flagged, pc.flagged, coalesce(n_tp, 0) as n_turning_points,
    rec.recovered or deescalation_point is not null as rcv, coalesce(abs(b.delta) >= 5, false) as turned,
    b.message_id as bm, b.delta as bd, concat(b.prev_emotion, ' → ', b.emotion) as ft, substr(b.text, 1, 140) as tr, b.speaker_id as bs,
    substr(pk.text, 1, 140) as pt, pk.speaker_id as ps
@@ -259,8 +260,8 @@ dd as (select t.*, pc.n_speakers, pc.n_flagged, coalesce(n_tp, 0) as n_turning_p
 o as (select *, concat(printf('%d messages, %d participant(s): trajectory is %s, peak tension %s/100, %d turning point(s) detected.',
     n, n_speakers, trajectory, cast(round(peak_tension, 1) as varchar), n_turning_points),
    case when rcv then ' The conversation de-escalated after its peak.' else '' end,
-   case when n_flagged > 0 then printf(' Elevated-tension/sarcasm share: %d speaker(s).', n_flagged) else '' end) as overview from dd)
-select conversation_id, n as n_messages, n_speakers, n_flagged,
+   case when n_flagged > 0 then concat(' Elevated-tension/sarcasm share: ', flagged, '.') else '' end) as overview from dd)
+select conversation_id, n as n_messages, n_speakers, n_flagged, flagged,
  case when turned then 'turning_point' when trajectory = 'escalating' then 'escalation_peak' end as headline_kind,
  case when turned then bm when trajectory = 'escalating' then peak_message end as headline_message,
  case when turned then case when bd > 0 then 'tension spike' else 'tension dip' end end as direction,
@@ -274,4 +275,4 @@ from o"""),
 )
 def digest(spark, sf):
     out = explain.digest(views.placed_signals(spark, sf))
-    return out.withColumns({c: F.round(c, 6) for c in ("tension_change", "escalation_rate")})
+    return out.withColumns({**{c: F.round(c, 6) for c in ("tension_change", "escalation_rate")}, "flagged": F.array_join("flagged", ", ")})

@@ -179,19 +179,24 @@ def odd_csv_lines():
     return F.concat(F.when(F.col("turn") % 1000 == 0, head).otherwise(""), row, F.when(F.col("turn") % 7 == 3, "\r").otherwise(""))
 
 
-@query(
-    "ingest_mixed",
-    f"""with {FLAT_SQL}, c as (select {_CID}, role as speaker_id, printf('2024-01-01T%02d:00:00', turn % 24) as ts,
+MIXED_SQL = f"""{FLAT_SQL}, c as (select {_CID}, role as speaker_id, printf('2024-01-01T%02d:00:00', turn % 24) as ts,
   case turn % 4 when 0 then said when 1 then said || ',' || chr(10) || '"more"' when 2 then 'a 5" ' || {_BARE} || ' "' else 'x, ' || {_BARE} || '"y"' end as text,
-  'csv' as platform from flat where conv_id % 5 < 3)
-select * from c union all select * from ({_PHONE_SQL} where conv_id % 5 = 3) q union all select * from ({_SPEAK_SQL} where conv_id % 5 = 4) r""",
-)
-def ingest_mixed(spark, sf):
-    """Files of several kinds at once; every message written comes back."""
+  'csv' as platform from flat where conv_id % 5 < 3),
+mixed as (select * from c union all select * from ({_PHONE_SQL} where conv_id % 5 = 3) q union all select * from ({_SPEAK_SQL} where conv_id % 5 = 4) r)"""
+
+
+def mixed_documents(spark, sf):
+    """Files of several kinds."""
     rows = flat(spark, sf)
     docs = documents(rows.filter("conv_id % 5 < 3"), odd_csv_lines())
     docs = docs.unionByName(documents(rows.filter("conv_id % 5 = 3"), phone_lines(rows)))
-    return _out(exports.ingest(docs.unionByName(documents(rows.filter("conv_id % 5 = 4"), speaker_lines()))))
+    return docs.unionByName(documents(rows.filter("conv_id % 5 = 4"), speaker_lines()))
+
+
+@query("ingest_mixed", f"with {MIXED_SQL} select * from mixed")
+def ingest_mixed(spark, sf):
+    """Files of several kinds at once; every message written comes back."""
+    return _out(exports.ingest(mixed_documents(spark, sf)))
 
 
 @query(
