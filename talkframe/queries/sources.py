@@ -349,3 +349,52 @@ def adapt_dialogues(spark, sf):
     short = F.when(F.col("conv_id") % 4 == 1, F.slice("a", 1, F.greatest(F.size("a") - 1, F.lit(0)))).otherwise(F.col("a"))
     e = packed.select("line_no", F.array_join(F.transform(short, lambda x: x["e"]), " ").alias("line"))
     return _labelled(adapters.dialogues(u, e))
+
+
+@query(
+    "adapt_files",
+    f"""with {FLAT_SQL}, k as (select *, row_number() over (order by conv_id, turn) - 1 as nr from flat),
+pl as (select 2 * nr as line_no, said as text, [(conv_id * 7 + turn) % 29, (conv_id * 3 + turn * 5) % 29] as labels from k),
+l as (select line_no, unnest(labels) as lab from pl), p(lab, pr, emo) as (values {_PRIORITY}),
+b as (select line_no, arg_min(emo, pr) as emo from l join p using (lab) group by 1),
+g as (select concat('goe_', line_no) as conversation_id, cast(1 as bigint) as message_id, 'anon' as speaker_id, text, coalesce(emo, 'neutral') as emotion,
+  'casual' as tone, 0 as sarcasm from pl left join b using (line_no) where text <> ''),
+th as (select 2 * nr as line_no, said as text, concat('author', conv_id % 13) as author, cast((conv_id + turn) % 3 = 0 as integer) as lab from k where said <> ''),
+n as (select *, {_count_words(fixed.THREAD_POSITIVE)} as pc, {_count_words(fixed.THREAD_NEGATIVE)} as nc from th),
+s1 as (select concat('sarc_', author) as conversation_id, row_number() over (partition by author order by line_no) as message_id, author as speaker_id, text,
+  case when nc > pc then 'frustration' when pc > nc then 'joy' else 'neutral' end as emotion, case when lab = 1 then 'sarcastic' else 'casual' end as tone, lab as sarcasm from n),
+x as (select *, dense_rank() over (order by conv_id, turn // 1000) - 1 as line, count(*) over (partition by conv_id, turn // 1000) as len from flat),
+d as (select concat('dd_d', line) as conversation_id, row_number() over (partition by line order by turn) as message_id, turn, said as text,
+  ([{_DD}])[(conv_id + turn) % 7 + 1] as emotion, 0 as sarcasm from x where said <> ''),
+d1 as (select conversation_id, message_id, case when message_id % 2 = 1 then 'A' else 'B' end as speaker_id, text, emotion,
+  case {sql_map('emotion', fixed.EMOTION_SENTIMENT)} when 'positive' then 'friendly' when 'negative' then 'frustrated' else 'casual' end as tone, sarcasm from d),
+r as (select * from g union all select * from s1 union all select * from d1)
+{_labelled_sql('r')}""",
+)
+def adapt_files(spark, sf):
+    """Label corpora read from files: JSON lines in several parts with blank lines between, and three line-aligned text files."""
+    rows = flat(spark, sf)
+    c, u = F.col("conv_id"), F.col("turn")
+
+    def written(df, name, parts, *order):
+        path = work_dir(spark, name)
+        df.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.explode("lines").alias("value")).write.text(path)
+        return path
+
+    marks = F.array(((c * 7 + u) % 29).cast("int"), ((c * 3 + u * 5) % 29).cast("int"))
+    first = F.to_json(F.struct(F.col("said").alias("text"), marks.alias("labels")))
+    second = F.to_json(F.struct(((c + u) % 3 == 0).cast("int").alias("label"), F.col("said").alias("comment"), F.concat(F.lit("author"), (c % 13).cast("string")).alias("author")))
+    goe = written(rows.withColumn("lines", F.array(first, F.lit("  "))), "labels", 3, "conv_id", "turn")
+    sarc = written(rows.withColumn("lines", F.array(second, F.lit(""))), "threads", 2, "conv_id", "turn")
+    packed = rows.filter("said <> ''").groupBy("conv_id", F.expr("turn div 1000").alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", "said"))).alias("a"))
+    packed = packed.unionByName(rows.groupBy("conv_id", F.expr("turn div 1000").alias("part")).agg(F.max(F.col("said") != "").alias("s")).filter("not s")
+                                .select("conv_id", "part", F.array().cast(packed.schema["a"].dataType).alias("a")))
+
+    def aligned(item, join, name, parts):
+        return written(packed.withColumn("lines", F.array(F.array_join(F.transform("a", item), join))), name, parts, "conv_id", "part")
+
+    said = aligned(lambda x: x["said"], " __eou__ ", "utterances", 3)
+    felt = aligned(lambda x: ((F.col("conv_id") + x["turn"]) % 7).cast("string"), " ", "emotions", 2)
+    acts = aligned(lambda x: F.lit("1"), " ", "acts", 1)
+    out = adapters.read_priority_labels(spark, goe).unionByName(adapters.read_author_threads(spark, sarc)).unionByName(adapters.read_dialogues(spark, said, felt, acts))
+    return _labelled(out)

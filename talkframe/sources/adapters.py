@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkframe import fixed
@@ -10,6 +10,7 @@ from talkframe.functions.lookup import count_contains, mapped
 from talkframe.functions.text import strip_space
 from talkframe.operators import sequence as seq
 from talkframe.operators.records import base_tension, emotion_sentiment
+from talkframe.sources import tables
 
 
 def labelled(df: DataFrame, emotion: Column, tone: Column, sarcasm: Column, topic: str) -> DataFrame:
@@ -39,6 +40,22 @@ def priority_labels(df: DataFrame, source: str = "goe", names: list | None = Non
     return labelled(rows, emotion, F.lit("casual"), F.lit(0), "reddit_comment").drop("_names")
 
 
+def read_priority_labels(spark: SparkSession, path: str | list[str], source: str = "goe", names: list | None = None) -> DataFrame:
+    """JSON lines {text, labels}; a line's number in the file names its conversation."""
+    return priority_labels(tables.numbered_jsonl(spark, path, "text string, labels array<int>"), source, names)
+
+
+def read_author_threads(spark: SparkSession, path: str | list[str], source: str = "sarc") -> DataFrame:
+    """JSON lines {label, comment, author}, threaded by author in file order."""
+    return author_threads(tables.numbered_jsonl(spark, path, "label int, comment string, author string"), source)
+
+
+def read_dialogues(spark: SparkSession, utterances: str | list[str], emotions: str | list[str], acts: str | list[str] | None = None, source: str = "dd") -> DataFrame:
+    """Line-aligned text files, one dialogue per line; dialogue acts are aligned too but decide nothing, as there is no label for them."""
+    paths = {"u": utterances, "e": emotions} | ({"a": acts} if acts else {})
+    return aligned_dialogues(tables.read_aligned(spark, paths), source)
+
+
 def author_threads(df: DataFrame, source: str = "sarc") -> DataFrame:
     """Rows (line_no, label, comment, author) to one conversation per author, numbered in file order."""
     rows = df.withColumn("text", strip_space(F.col("comment"))).filter("text != ''")
@@ -57,9 +74,13 @@ def author_threads(df: DataFrame, source: str = "sarc") -> DataFrame:
 
 def dialogues(utterances: DataFrame, emotions: DataFrame, source: str = "dd") -> DataFrame:
     """Line-aligned files (line_no, line): utterances split by ``__eou__`` paired with emotion numbers, shorter wins."""
+    return aligned_dialogues(utterances.select("line_no", F.col("line").alias("u")).join(emotions.select("line_no", F.col("line").alias("e")), "line_no"), source)
+
+
+def aligned_dialogues(both: DataFrame, source: str = "dd") -> DataFrame:
+    """The same from one table (line_no, u, e)."""
     said = F.filter(F.transform(F.split("u", "__eou__"), lambda x: strip_space(x)), lambda x: x != "")
     felt = F.transform(F.filter(F.split("e", r"\s+"), lambda x: x != ""), lambda x: x.try_cast("int"))
-    both = utterances.select("line_no", F.col("line").alias("u")).join(emotions.select("line_no", F.col("line").alias("e")), "line_no")
     rows = both.select("line_no", said.alias("u"), felt.alias("e"))
     n = F.least(F.size("u"), F.size("e"))
     pairs = F.zip_with(F.slice("u", 1, n), F.slice("e", 1, n), lambda u, e: F.struct(u.alias("u"), e.alias("e")))
