@@ -90,6 +90,16 @@ def context_window(df: DataFrame, k: int = 4, picks: int = 3, previous: tuple =
     return out.withColumn("context_text", joined).drop("_recent", "_left", "_older", seq.BLK)
 
 
+def pooled(df: DataFrame, vector: str = "embedding", k: int = 4, name: str = "context_vector") -> DataFrame:
+    """Mean of the ``k`` previous messages' vectors, per component; zeros where there is none. Vectors must be of one length."""
+    spread = seq.blocked(seq.with_positions(df), before=k)
+    before = F.collect_list(vector).over(seq.block_window().rowsBetween(-k, -1))
+    rows = seq.owned(spread.withColumn("_before", before))
+    zero = F.transform(vector, lambda x: F.lit(0.0))
+    total = F.aggregate("_before", zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b.cast("double")))
+    return rows.withColumn(name, F.transform(total, lambda x: x / F.greatest(F.size("_before"), F.lit(1)))).drop("_before")
+
+
 def extractive_summary(df: DataFrame, max_chars: int = 600, size: int = 10) -> DataFrame:
     """The most tense text of every ``size`` messages, in order, joined and cut to ``max_chars`` characters.
 

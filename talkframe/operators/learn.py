@@ -4,11 +4,13 @@ calibrated binary heads, one tension head; and sequential inference on the model
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -164,11 +166,43 @@ def fit_tension(train: DataFrame, label: str = "tension", alpha: float = 1.0) ->
     s = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(label).alias("sd")).first()
     model = LinearRegression(
         featuresCol="features", labelCol=label, solver="l-bfgs", regParam=alpha * (s["sd"] or 1.0) / s["n"],
-        elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-8,
+        elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-12,
     ).fit(train)
     return Head("tension", [], [model.coefficients.toArray().tolist()], [float(model.intercept)])
 
 
+def gramian(rows: DataFrame, features: str = "features", label: str = "tension") -> np.ndarray:
+    """Sums of products of [features, 1, label] over all rows: (p + 2) x (p + 2) numbers, for layouts of up to about a thousand columns.
+
+    Every task adds its batches up to one matrix; matrices are summed entry by entry, map-side first, and only the result reaches the driver.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack(batch.column("x").to_numpy(zero_copy_only=False))
+                x = np.column_stack([x, np.ones(len(x)), batch.column("y").to_numpy()])
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.reshape(-1).tolist()], pa.list_(pa.float64()))], names=["g"])
+
+    whole = rows.select(vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y")).filter("x is not null and y is not null")
+    cells = whole.mapInArrow(run, "g array<double>").select(F.posexplode("g").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"))
+    flat = [r["v"] for r in cells.orderBy("at").collect()]
+    side = math.isqrt(len(flat))
+    return np.array(flat).reshape(side, side)
+
+
+def fit_ridge(train: DataFrame, label: str = "tension", alpha: float = 1.0) -> Head:
+    """Ridge regression by its normal equations: the exact counterpart of ``fit_tension`` for dense layouts. The intercept is not penalised."""
+    g = gramian(train, label=label)
+    n = g[-2, -2]
+    mean = g[-2] / n
+    c = g - n * np.outer(mean, mean)  # centred products
+    w = np.linalg.solve(c[:-2, :-2] + alpha * np.eye(len(g) - 2), c[:-2, -1])
+    return Head("tension", [], [w.tolist()], [float(mean[-1] - w @ mean[:-2])])
+
+
 @dataclass
 class Model:
     """Heads over one feature layout, with everything inference needs."""

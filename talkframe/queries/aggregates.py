@@ -14,8 +14,8 @@ from talkframe.queries.registry import over_messages, over_signals, query
 CONV = "conversation_id"
 
 
-def rounded(df, *names):
-    return df.withColumns({c: F.round(c, 6) for c in names})
+def rounded(df, *names, digits=6):
+    return df.withColumns({c: F.round(c, digits) for c in names})
 
 
 @query(

@@ -79,6 +79,51 @@ def head_tension_slope(spark, sf):
     return rows.agg(F.count(F.lit(1)).alias("n")).select(fitted.alias("f")).select("f.*")
 
 
+_COLUMNS = [*text.BEHAVIOUR, *learn.MEMORY]
+_MEMORY_EXPR = {"m0": "a", "m1": "v", "m2": "w", "m3": "s", "m4": "h", "m5": "v * negative_hits / 3", "m6": "w * exclamations / 3", "m7": "h * negative_hits / 3",
+                "m8": "is_short * (1 - (w + 1) / 2)", "m9": "gap_hours / 24 * h"}
+_VALUES = ", ".join(f"cast({_MEMORY_EXPR.get(c, c)} as double)" for c in _COLUMNS)
+
+
+def dense(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = features(spark, sf).select(*_COLUMNS, "tension")
+    return settle(VectorAssembler(inputCols=_COLUMNS, outputCol="features").transform(rows).select("features", "tension"), "dense")
+
+
+@query(
+    "ridge_gramian",
+    over_messages(f"""{t.GAPS_SQL}, {t.BEHAVE_SQL}, {MEMORY_SQL}, {MEMORY_VECTOR_SQL},
+f as (select [{_VALUES}, cast(1 as double), tension] as v from dims),
+ij as (select i, unnest(range(i, {len(_COLUMNS) + 3})) as j from (select unnest(range(1, {len(_COLUMNS) + 3})) as i) x)
+select i, j, round(sum(v[i] * v[j]), 6) as value from f, ij group by i, j"""),
+)
+def ridge_gramian(spark, sf):
+    """The normal equations' sums over behaviour, memory, intercept and label."""
+    g = learn.gramian(dense(spark, sf))
+    cells = [(i + 1, j + 1, float(g[i, j])) for i in range(len(g)) for j in range(i, len(g))]
+    return rounded(spark.createDataFrame(cells, "i long, j long, value double"), "value")
+
+
+@query(
+    "head_ridge",
+    "select unnest([" + ", ".join(f"'{c}'" for c in [*_COLUMNS, 'intercept']) + "]) as feature, true as stationary, true as iterative_agrees",
+)
+def head_ridge(spark, sf):
+    """The exact tension head: whether each of its normal equations holds on the rows, and whether the iterative head gives the same."""
+    rows = dense(spark, sf)
+    exact, iterative = learn.fit_ridge(rows), learn.fit_tension(rows)
+    g, w = learn.gramian(rows), [*exact.coef[0], exact.bias[0]]
+    left = g[:-1, -1] - g[:-1, :-1] @ w  # products of the columns with the residual
+    want = [*exact.coef[0], 0.0]
+    checks = []
+    for i, name in enumerate([*_COLUMNS, "intercept"]):
+        close = abs([*iterative.coef[0], iterative.bias[0]][i] - w[i]) <= 0.01 * max(1.0, abs(w[i]))
+        checks.append((name, bool(abs(left[i] - want[i]) <= 1e-6 * max(1.0, abs(g[i, -1]))), bool(close)))
+    return spark.createDataFrame(checks, "feature string, stationary boolean, iterative_agrees boolean")
+
+
 @query("baseline_svc")
 def baseline_svc(spark, sf):
     rows, terms = designed(spark, sf)
@@ -118,6 +163,50 @@ def embedding_heads(spark, sf):
     return learn.apply(rows, learn.Model([], learn.Terms(), {"label": head})).select("vec_id", "train", "label", "label_hat")
 
 
+@query(
+    "embedding_context",
+    """with v as (select vec_id, vec_id // 50 as conversation_id, vec_id % 50 as pos, embedding from embeddings),
+n as (select a.conversation_id, a.vec_id, count(b.vec_id) as k, list(b.embedding) as bs from v a left join v b
+  on a.conversation_id = b.conversation_id and b.pos between a.pos - 4 and a.pos - 1 group by 1, 2),
+e as (select conversation_id, vec_id, k, unnest(range(1, 65)) as i, bs from n),
+m as (select conversation_id, vec_id, i, case when k = 0 then 0 else list_sum(list_transform(bs, lambda x: cast(x[i] as double))) / k end as x from e)
+select conversation_id, vec_id as message_id, round(sum(x), 5) as total, round(sum(x * i), 4) as weighted, round(sqrt(sum(x * x)), 5) as norm from m group by 1, 2""",
+)
+def embedding_context(spark, sf):
+    """Mean vector of the four messages before each one; the sums show every component and its place."""
+    rows = views.table(spark, sf, "embeddings").select(
+        F.expr("vec_id div 50").alias(CONV), F.col("vec_id").alias("message_id"), (F.col("vec_id") % 50).alias("pos"), "embedding")
+    out = context.pooled(rows)
+    total = F.aggregate("context_vector", F.lit(0.0), lambda acc, x: acc + x)
+    places = F.transform("context_vector", lambda x, i: x * (i + 1))
+    squares = F.transform("context_vector", lambda x: x * x)
+    summed = [F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x) for c in (places, squares)]
+    return out.select(CONV, "message_id", F.round(total, 5).alias("total"), F.round(summed[0], 4).alias("weighted"), F.round(F.sqrt(summed[1]), 5).alias("norm"))
+
+
+@query("embedding_context_heads", """select unnest(['label', 'high', 'number']) as head, true as no_worse, true as in_bounds""")
+def embedding_context_heads(spark, sf):
+    """A label, a binary and a tension head over each vector joined with its context: whether they are no worse than their priors, and keep their ranges."""
+    from pyspark.ml.functions import array_to_vector
+
+    rows = views.table(spark, sf, "embeddings").select(
+        F.expr("vec_id div 50").alias(CONV), F.col("vec_id").alias("message_id"), (F.col("vec_id") % 50).alias("pos"), "embedding", "label")
+    rows = context.pooled(rows).select(
+        array_to_vector(F.concat(F.col("embedding").cast("array<double>"), F.col("context_vector"))).alias("features"), "message_id",
+        F.col("label").cast("string").alias("label"), (F.col("label") >= 1).cast("int").alias("high"), (F.col("label") * 25.0).alias("number"))
+    rows = settle(rows, "pooled")
+    heads = {"label": learn.fit_labels(rows, "label"), "high": learn.fit_binary(rows, "high", F.col("message_id")), "number": learn.fit_ridge(rows, "number")}
+    out = learn.apply(rows, learn.Model([], learn.Terms(), heads))
+    n = F.count(F.lit(1))
+    most = [r["count"] for r in rows.groupBy("label").count().collect()]
+    got = out.agg(
+        (F.avg((F.col("label") == F.col("label_hat")).cast("double")) > max(most) / max(sum(most), 1)).alias("label"),
+        (F.avg(F.pow(F.col("high") - F.col("high_hat"), 2)) < F.var_pop("high") + 0.02).alias("high"),
+        (F.avg(F.pow(F.col("number") - F.col("number_hat"), 2)) < F.var_pop("number")).alias("number"),
+        F.bool_and(F.col("high_hat").between(0, 1) & F.col("number_hat").between(0, 100)).alias("fits"), n.alias("n")).first()
+    return spark.createDataFrame([(h, bool(got[h]), bool(got["fits"])) for h in heads], "head string, no_worse boolean, in_bounds boolean")
+
+
 #: Hand-written heads over behaviour and memory, so that SQL can follow the recurrence: tension is ten more than the speaker's mean recent
 #: tension; sentiment depends on that mean and on shortness.
 _AT = {"heat": len(text.BEHAVIOUR) + 4, "short": text.BEHAVIOUR.index("is_short")}

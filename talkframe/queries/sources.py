@@ -9,7 +9,7 @@ from talkframe.operators import records, temporal
 from talkframe.queries import sqltext as t
 from talkframe.queries.ordered import sql_map
 from talkframe.queries.registry import over_messages, over_signals, query
-from talkframe.session import work_dir
+from talkframe.session import settle, work_dir
 from talkframe.sources import adapters, exports, tables
 
 CONV = "conversation_id"
@@ -398,3 +398,26 @@ def adapt_files(spark, sf):
     acts = aligned(lambda x: F.lit("1"), " ", "acts", 1)
     out = adapters.read_priority_labels(spark, goe).unionByName(adapters.read_author_threads(spark, sarc)).unionByName(adapters.read_dialogues(spark, said, felt, acts))
     return _labelled(out)
+
+
+@query(
+    "erase_partitions",
+    over_signals("""g as (select distinct user_id * 10 + 1 as conversation_id from events where user_id % 40 = 0),
+b as (select conversation_id, conversation_id % 32 as bucket, conversation_id in (select conversation_id from g) as gone from signals)
+select cast(bucket as integer) as bucket, count(*) filter (not gone) as messages, bool_or(gone) as rewritten from b group by 1 having count(*) filter (not gone) > 0"""),
+)
+def erase_partitions(spark, sf):
+    """Erased in place: only buckets that held an erased conversation get new files."""
+    rows = views.signals(spark, sf)
+    key, path = F.col(CONV), work_dir(spark, "bucketed")
+    tables.write_bucketed(rows.select(CONV, "message_id", "tension"), path, key, 32)
+    gone = rows.filter(F.col("user_id") % 40 == 0).select((F.col("user_id") * 10 + 1).alias(CONV))
+
+    def files():
+        return spark.read.parquet(path).select("bucket", F.col("_metadata.file_path").alias("file")).distinct()
+
+    before = settle(files(), "files")
+    tables.erase_in_place(spark, path, gone, key, 32)
+    same = files().join(before, ["bucket", "file"], "left_semi").groupBy("bucket").agg(F.lit(False).alias("rewritten"))
+    left = spark.read.parquet(path).groupBy("bucket").agg(F.count(F.lit(1)).alias("messages"))
+    return left.join(same, "bucket", "left").withColumn("rewritten", F.coalesce("rewritten", F.lit(True)))

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from talkframe.session import settle
+
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(line_no, line, file_id): all lines, numbered from 0 through all files in order of their names, as one reader would meet them.
@@ -91,3 +93,39 @@ def write_report(tables: dict[str, DataFrame], path: str) -> str:
 
 def read_report(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}")
+
+
+def write_bucketed(df: DataFrame, path: str, key: Column, buckets: int) -> str:
+    """A message table in ``buckets`` partitions by ``key`` (a whole number or hash of the conversation), the layout ``erase_in_place`` needs."""
+    df.withColumn(BUCKET, F.pmod(key, F.lit(buckets)).cast("int")).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+    return path
+
+
+BUCKET = "bucket"
+
+
+def erase_in_place(spark: SparkSession, path: str, gone: DataFrame, key: Column, buckets: int, conversation: str = "conversation_id") -> list[int]:
+    """Erase the conversations of ``gone`` from a bucketed table; returns the buckets that were rewritten.
+
+    Only partitions that hold one of them are read and written again, all others keep their files. What stays is settled first, since a path
+    can't be read and overwritten at once. A partition left empty is removed: dynamic overwriting alone would keep its old rows. At most
+    ``buckets`` numbers pass the driver.
+    """
+    table = spark.read.parquet(path)
+    listed = gone.select(conversation).distinct().withColumn(BUCKET, F.pmod(key, F.lit(buckets)).cast("int"))
+    touched = table.join(listed, [BUCKET, conversation], "left_semi").select(BUCKET).distinct()
+    touched = sorted(r[BUCKET] for r in touched.collect())
+    if not touched:
+        return []
+    kept = settle(table.filter(F.col(BUCKET).isin(touched)).join(listed.select(conversation), conversation, "left_anti"), "kept")
+    full = {r[BUCKET] for r in kept.select(BUCKET).distinct().collect()}
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    for b in set(touched) - full:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{BUCKET}={b}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return touched
+
+
+def purge(spark: SparkSession, path: str) -> None:
+    """Empty a table; its columns stay."""
+    spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
