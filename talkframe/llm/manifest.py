@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from talkframe.llm.common import settle
 
 ARITY = 16
-BLOCK = ARITY ** 3  # positions per window partition
+BLOCK = ARITY ** 2  # positions per window partition
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _PATH = "array<struct<left:string,right:string>>"
 
