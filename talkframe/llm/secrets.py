@@ -1,9 +1,11 @@
 """Secrets by fixed patterns and, beyond them, by two character Markov models compared by log-likelihood ratio.
 
-Base patterns give spans of assigned values, access keys and long hexadecimal runs. Their values are the labelled samples of random
-strings; letter-only identifiers of the corpus are the samples of ordinary ones. Character-pair counts of both, over all documents and
-combined map-side, make one table of log ratios. Further tokens that mix letters and digits are added where their mean log ratio
-reaches ``threshold``. Everything is a Spark expression: texts are only cut by regular expressions, positions are code points.
+Base patterns give spans of assigned values, access keys and long hexadecimal runs. Their values are the samples labelled random; all
+other tokens of ``LEAST`` characters or more, of all documents, are the samples labelled ordinary: words, paths, numbers, dates. Counts of
+neighbouring characters of both, combined map-side, make one table of log ratios. Every such token, of whatever characters, is scored by
+its summed log ratio and added from ``threshold`` on. The sum grows with the length, so short tokens need a clearer ratio per character,
+and an ordinary token passes with a probability of exp(-threshold) at most, as far as the model of ordinary ones holds. Everything is a
+Spark expression: texts are only cut by regular expressions, positions are code points.
 """
 
 from __future__ import annotations
@@ -13,15 +15,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD = 0.5  # mean log-likelihood ratio per character pair
-LEAST = 20  # characters of an added token
+THRESHOLD = 12.0  # summed log-likelihood ratio: one ordinary token in 160,000 at most
+LEAST = 10  # characters of a scored token; random ones below it cannot be told with this certainty
 CODES = 128
 KINDS = ["assign", "access", "hex", "markov"]
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # maximal runs: a shorter one has no longer one inside
 HEX = r"[0-9a-f]{32,}"
-TOKEN = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{{{LEAST},}}"
-IDENTIFIER = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z_]{12,}(?![A-Za-z0-9+/_=.-])"
+TOKEN = rf"(?<![A-Za-z0-9+/_])[A-Za-z0-9+/_]{{{LEAST},}}={{0,2}}"  # a hyphen joins words, so it parts tokens
 _SPANS = "array<struct<start:int,end:int,kind:int,value:string>>"
 
 
@@ -61,9 +62,9 @@ def _pairs(tokens: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame) -> list[float]:
     """Log ratio of P(b | a) in random and in ordinary strings, at a * 128 + b. At most 128 * 128 counts reach the driver."""
-    random = _pairs(with_base(docs).select(F.explode("_base.value").alias("token")).filter("length(token) > 1"))
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(IDENTIFIER), F.lit(0))
-    ordinary = _pairs(docs.select(F.explode(words).alias("token")))
+    rows = with_base(docs.select("text")).withColumn("_tokens", found(F.col("_text"), TOKEN, 3))
+    random = _pairs(rows.select(F.explode("_base.value").alias("token")).filter("length(token) > 1"))
+    ordinary = _pairs(rows.select(F.explode(_alone("_tokens")["value"]).alias("token")))
     counts = [[0] * (CODES * CODES) for _ in range(2)]
     for side, a, b, n in random.select(F.lit(0), "a", "b", "n").union(ordinary.select(F.lit(1), "a", "b", "n")).collect():
         counts[side][a * CODES + b] = n
@@ -77,27 +78,34 @@ def train(docs: DataFrame) -> list[float]:
     return out
 
 
+def _alone(spans: str) -> Column:
+    """The spans that overlap no base span."""
+    return F.filter(F.col(spans), lambda x: ~F.exists("_base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+
+
 def _ratio(token: Column, table: Column) -> Column:
-    """Mean log ratio of the token's character pairs."""
+    """Summed log ratio of the token's character pairs."""
     codes = F.transform(F.split(token, ""), F.ascii)
     total = F.aggregate(codes, F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")), lambda acc, c: F.struct(
         c.alias("last"), (acc["sum"] + F.when(acc["last"] < 0, F.lit(0.0)).otherwise(F.get(table, acc["last"] * CODES + c))).alias("sum")))
-    return total["sum"] / (F.length(token) - 1)
+    return total["sum"]
 
 
 def scan_secrets(docs: DataFrame, ratios: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (start, end, kind, value), ordered by start and kind; ends are exclusive.
 
-    ``spans`` holds every base span and the added ``markov`` tokens that overlap none. Null and empty texts have none. Existing
-    columns of these names are replaced; rows are independent; an empty table gives an empty result. ``ratios`` are trained on
+    ``spans`` holds every base span and the added ``markov`` tokens that overlap none. Null and empty texts have none; texts of any length
+    are scanned whole. Existing columns of these names are replaced, all others stay whatever their names; rows are independent, so
+    repeated ones get the same spans; an empty table gives an empty result. ``ratios`` are trained on
     ``docs`` when not given.
     """
     ratios = train(docs) if ratios is None else ratios
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
-    likely = F.filter(found(F.col("_text"), TOKEN, 3), lambda x: _ratio(x["value"], table) >= threshold)
-    alone = F.filter(F.col("_more"), lambda x: ~F.exists("_base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    out = with_base(docs).withColumn("_more", likely)
-    return out.withColumn("spans", F.array_sort(F.concat("_base", alone), _order)).withColumn("base", F.array_sort("_base", _order)).drop("_text", "_base", "_more")
+    whole = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    rows = with_base(whole).withColumn("_more", F.filter(found(F.col("_text"), TOKEN, 3), lambda x: _ratio(x["value"], table) >= threshold))
+    rows = rows.select("_row", F.array_sort("_base", _order).alias("base"), F.array_sort(F.concat("_base", _alone("_more")), _order).alias("spans"))
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("base", "spans")]
+    return rows.select(*kept, "base", "spans")
 
 
 def _order(x: Column, y: Column) -> Column:

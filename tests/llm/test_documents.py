@@ -385,6 +385,52 @@ def test_markov_ratio_finds_random_tokens(documents):
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def ratios(spark):
+    return secrets.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def brute_spans(text, ratios):
+    """Base spans, and tokens beside them whose summed log ratio reaches the threshold."""
+    text = text or ""
+    base = [x.split(":") for x in brute_base(text).split(",") if x]
+    taken = [(int(s), int(e)) for _, s, e in base]
+    rows = [(int(s), secrets.KINDS.index(k), int(e)) for k, s, e in base]
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_])[A-Za-z0-9+/_]{10,}={0,2}", text):
+        total = sum(ratios[ord(a) * 128 + ord(b)] for a, b in zip(m[0], m[0][1:]))
+        if total >= secrets.THRESHOLD and not any(s < m.end() and m.start() < e for s, e in taken):
+            rows.append((m.start(), 3, m.end()))
+    return ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(rows))
+
+
+def test_all_spans_are_brute_force(spark, documents, odd_texts, ratios):
+    rng = np.random.default_rng(8)
+    keys = ["".join(rng.choice(list("abcXYZ0189+/"), n)) for n in (9, 10, 15, 30)]
+    more = [f"é {k}== -{k}_ and/or well-known-words 😀{k} token={k}x{k}" for k in keys]
+    docs = documents([*odd_texts, *more]).withColumns({"_text": F.lit("t"), "_base": F.lit(1), "_more": F.lit(2), "a.b": F.lit(3), "a b": F.lit(4)})
+    got = secrets.scan_secrets(docs, ratios)
+    assert got.columns == [*docs.columns, "base", "spans"]
+    for r in got.select("doc_id", "text", secrets.listed("spans").alias("s")).collect():
+        assert r["s"] == brute_spans(r["text"], ratios)
+
+
+def test_planted_keys_by_kind_and_length(spark, documents, ratios):
+    """Recall of random keys of 16 to 64 characters; the corpus itself and ordinary long tokens stay clean."""
+    rng = np.random.default_rng(5)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = {"base62": (upper + lower + digits, range(16, 65, 8)), "base64": (upper + lower + digits + "+/", range(16, 65, 8)), "hex": (digits + "abcdef", range(16, 32, 5))}
+    keys = [(k, "".join(rng.choice(list(a), n))) for k, (a, sizes) in kinds.items() for n in sizes for _ in range(20)]
+    found = {r["doc_id"]: r["n"] for r in secrets.scan_secrets(documents([f"see {k} here" for _, k in keys]), ratios).select("doc_id", F.size("spans").alias("n")).collect()}
+    for kind in kinds:
+        mine = [found[i] > 0 for i, (k, _) in enumerate(keys) if k == kind]
+        assert np.mean(mine) >= 0.9, kind
+    plain = documents(["internationalization and/or well-known-facts 2024-01-15 12345678901234", "default_settings_value src/main/resources/application"])
+    added = F.size(F.filter("spans", lambda x: x["kind"] == 3))
+    assert secrets.scan_secrets(plain, ratios).agg(F.sum(added)).first()[0] == 0
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert secrets.scan_secrets(corpus, ratios).agg(F.sum(added)).first()[0] <= 1
+
+
 def test_digest_columns(spark):
     r = queries.op10_secrets(spark, DIR).filter("n_assign = 0 and n_access = 0 and n_hex = 0").first()
     assert r["base_sha256"] == hashlib.sha256(b"").hexdigest()
