@@ -3,10 +3,9 @@
 Documents with equal texts are linked; a group larger than half a shard is split into parts of that size first. Shards are labels.
 Large parts (a 64th of a shard or more, so a bounded number) start whole, largest first, in the fullest shard that has room for them.
 The rows of all others, and of large parts that fit nowhere, start in one line over the room left, part after part, so that a shard's
-end cuts one part at most. The cut parts, fewer than shards, then move: to the shard that has most of them, else the next best or any
-other with room, each move freeing room for the next, until no move admitted by the quotas cuts fewer parts. Unlinked documents cut no
-edge whatever their shard, so they are dealt last and fill every shard to its exact quota: ``law`` is ``rows``, counts differ by one
-at most.
+end cuts one part at most. From there labels are propagated in rounds of joins until no move admitted by the quotas cuts fewer pairs
+(``propagate``). Unlinked documents cut no edge whatever their shard, so they are dealt last and fill every shard to its exact quota:
+``law`` is ``rows``, counts differ by one at most.
 
 Only built-in functions and joins are used, and texts are read once, for their size and digests. Numbers in the line and inside a
 shard come from per-bucket counts, so neither is ordered in one task.
@@ -14,7 +13,7 @@ shard come from per-bucket counts, so neither is ordered in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkframe.llm.common import settle, with_row_id
@@ -25,8 +24,9 @@ LARGE = 64  # parts of this fraction of a shard are placed one by one
 BUCKET_ROWS = 50_000  # rows numbered together
 
 
-def label_propagation(linked: DataFrame, quota: list[int]) -> DataFrame:
-    """``linked`` (rid, grp, part, ...; settled) with a ``shard``; no shard has more rows than its quota."""
+def start_labels(linked: DataFrame, quota: list[int]) -> DataFrame:
+    """``linked`` (rid, grp, part, ...; settled) with a first ``shard``: parts whole where they fit, the others in one line over the room left,
+    which cuts fewer of them than there are shards. No shard has more rows than its quota."""
     keys, shards = ["grp", "part"], range(len(quota))
     parts = settle(linked.groupBy(*keys).agg(F.count("*").alias("n")), "parts")
     room, starts, split = list(quota), [], 0
@@ -48,31 +48,40 @@ def label_propagation(linked: DataFrame, quota: list[int]) -> DataFrame:
     line = number(marked.filter("shard is null").withColumn("_b", bucket), [], ["_b", *keys, "rid"], F.col("_b"), "pos")
     line = settle(line.withColumn("shard", _at(order, _place(ends))).drop("_b", "pos", "turn"), "line")
 
-    cells = settle(line.groupBy(*keys, "shard").agg(F.count("*").alias("n")), "cells")
-    for s, n in cells.groupBy("shard").agg(F.sum("n")).collect():  # one row per shard
-        room[s] -= n
-    cut = cells.groupBy(*keys).agg(F.collect_list(F.struct("shard", "n")).alias("at")).filter(F.size("at") > 1).collect()  # fewer than shards
-    moves = [(*p, s) for p, s in _gathered({(c["grp"], c["part"]): dict(c["at"]) for c in cut}, room).items()]
-    line = line.join(_small(line, moves, "target int"), keys, "left").withColumn("shard", F.coalesce("target", "shard")).drop("target")
-    return whole.unionByName(line)
+    return settle(whole.unionByName(line), "start")
 
 
-def _gathered(cut: dict[tuple, dict[int, int]], room: list[int]) -> dict[tuple, int]:
-    """The shard each cut part moves to as a whole, while ``room`` admits any; ``room`` is updated."""
-    moves: dict[tuple, int] = {}
+def propagate(placed: DataFrame, quota: list[int]) -> tuple[DataFrame, list[int]]:
+    """``placed`` (grp, shard, ...; settled) after balanced label propagation, and the cut pairs before every round and at the end.
+
+    In a round every document looks at its group's labels and wants the one most of its neighbours have (ties to the smaller shard), if that
+    is not its own. Those of one group and shard want the same and go together. For each shard the comers are admitted, fewest first, while
+    their prefix sum fits its room; what leaves makes room for the next round. A move joins the larger side, so every admitted one cuts
+    fewer pairs; the rounds end when none is admitted. Groups in one place never enter the rounds. Only one row per shard and the cut
+    counts reach the driver.
+    """
+    start = settle(placed.groupBy("grp", "shard").agg(F.count("*").alias("n")), "cells")
+    load = dict(start.groupBy("shard").agg(F.sum("n")).collect())
+    open_groups = settle(start.groupBy("grp").agg(F.count("*").alias("c")).filter("c > 1").select("grp"), "open")
+    loose = settle(placed.join(open_groups, "grp", "left_semi"), "loose")
+    cuts = []
     while True:
-        before = len(moves)
-        for part in sorted(cut.keys() - moves.keys(), key=lambda p: (sum(cut[p].values()), p)):
-            cells = cut[part]
-            n = sum(cells.values())
-            at = max((s for s in range(len(room)) if room[s] >= n - cells.get(s, 0)), key=lambda s: (cells.get(s, 0), room[s], -s), default=None)
-            if at is not None:
-                moves[part] = at
-                for s, k in cells.items():
-                    room[s] += k
-                room[at] -= n
-        if len(moves) == before:
-            return moves
+        cells = settle(loose.groupBy("grp", "shard").agg(F.count("*").alias("n")), "cells")
+        pairs = cells.groupBy("grp").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
+        cuts.append(int(pairs.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("q")).cast("decimal(38,0)")), F.lit(0))).first()[0]) // 2)
+        best = cells.groupBy("grp").agg(F.max(F.struct("n", (-F.col("shard")).alias("s")))["s"].alias("s")).select("grp", (-F.col("s")).alias("target"))
+        comers = cells.join(best, "grp").filter("shard <> target")
+        room = F.get(F.array(*[F.lit(q - load.get(s, 0)).cast("long") for s, q in enumerate(quota)]), F.col("target"))
+        upto = F.sum("n").over(Window.partitionBy("target").orderBy("n", "grp", "shard"))
+        admitted = settle(comers.withColumn("_upto", upto).filter(F.col("_upto") <= room).select("grp", "shard", "target", "n"), "moves")
+        moved = admitted.select(F.col("target").alias("s"), "n").union(admitted.select("shard", -F.col("n"))).groupBy("s").agg(F.sum("n")).collect()
+        if not moved:
+            break
+        for s, n in moved:  # one row per shard
+            load[s] = load.get(s, 0) + n
+        step = loose.join(admitted.drop("n"), ["grp", "shard"], "left").withColumn("shard", F.coalesce("target", "shard")).drop("target")
+        loose = settle(step.select(placed.columns), "loose")
+    return placed.join(open_groups, "grp", "left_anti").select(placed.columns).unionByName(loose), cuts
 
 
 def _small(like: DataFrame, rows: list[tuple], columns: str) -> DataFrame:
@@ -114,7 +123,8 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     groups = settle(base.filter("grp is not null").groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1"), "groups")
     linked = base.join(groups, "grp").withColumn(
         "part", F.pmod(F.xxhash64("rid", F.lit("part")), F.ceil(F.col("n") / F.lit(part_rows))).cast("int")).drop("n")
-    placed = settle(label_propagation(settle(linked, "linked"), quota).drop("grp", "part"), "placed")
+    placed, _ = propagate(start_labels(settle(linked, "linked"), quota), quota)
+    placed = settle(placed.drop("grp", "part"), "placed")
     held = dict(placed.groupBy("shard").count().collect())  # one row per shard
     pool = base.join(groups, "grp", "left_anti").drop("grp")
     upto, free = [], 0

@@ -351,6 +351,33 @@ def test_quality_on_held_out_rows(spark):
     assert max(wrong) < 0.02
 
 
+def test_label_propagation_never_cuts_more(spark):
+    """From a random start: cut pairs fall in every round, quotas hold, and where there is room no group stays apart."""
+    rng = np.random.default_rng(6)
+    sizes = [2] * 30 + [3] * 10 + [25, 40]
+    rows = [(g, int(rng.integers(0, 5))) for g, n in enumerate(sizes) for _ in range(n)]
+    start = spark.createDataFrame([(i, str(g), s) for i, (g, s) in enumerate(rows)], "rid long, grp string, shard int")
+
+    def cut(df):
+        groups = {}
+        for r in df.collect():
+            groups.setdefault(r["grp"], []).append(r["shard"])
+        return sum(a != b for m in groups.values() for i, a in enumerate(m) for b in m[:i])
+
+    load = np.bincount([s for _, s in rows], minlength=5)
+    for quota in ([80] * 5, [int(n) + 4 for n in load], [int(n) for n in load]):
+        out, cuts = sharding.propagate(start, quota)
+        assert cuts[0] == cut(start) and cuts[-1] == cut(out) and all(b < a for a, b in zip(cuts, cuts[1:]))
+        held = np.bincount([r["shard"] for r in out.collect()], minlength=5)
+        assert held.sum() == len(rows) and (held <= quota).all()
+        if quota[0] == 80:
+            assert cuts[-1] == 0
+        elif quota == load.tolist():
+            assert len(cuts) == 1  # no room anywhere
+        else:
+            assert len(cuts) > 1
+
+
 # --- op10 --------------------------------------------------------------------------------------------------------
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 
