@@ -14,20 +14,28 @@ CONV = "conversation_id"
 
 
 def validate_records(df: DataFrame) -> DataFrame:
-    """One row per broken rule."""
+    """One row per broken rule. Required columns that the table lacks count as missing in every row; a time may be null, derived fields
+    (escalation, topic) are only judged where they are present."""
     flags = ("sarcasm", "irony", "passive_aggression")
+    lacking = [c for c in (CONV, "message_id", "speaker_id", "ts", "text", "sentiment", "emotion", "tone", *flags, "tension") if c not in df.columns]
+    rules = [F.lit(f"missing {c}") for c in lacking]
+    df = df.withColumns({c: F.lit(None).cast("string") for c in lacking})
 
     def bad(name: str, condition: Column) -> Column:
         return F.when(F.coalesce(condition, F.lit(True)), F.lit(name))
 
-    rules = [
-        *[F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in (CONV, "message_id", "speaker_id", "text")],
-        bad("bad sentiment", ~F.col("sentiment").isin(fixed.SENTIMENTS)),
-        bad("bad emotion", ~F.col("emotion").isin(fixed.EMOTIONS)),
-        *[bad(f"{c} must be 0/1", ~F.col(c).isin(0, 1)) for c in flags],
-        bad("tension out of range", (F.col("tension") < 0) | (F.col("tension") > 100) | F.isnan("tension")),
-        F.when(strip_space(F.col("text")) == "", F.lit("empty text")),
-    ]
+    given = [c for c in (CONV, "message_id", "speaker_id", "text", "tone") if c not in lacking]
+    rules += [F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in given]
+    judged = {
+        "sentiment": bad("bad sentiment", ~F.col("sentiment").isin(fixed.SENTIMENTS)),
+        "emotion": bad("bad emotion", ~F.col("emotion").isin(fixed.EMOTIONS)),
+        **{c: bad(f"{c} must be 0/1", ~F.col(c).cast("int").isin(0, 1)) for c in flags},
+        "tension": bad("tension out of range", (F.col("tension") < 0) | (F.col("tension") > 100) | F.isnan(F.col("tension").cast("double"))),
+        "text": F.when(strip_space(F.col("text")) == "", F.lit("empty text")),
+    }
+    rules += [rule for c, rule in judged.items() if c not in lacking]
+    if "escalation" in df.columns:
+        rules.append(F.when(~F.col("escalation").cast("int").isin(0, 1), F.lit("escalation must be 0/1")))
     if "topic" in df.columns:
         rules.append(F.when(strip_space(F.col("topic")) == "", F.lit("empty topic")))
     return df.select(CONV, "message_id", F.explode(F.array_compact(F.array(*rules))).alias("violation"))

@@ -39,7 +39,9 @@ select conversation_id, message_id, 'bad emotion' as violation from b where e2 n
 union all select conversation_id, message_id, 'tension out of range' from b where t2 < 0 or t2 > 100
 union all select conversation_id, message_id, 'sarcasm must be 0/1' from b where s2 not in (0, 1)
 union all select conversation_id, message_id, 'empty text' from b where trim(x2) = ''
-union all select conversation_id, message_id, 'missing speaker_id' from b where p2 is null"""),
+union all select conversation_id, message_id, 'missing speaker_id' from b where p2 is null
+union all select conversation_id, message_id, 'missing tone' from b where (conversation_id + message_id) % 29 = 0
+union all select conversation_id, message_id, 'escalation must be 0/1' from b where (conversation_id + message_id) % 23 = 0"""),
 )
 def validate_records(spark, sf):
     k = F.col(CONV) + F.col("message_id")
@@ -50,6 +52,8 @@ def validate_records(spark, sf):
             "sarcasm": F.when(k % 13 == 0, 2).otherwise(F.col("sarcasm")),
             "text": F.when(k % 17 == 0, "  ").otherwise(F.col("text")),
             "speaker_id": F.when(k % 19 != 0, F.col("speaker_id")),
+            "tone": F.when(k % 29 != 0, F.col("tone")),
+            "escalation": F.when(k % 23 == 0, 3).otherwise((F.col("tension") >= 60).cast("int")),
         }
     )
     return audit.validate_records(rows)

@@ -254,10 +254,10 @@ def predict_sequential(spark, sf):
 
 @query("predict_learned", over_messages("select conversation_id, message_id, true as same_labels, true as same_scores, true as in_bounds from messages"))
 def predict_learned(spark, sf):
-    """The full model (layout D, seven learned heads) on its own history. Its scores have no SQL; the two ways to reach them, message by
-    message along a conversation and in sweeps over all messages at once, must agree, and labels must be known ones."""
+    """The full layout (D: text, context, behaviour, memory) with learned heads on its own history. Its scores have no SQL; the two ways to
+    reach them, message by message along a conversation and in sweeps over all messages at once, must agree, and labels must be known."""
     rows, terms = designed(spark, sf)
-    model = learn.fit(rows.filter("split = 'train'"), terms)
+    model = learn.fit(rows.filter("split = 'train'"), terms, "D", (*learn.MULTI, "sarcasm", "tension"))
     read = settle(rows.select(CONV, "pos", "message_id", "speaker_id", "text", *text.BEHAVIOUR), "read")
     along = learn.predict_sequential(read, model)
     sweeps = learn.predict_by_sweeps(read, model)
