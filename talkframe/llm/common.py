@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkframe.session import prepare, work_dir
@@ -24,6 +24,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever their names."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
+
+
+def numbered(df: DataFrame, keep: str) -> DataFrame:
+    """``df`` with plain names in place of its own, but for ``keep``: Arrow functions don't take every name."""
+    return df.toDF(*[c if c == keep else f"c{i}" for i, c in enumerate(df.columns)])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: later jobs neither recompute the rows nor depend on lost executors."""
     path = work_dir(df.sparkSession, name)

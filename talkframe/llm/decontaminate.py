@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from talkframe.llm.common import ALNUM, chunks, column_bytes, scan, settle
+from talkframe.llm.common import ALNUM, chunks, column_bytes, scan, settle, whole_row
 
 WINDOW = 13
 LIMIT_BYTES = 1 << 20
@@ -122,9 +123,9 @@ def _scan_part(docs: DataFrame, items: list, hits_only: bool, carry: bool = Fals
                     names=["doc_id", "key", "n_words", "words", "spans", "items", *extra]).filter(keep)
 
     pairs = "array<struct<s:int,e:int>>"
-    rows = docs.select("doc_id", "text", F.md5("text").alias("key"), *[F.struct(*docs.columns).alias(c) for c in extra])
-    whole = f", _row {rows.schema['_row'].dataType.simpleString()}" if carry else ""
-    return rows.mapInArrow(run, f"doc_id {kind}, key string, n_words long, words {pairs}, spans {pairs}, items array<string>{whole}")
+    rows = docs.select("doc_id", "text", F.md5("text").alias("key"), *[whole_row(docs).alias(c) for c in extra])
+    made = StructType.fromDDL(f"doc_id {kind}, key string, n_words long, words {pairs}, spans {pairs}, items array<string>")
+    return rows.mapInArrow(run, StructType([*made.fields, *[rows.schema[c] for c in extra]]))
 
 
 def _long_runs(known: np.ndarray, row: np.ndarray, least: int, rows: int) -> np.ndarray:

@@ -30,8 +30,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from talkframe.llm.common import settle
+from talkframe.llm.common import fresh, numbered, settle
 
 KINDS = ("email", "iban", "card", "ip", "phone", "name")
 ROUND_VALUES = 4_000_000  # values tried together while entities are moved on; sets the pace only
@@ -475,7 +476,7 @@ def moved_on(mapped: DataFrame, key: str) -> DataFrame | None:
 
 
 def _with_moved(docs: DataFrame, moved: DataFrame) -> DataFrame:
-    """``docs`` and ``_moved``: those (kind, canon, surrogate) of ``moved`` that the text holds. Texts meet by hash; one more entry
+    """``docs`` and, as last column, those (kind, canon, surrogate) of ``moved`` that the text holds. Texts meet by hash; one more entry
     for a text with an equal hash changes nothing."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -488,8 +489,10 @@ def _with_moved(docs: DataFrame, moved: DataFrame) -> DataFrame:
 
     held = docs.select(F.xxhash64("text").alias("_text"), "text").mapInArrow(run, "_text long, kind string, canon string")
     lists = held.join(moved, ["kind", "canon"]).distinct().groupBy("_text").agg(F.collect_list(F.struct("kind", "canon", "surrogate")).alias("_moved"))
-    # settled, so that its size is known when the join is planned
-    return docs.withColumn("_text", F.xxhash64("text")).join(settle(lists, "moved_texts"), "_text", "left").drop("_text")
+    # settled, so that its size is known when the join is planned; named as no column of ``docs`` is
+    at, last = fresh(docs, "_text"), fresh(docs, "_moved")
+    lists = settle(lists, "moved_texts").select(F.col("_text").alias(at), F.col("_moved").alias(last))
+    return docs.withColumn(at, F.xxhash64("text")).join(lists, at, "left").drop(at)
 
 
 def anonymise(docs: DataFrame, key: str) -> DataFrame:
@@ -505,6 +508,7 @@ def anonymise(docs: DataFrame, key: str) -> DataFrame:
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     at = schema.names.index("text")
     moves = moved is not None
+    docs = numbered(docs, "text")
     if moves:
         docs = _with_moved(docs, moved)
 
@@ -517,7 +521,7 @@ def anonymise(docs: DataFrame, key: str) -> DataFrame:
             lists: list[list] = [[]] * batch.num_rows
             for text, r, names in _candidates(batch):
                 if text is not None and known[r]:
-                    own = batch.column("_moved")[r].as_py() if moves else None
+                    own = batch.column(batch.num_columns - 1)[r].as_py() if moves else None
                     changed, hits = replace(text, made, names, {(m["kind"], m["canon"]): m["surrogate"] for m in own or ()})
                     if hits:
                         new[r] = changed
@@ -530,5 +534,5 @@ def anonymise(docs: DataFrame, key: str) -> DataFrame:
             cols = [texts if i == at else c for i, c in enumerate(batch.columns[:len(schema)])]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lists, spans)], names=[*schema.names, "_entities"])
 
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.mapInArrow(run, f"{plain}, _entities array<struct<kind:string,start:int,end:int>>")
+    made = StructType.fromDDL("_entities array<struct<kind:string,start:int,end:int>>")
+    return docs.mapInArrow(run, StructType([*schema.fields, *made.fields]))

@@ -15,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkframe.llm.common import whole_row
+
 THRESHOLD = 12.0  # summed log-likelihood ratio: one ordinary token in 160,000 at most
 LEAST = 10  # characters of a scored token; random ones below it cannot be told with this certainty
 CODES = 128
@@ -101,7 +103,7 @@ def scan_secrets(docs: DataFrame, ratios: list[float] | None = None, threshold:
     """
     ratios = train(docs) if ratios is None else ratios
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
-    whole = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    whole = docs.select("text", whole_row(docs).alias("_row"))
     rows = with_base(whole).withColumn("_more", F.filter(found(F.col("_text"), TOKEN, 3), lambda x: _ratio(x["value"], table) >= threshold))
     rows = rows.select("_row", F.array_sort("_base", _order).alias("base"), F.array_sort(F.concat("_base", _alone("_more")), _order).alias("spans"))
     kept = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("base", "spans")]

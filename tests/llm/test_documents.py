@@ -1,11 +1,13 @@
 """Operators against brute-force versions on the given tables and on odd rows."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,15 +290,69 @@ def test_toxicity_on_held_out_rows(spark):
     rows = queries.op8_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out")
     hit = rows.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double"))).first()[0]
     assert hit > 0.97
-
-
-def test_grammar_scores_clauses():
-    lexicon = toxicity.Lexicon(toxicity.Model())
-    worst = lambda text: max(lexicon.clauses(text), default=0.0)
-    assert worst("you are an idiot") > worst("the idiot") > worst("he said the idiot") > worst("never an idiot") > 0
-    assert worst("i will kill the lights") == 0 < worst("you i kill")
-    assert worst("not good. idiot") == worst("idiot")
-    assert worst("idiotic") == 0
+    bad = rows.groupBy("toxic").agg(F.avg(F.col("predicted").cast("double")).alias("flagged")).collect()
+    assert {r["toxic"]: r["flagged"] for r in bad}[0] < 0.01 and {r["toxic"]: r["flagged"] for r in bad}[1] > 0.85
+
+
+SENTENCES = {"aimed": "You are an idiot.", "plain": "The idiot left the room.", "reported": "He said: the idiot left.", "negated": "That was never an idiot.",
+             "threat": "I will kill you tomorrow.", "threat reported": "She wrote: I will kill you.", "threat negated": "I will not kill you."}
+INNOCENT = ["We walked along the path.", "It is worth it.", "You will lose the game.", "I will kill the lights.", "idiotic", ""]
+
+
+def scores(texts, model):
+    x = toxicity.clause_features(pa.array(texts), toxicity.Lexicon(model))
+    return x, toxicity.probability(x, model.weights)
+
+
+def check_sentences(model):
+    x, p = scores(list(SENTENCES.values()), model)
+    for row, kind in zip(x, SENTENCES):
+        assert {c for c, v in zip(toxicity.FEATURES[1:], row[1:]) if v} == {kind}
+    p = dict(zip(SENTENCES, p))
+    assert p["aimed"] >= p["plain"] > p["reported"] > p["negated"]
+    assert p["threat"] > p["threat reported"] > p["threat negated"] and p["threat"] > 0.5 > p["threat negated"]
+    assert max(scores(INNOCENT, model)[1]) < 0.5
+
+
+def test_grammar_scores_clauses(monkeypatch):
+    model = toxicity.Model()
+    check_sentences(model)
+    p = dict(zip(SENTENCES, scores(list(SENTENCES.values()), model)[1]))
+    assert p["plain"] > 0.5 > p["reported"]
+    before = scores(list(SENTENCES.values()), model)[1] >= 0.5
+    with monkeypatch.context() as patch:  # without marks results change
+        plain = toxicity.Transducer(0, (0,), lambda state, s: (0, {"I": "plain", "T": "threat"}.get(s[0], "o")))
+        patch.setattr(toxicity, "GRAMMAR", plain)
+        assert (scores(list(SENTENCES.values()), model)[1] >= 0.5).sum() > before.sum()
+    lexicon = toxicity.Lexicon(model)
+    assert lexicon.clauses("not good. idiot") == lexicon.clauses("idiot") == [{"plain": toxicity.SEED_WEIGHT}]
+    assert lexicon.clauses('he said: "idiot". clown') == [{"reported": toxicity.SEED_WEIGHT}, {"plain": toxicity.SEED_WEIGHT}]
+
+
+def test_automaton_is_the_composition_of_its_transducers():
+    """Every string of up to four symbols: the composed automaton and the five transducers one after another agree."""
+    chain = [toxicity.negation(), toxicity.targets(), toxicity.reported(), toxicity.insults(), toxicity.threats()]
+    for n in range(1, 5):
+        for word in itertools.product(toxicity.ALPHABET, repeat=n):
+            state, at, out = toxicity.GRAMMAR.start, [t.start for t in chain], []
+            for symbol in word:
+                state, one = toxicity.GRAMMAR.step(state, symbol)
+                for i, t in enumerate(chain):
+                    at[i], symbol = t.step(at[i], symbol)
+                assert one == symbol
+
+
+def test_learned_forms_and_threats(spark, documents):
+    """A beginning needs several words behind it; repeated labelled ids count once; class weights keep the grammar's order."""
+    rows = [(i, f"text {i} pathetic blorg{'abcdefgh'[i % 8]}x" if i % 2 else f"text {i} along the path", i % 2) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1, "again")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows] * 2, "doc_id long, quality int, toxic int")
+    assert toxicity._training(docs, labels, 1000).count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(400))
+    model = toxicity.fit(docs, labels)
+    assert model.words["pathetic"] > 0 and any(s.startswith("blor") for s in model.stems) and not any(s.startswith("path") for s in model.stems)
+    w = model.weights[0]
+    assert w[2] >= w[3] >= w[4] >= w[5]
+    check_sentences(toxicity.Model(weights=model.weights))
 
 
 def test_toxicity_of_odd_rows(spark, documents, odd_texts):

@@ -7,6 +7,7 @@ from collections import Counter
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import corpus_pipeline
 from talkframe.llm import pii, queries, urlfilter
@@ -213,3 +214,39 @@ def test_run_is_the_chain_of_stages(spark):
         docs = stage(spark, docs, DIR)
     key = lambda df: sorted((r["doc_id"], r["start"], r["length"], bytes(r["ids"])) for r in df.collect())
     assert key(corpus_pipeline.run(spark, DIR)) == key(docs)
+
+
+ODD_NAMES = ["a.b", "a b", "a`b", "_text", "_moved", "_base", "_row", "_key", "_id", "toxicity_"]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_any_column_name_and_empty_tables(spark, odd_texts, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    texts = [*odd_texts[:6], "Mr John Smith wrote from 192.168.0.1", "Mr John Smith wrote from 192.168.0.2 and 10.0.0.7"]
+    fields = [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.IntegerType()),
+              *[T.StructField(c, T.StringType()) for c in ODD_NAMES]]
+    rows = [(10**9 + i, t, 1, *ODD_NAMES) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, T.StructType(fields))
+    out = stage(spark, docs, DIR)
+    if name == "packing":
+        assert {r["doc_id"] for r in out.collect()} == {r[0] for r in rows}
+    else:
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert all([r[c] for c in ODD_NAMES] == ODD_NAMES for r in got) and {r["doc_id"] for r in got} <= {r[0] for r in rows}
+        assert len(got) == len(rows) - (name == "near_dedup")  # the two texts "one" are copies
+    none = stage(spark, docs.limit(0), DIR)
+    assert none.columns == out.columns and none.count() == 0
+
+
+def test_moved_entities_beside_odd_column_names(spark, monkeypatch):
+    """Surrogates that are real values move on, whatever the other columns are called."""
+    key = "k"
+    first = pii.anonymise(spark.createDataFrame([(1, "from 192.168.0.1")], "doc_id long, text string"), key).first()["text"]
+    rows = [(1, "from 192.168.0.1", *ODD_NAMES), (2, first, *ODD_NAMES)]
+    fields = [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *[T.StructField(c, T.StringType()) for c in ODD_NAMES]]
+    out = pii.anonymise(spark.createDataFrame(rows, T.StructType(fields)), key)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert out.columns == ["doc_id", "text", *ODD_NAMES, "_entities"]
+    assert len({got[1]["text"], got[2]["text"], *(r[1] for r in rows)}) == 4
+    assert [got[1][c] for c in ODD_NAMES] == ODD_NAMES
