@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkframe.llm import decontaminate, neardup, packing, pii, toxicity
-from talkframe.llm.common import settle, table
+from talkframe.llm.common import settle, table, whole_row
 from talkframe.llm.queries import PII_KEY
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,7 +22,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select("text", F.struct(*docs.columns).alias("_row"))
+    rows = docs.select("text", whole_row(docs).alias("_row"))
     return toxicity.score(rows, model).filter("toxicity < 0.5").select("_row.*")
 
 
@@ -30,7 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each near-duplicate group stays: the row with the group's smallest doc_id. Documents without words stay."""
     verdict = settle(neardup.near_duplicates(docs).select("doc_id", "text_key", "keep"), "verdicts")
     same = verdict.groupBy("doc_id", "text_key").agg(F.max("keep").alias("keep"), F.count("*").alias("rows"))
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.md5("text").alias("_key"))
+    keyed = docs.select(whole_row(docs).alias("_row"), F.col("doc_id").alias("_id"), F.md5("text").alias("_key"))
     match = keyed["_id"].eqNullSafe(same["doc_id"]) & keyed["_key"].eqNullSafe(same["text_key"])
     kept = keyed.join(same.filter("keep"), match, "left_semi")
     if not same.filter("keep and rows > 1").isEmpty():  # rows equal in id and text are one document
@@ -46,14 +46,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes keyed surrogates; ``n_chars`` follows the new text."""
-    rows = docs.select("text", F.struct(*docs.columns).alias("_row"))
+    rows = docs.select("text", whole_row(docs).alias("_row"))
     out = pii.anonymise(rows, PII_KEY)
     changed = F.size("_entities") > 0
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         new["n_chars"] = F.when(changed, F.length("text").cast(kind)).otherwise(F.col("_row.n_chars"))
-    return out.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[new.get(c, F.col(f"_row.`{c.replace('`', '``')}`")).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
