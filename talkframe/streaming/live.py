@@ -11,7 +11,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,6 +23,7 @@ from talkframe.session import work_dir
 CONV = "conversation_id"
 BATCH_ROWS = 250_000  # about as many rows of a table in order arrive in one micro-batch
 PIECE_ROWS = 10_000  # rows given out together
+BUCKETS = 1024  # groups of conversations whose state is handled in one call
 HELD = 10_000  # rows of a micro-batch that wait in memory for an earlier message; more wait in the state store
 DAY = 86_400_000_000  # microseconds
 
@@ -48,39 +49,57 @@ def tension_windows(stream: DataFrame, width: str = "1 hour", delay: str = "10 m
     ).select(F.col("w.start").alias("start"), "messages", "mean_tension", "peak_tension", "hot_share")
 
 
+def in_buckets(stream: DataFrame, *ids: str) -> GroupedData:
+    """Rows grouped by a hash of ``ids``: state calls take many short conversations at once. Null ids get buckets of their own, since pandas
+    would turn whole numbers beside them into floats."""
+    bucket = F.pmod(F.hash(*ids), F.lit(BUCKETS))
+    for i, c in enumerate(ids):
+        bucket = bucket + F.when(F.col(c).isNull(), F.lit(BUCKETS << i)).otherwise(0)
+    return stream.withColumn("_bucket", bucket).groupBy("_bucket")
+
+
+def plain(value):
+    """A pandas cell as the state store takes it."""
+    return None if pd.isna(value) else value.item() if isinstance(value, np.generic) else value
+
+
 class SpeakerState(StatefulProcessor):
     """Per (conversation, speaker): last labels, the last five tensions and the run of short messages. The rows of one micro-batch are taken
-    in order of ``message_id``, so the result does not depend on how the batch was partitioned. Only one micro-batch's rows of a speaker
-    are ever held: the source bounds them (``in_order``, or its own ``maxFilesPerTrigger`` and the like), the length of its table doesn't.
+    in order of ``message_id``, so the result does not depend on how the batch was partitioned. Only one micro-batch's rows of a bucket of
+    speakers are ever held: the source bounds them (``in_order``, or its own ``maxFilesPerTrigger`` and the like), the length of its table doesn't.
 
     State is constant per speaker; with ``ttl_ms`` it expires after that long without messages.
     """
 
-    def __init__(self, window: int = 5, ttl_ms: int | None = None):
-        self.window, self.ttl_ms = window, ttl_ms
+    def __init__(self, ids: str, window: int = 5, ttl_ms: int | None = None):
+        self.ids, self.window, self.ttl_ms = ids, window, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = "emotion string, tone string, sentiment string, tensions array<double>, streak bigint"
-        self.state = handle.getValueState("speaker", schema, self.ttl_ms) if self.ttl_ms else handle.getValueState("speaker", schema)
+        self.state = handle.getMapState("speakers", self.ids, schema, *([self.ttl_ms] if self.ttl_ms else []))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.state.get() if self.state.exists() else (None, None, None, [], 0)
-        emotion, tone, sentiment, tensions, streak = known
-        tensions = list(tensions)
-        held = [pdf for pdf in rows]  # one speaker's rows of one micro-batch
-        if held:
-            pdf = pd.concat(held).sort_values("message_id", kind="stable")
-            del held
-            for low in range(0, len(pdf), PIECE_ROWS):
-                out = []
-                for r in pdf.iloc[low : low + PIECE_ROWS].itertuples(index=False):
-                    mean = sum(tensions) / len(tensions) if tensions else None
-                    out.append((key[0], r.message_id, key[1], emotion, tone, sentiment, mean, streak))
-                    emotion, tone, sentiment = r.emotion, r.tone, r.sentiment
-                    tensions = [*tensions, float(r.tension)][-self.window :]
-                    streak = streak + 1 if r.is_short else 0
-                yield pd.DataFrame(out, columns=MEMORY_COLUMNS)
-        self.state.update((emotion, tone, sentiment, tensions, streak))
+        held = [pdf for pdf in rows]  # one bucket's rows of one micro-batch
+        if not held:
+            return
+        pdf = pd.concat(held)
+        del held
+        pdf = pdf.iloc[np.lexsort([pdf["message_id"], *(pd.factorize(pdf[c])[0] for c in ("speaker_id", CONV))])]
+        who, known = None, None
+        for low in range(0, len(pdf), PIECE_ROWS):
+            out = []
+            for r in pdf.iloc[low : low + PIECE_ROWS].itertuples(index=False):
+                now = (plain(r.conversation_id), plain(r.speaker_id))
+                if now != who:
+                    if known:
+                        self.state.updateValue(who, known)
+                    who, known = now, self.state.getValue(now) or (None, None, None, [], 0)
+                emotion, tone, sentiment, tensions, streak = known
+                mean = sum(tensions) / len(tensions) if len(tensions) else None
+                out.append((who[0], r.message_id, who[1], emotion, tone, sentiment, mean, streak))
+                known = (r.emotion, r.tone, r.sentiment, [*tensions, float(r.tension)][-self.window :], streak + 1 if r.is_short else 0)
+            yield pd.DataFrame(out, columns=MEMORY_COLUMNS)
+        self.state.updateValue(who, known)
 
     def close(self) -> None:
         pass
@@ -96,8 +115,8 @@ def speaker_memory(stream: DataFrame, window: int = 5, ttl_ms: int | None = None
     """
     ids = [f"{c} {stream.schema[c].dataType.simpleString()}" for c in MEMORY_COLUMNS[:3]]
     shown = ", ".join([*ids, *(f"{c} string" for c in MEMORY_COLUMNS[3:6]), "recent_tension double", "short_streak bigint"])
-    return stream.groupBy(CONV, "speaker_id").transformWithStateInPandas(
-        statefulProcessor=SpeakerState(window, ttl_ms), outputStructType=shown, outputMode="append",
+    return in_buckets(stream, CONV, "speaker_id").transformWithStateInPandas(
+        statefulProcessor=SpeakerState(f"{ids[0]}, {ids[2]}", window, ttl_ms), outputStructType=shown, outputMode="append",
         timeMode="processingTime" if ttl_ms else "none",
     )
 
