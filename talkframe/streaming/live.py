@@ -24,7 +24,7 @@ CONV = "conversation_id"
 BATCH_ROWS = 250_000  # about as many rows of a table in order arrive in one micro-batch
 PIECE_ROWS = 10_000  # rows given out together
 BUCKETS = 1024  # groups of conversations whose state is handled in one call
-HELD = 10_000  # rows of a micro-batch that wait in memory for an earlier message; more wait in the state store
+WAIT = 16  # positions of a conversation whose waiting messages are stored together
 DAY = 86_400_000_000  # microseconds
 
 
@@ -124,58 +124,75 @@ def speaker_memory(stream: DataFrame, window: int = 5, ttl_ms: int | None = None
 class ConversationScorer(StatefulProcessor):
     """Per conversation: the ring of its last messages, its most tense older ones, every speaker's last labels and tensions, and the heads.
 
-    Messages are scored in order of ``pos``, which counts a conversation's messages from 0. Those that come before an earlier one wait:
-    a micro-batch's own in memory up to ``HELD`` rows, the rest in the state store, until the missing one arrives. So neither the files'
-    order nor their number shows in the result. The state is constant per conversation and speaker, besides what waits.
+    Messages are scored in order of ``pos``, which counts a conversation's messages from 0. Those that come before an earlier one wait in
+    the state store, ``WAIT`` positions together, until the missing one arrives. So neither the files' order nor their number shows in the
+    result. One piece of a bucket's rows is held at a time; the state is constant per conversation and speaker, besides what waits.
     """
 
-    def __init__(self, model: learn.Model, k: int = 4, window: int = 5, picks: int = 3):
-        self.model, self.sizes = model, (k, window, picks)
+    def __init__(self, model: learn.Model, ids: str, k: int = 4, window: int = 5, picks: int = 3):
+        self.model, self.ids, self.sizes = model, ids, (k, window, picks)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         turns = "array<struct<heat:double,place:bigint,tokens:array<string>>>"
-        self.talk = handle.getValueState("talk", f"next bigint, clock bigint, recent {turns}, older {turns}")
-        self.speakers = handle.getMapState("speakers", "speaker string", "emotion string, tone string, sentiment string, tensions array<double>")
-        self.waiting = handle.getMapState("waiting", "pos bigint", "message_id bigint, speaker string, clock bigint, tokens array<string>, behave array<double>")
+        self.talks = handle.getMapState("talks", self.ids, f"next bigint, clock bigint, waits bigint, recent {turns}, older {turns}")
+        self.speakers = handle.getMapState("speakers", f"{self.ids}, speaker string", "emotion string, tone string, sentiment string, tensions array<double>")
+        message = "pos:bigint,message_id:bigint,speaker:string,clock:bigint,tokens:array<string>,behave:array<double>"
+        self.waiting = handle.getMapState("waiting", f"{self.ids}, part bigint", f"messages array<struct<{message}>>")
         self.scorer = learn.Recurrence(self.model, *self.sizes)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at, clock, recent, older = self.talk.get() if self.talk.exists() else (0, None, [], [])
-        recent, older = ([(h, p, list(t)) for h, p, t in turns] for turns in (recent, older))
-        speakers, held = {}, {}
         for pdf in rows:
-            out = []
-            for r in pdf.sort_values("pos").itertuples(index=False):
-                if r.pos < at:
-                    continue  # delivered before
-                row = (int(r.message_id), r.speaker_id, None if pd.isna(r.clock) else int(r.clock), [str(t) for t in r.tokens], [float(x) for x in r.behave])
-                if r.pos == at or len(held) < HELD:
-                    held[int(r.pos)] = row
-                else:
-                    self.waiting.updateValue((int(r.pos),), row)
-                while True:
-                    if at in held:
-                        row = held.pop(at)
-                    elif self.waiting.containsKey((at,)):
-                        row = self.waiting.getValue((at,))
-                        self.waiting.removeKey((at,))
-                    else:
-                        break
-                    message, who, now, tokens, behave = row
-                    who = "" if who is None else who
-                    if who not in speakers:
-                        speakers[who] = self.speakers.getValue((who,)) if self.speakers.containsKey((who,)) else learn.NEW_SPEAKER
-                    if clock is not None and now is not None:
-                        behave = [*behave[:-1], min(max(now - clock, 0), DAY) / 3_600_000_000]
-                    scores, recent, older, speakers[who] = self.scorer.step(recent, older, speakers[who], at, list(tokens), np.asarray(behave, float))
-                    out.append((key[0], message, row[1], *scores))
-                    at, clock = at + 1, now
+            talks, out = {}, []
+            for r in pdf.itertuples(index=False):
+                talks.setdefault(plain(r.conversation_id), {})[int(r.pos)] = (
+                    int(r.message_id), r.speaker_id, None if pd.isna(r.clock) else int(r.clock), [str(t) for t in r.tokens], [float(x) for x in r.behave])
+            for conv, held in talks.items():
+                out.extend(self.advance(conv, held))
             yield pd.DataFrame(out, columns=[CONV, "message_id", "speaker_id", *learn.SCORES])
-        for pos, row in held.items():
-            self.waiting.updateValue((pos,), row)
+
+    def advance(self, conv, held: dict[int, tuple]) -> Iterator[tuple]:
+        """Score what follows on, with the messages of ``held`` (by position); the rest waits."""
+        at, clock, waits, recent, older = self.talks.getValue((conv,)) or (0, None, 0, [], [])
+        recent, older = ([(h, p, list(t)) for h, p, t in turns] for turns in (recent, older))
+        first, speakers, seen = at, {}, set()
+        held = {pos: row for pos, row in held.items() if pos >= at}  # others were delivered before
+
+        def take(part: int) -> None:
+            nonlocal waits
+            if waits and part not in seen:
+                seen.add(part)
+                stored = self.waiting.getValue((conv, part))
+                if stored:
+                    self.waiting.removeKey((conv, part))
+                    waits -= len(stored[0])
+                    for pos, *row in stored[0]:
+                        held.setdefault(pos, tuple(row))
+
+        while True:
+            if at not in held:
+                take(at // WAIT)
+            if at not in held:
+                break
+            message, speaker, now, tokens, behave = held.pop(at)
+            who = "" if speaker is None else speaker
+            if who not in speakers:
+                speakers[who] = (self.speakers.getValue((conv, who)) if first else None) or learn.NEW_SPEAKER
+            if clock is not None and now is not None:
+                behave = [*behave[:-1], min(max(now - clock, 0), DAY) / 3_600_000_000]
+            scores, recent, older, speakers[who] = self.scorer.step(recent, older, speakers[who], at, list(tokens), np.asarray(behave, float))
+            yield (conv, message, speaker, *scores)
+            at, clock = at + 1, now
+        for part in {pos // WAIT for pos in held}:
+            take(part)
+        left: dict[int, list] = {}
+        for pos, (message, speaker, now, tokens, behave) in sorted(held.items()):
+            left.setdefault(pos // WAIT, []).append((pos, message, speaker, now, list(tokens), [float(x) for x in behave]))
+        for part, messages in left.items():
+            self.waiting.updateValue((conv, part), (messages,))
+            waits += len(messages)
         for who, (emotion, tone, sentiment, tensions) in speakers.items():
-            self.speakers.updateValue((who,), (emotion, tone, sentiment, [float(x) for x in tensions]))
-        self.talk.update((at, clock, recent, older))
+            self.speakers.updateValue((conv, who), (emotion, tone, sentiment, [float(x) for x in tensions]))
+        self.talks.updateValue((conv,), (at, clock, waits, recent, older))
 
     def close(self) -> None:
         pass
@@ -190,8 +207,8 @@ def score(stream: DataFrame, model: learn.Model, k: int = 4, window: int = 5, pi
     rows = learn.read_ahead(rows.select("*", clock), "clock")
     ids = [f"{CONV} {stream.schema[CONV].dataType.simpleString()}", "message_id bigint", "speaker_id string"]
     shown = ", ".join([*ids, *(f"{c} {t}" for c, t in zip(learn.SCORES, learn.SCORE_KINDS))])
-    return rows.groupBy(CONV).transformWithStateInPandas(
-        statefulProcessor=ConversationScorer(model, k, window, picks), outputStructType=shown, outputMode="append", timeMode="none")
+    return in_buckets(rows, CONV).transformWithStateInPandas(
+        statefulProcessor=ConversationScorer(model, ids[0], k, window, picks), outputStructType=shown, outputMode="append", timeMode="none")
 
 
 def in_order(rows: DataFrame, batch_rows: int = BATCH_ROWS, least: int = 4) -> DataFrame:

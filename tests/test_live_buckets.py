@@ -2,6 +2,8 @@
 
 import pandas as pd
 
+from talkframe.functions import text
+from talkframe.queries.learning import history_model
 from talkframe.streaming import live
 
 
@@ -51,3 +53,24 @@ def test_null_ids_leave_whole_numbers_whole(spark, tmp_path):
         out, _ = live.run_available(live.speaker_memory(spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))), "nulls")
     got = sorted((r["message_id"], r["conversation_id"], r["speaker_id"], r["short_streak"]) for r in out.collect())
     assert got == [(1, big, "a", 0), (2, big, None, 0), (3, None, "a", 0), (4, None, "a", 1), (5, None, None, 0)]
+
+
+def test_waiting_messages_are_stored_together():
+    handle, scorer = Handle(), live.ConversationScorer(history_model(), "conversation_id long")
+    scorer.init(handle)
+    behave = [0.0] * len(text.BEHAVIOUR)
+    rows = [(c, p, p + 1, "ab"[p % 2], p * 60_000_000, ["word"], behave) for p in range(32) for c in range(20)]
+    columns = ["conversation_id", "pos", "message_id", "speaker_id", "clock", "tokens", "behave"]
+
+    def arrive(*parts):
+        return pd.concat(scorer.handleInputRows((7,), iter([pd.DataFrame(p, columns=columns) for p in parts]), None))
+
+    late, early = [r for r in rows if r[1] % 2], [r for r in rows if r[1] % 2 == 0]
+    assert len(arrive(late)) == 0 and handle["waiting"].calls == 2 * 20  # positions 1 to 31 of each conversation, in two parts
+    mixed = pd.concat([arrive(early[:100], early[100:]), arrive(late)])
+    assert not handle["waiting"] and len(mixed) == len(rows)
+    handle.clear()
+    scorer.init(handle)
+    straight = arrive(rows)
+    key = ["conversation_id", "message_id"]
+    assert mixed.sort_values(key).to_dict("records") == straight.sort_values(key).to_dict("records")
