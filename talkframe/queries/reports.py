@@ -12,6 +12,7 @@ from talkframe.queries.learning import HISTORY_SQL, history_model
 from talkframe.queries.ordered import TRAJECTORY_SQL, TURNING_SQL
 from talkframe.queries.registry import over_messages, query
 from talkframe.queries.sources import MIXED_SQL, mixed_documents
+from talkframe.session import settle
 from talkframe.sources import exports
 
 
@@ -84,6 +85,7 @@ def analyze_exports(spark, sf):
     empty = views.table(spark, sf, "conversations").filter("conv_id % 10 = 0").select(F.concat(F.lit("empty-"), F.col("conv_id").cast("string")).alias("file_id"))
     docs = mixed_documents(spark, sf).unionByName(empty.distinct().withColumn("raw", F.lit("")))
     messages = exports.ingest(docs).withColumns({"ts": F.col("ts").try_cast("timestamp_ntz"), "pos": F.col("message_id") - 1})
+    messages = settle(messages, "ingested")  # scoring reads them twice
     tables = whole.analyze(whole.score(messages, history_model()), conversations=docs.select(F.col("file_id").alias("conversation_id")))
     out = None
     for section, checked in CHECKED.items():
