@@ -39,3 +39,16 @@ def test_folds_meet_and_keep_their_order(rows, monkeypatch, svc):
 def test_rows_in_many_parts_are_fitted_one_at_a_time(spark):
     names = session.side_by_side(spark.range(64).repartition(64), [lambda: threading.current_thread().name] * 3)
     assert names == [threading.current_thread().name] * 3
+
+
+def test_few_rows_are_fitted_in_one_part(spark, monkeypatch):
+    """A fit's steps are jobs over all parts: small training rows are gathered, whole, and many rows keep their parts."""
+    i = F.col("id")
+    train = spark.range(240).repartition(6, "id").select(array_to_vector(F.array((i % 7).cast("double"))).alias("text_block"), (i % 5).cast("double").alias("tension"))
+    met = []
+    monkeypatch.setattr(learn, "fit_tension", lambda rows: met.append((rows.rdd.getNumPartitions(), rows.count())))
+    learn.fit(train, learn.Terms(), "A", ("tension",))
+    assert met == [(1, 240)]
+    assert session.gathered(train, 50).rdd.getNumPartitions() == 5
+    assert session.gathered(train, 10).rdd.getNumPartitions() == 6
+    assert session.gathered(train.limit(0)).count() == 0
